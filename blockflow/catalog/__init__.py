@@ -1,9 +1,9 @@
 """Every operator as a query over the given tables, with its SQL twin where one exists."""
 
-from blockflow.catalog import quality
+from blockflow.catalog import boxes, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [quality]:
+for _area in [quality, boxes]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
