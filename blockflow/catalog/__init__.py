@@ -1,9 +1,9 @@
 """Every operator as a query over the given tables, with its SQL twin where one exists."""
 
-from blockflow.catalog import boxes, quality, runs
+from blockflow.catalog import boxes, quality, runs, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [quality, boxes, runs]:
+for _area in [quality, boxes, runs, texts]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
