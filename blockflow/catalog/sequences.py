@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from blockflow.fixtures import cte
 from blockflow.operators import logs as lo
+from blockflow.operators import scan
 from blockflow.operators import sequences as s
 from blockflow.rules import patterns as pt
 
@@ -53,7 +54,9 @@ def near_input(fx):
 
 
 def numbered(fx):
-    return fx.log_lines.withColumn("line_no", F.col("event_id"))
+    """Log lines with their true number in each file."""
+    return scan.rank(fx.log_lines.withColumn("_b", F.floor(F.col("event_id") / 1024)), ["file"],
+                     ["event_id"], "_b", "line_no").drop("_b")
 
 
 CATEGORY = " ".join(f"when regexp_matches(line, '{p}') then '{n}'" for n, p in pt.LOG_CATEGORIES)
@@ -143,5 +146,5 @@ ORACLES = {
     "classify_log": CLASSED + "select event_id, category from classed",
     "log_summary": CLASSED + f"select category, count(*) as n, count(distinct file) as files, (select count(*) from classed where category in ({','.join(repr(c) for c in pt.LOST_CATEGORIES)})) as lost_blocks, count(*) * 100.0::double / (select count(*) from log_lines) as share_pct from classed group by 1",
     "top_contexts": CLASSED + ", c as (select category, context, count(*) as n from classed where context is not null group by 1, 2) select *, row_number() over (partition by category order by n desc, context) as place from c qualify place <= 8",
-    "log_samples": CLASSED + "select category, file, event_id as line_no from classed qualify row_number() over (partition by category order by file, event_id) <= 5",
+    "log_samples": CLASSED + ", k as (select event_id, row_number() over (partition by file order by event_id) as line_no from log_lines) select category, file, line_no from classed join k using (event_id) qualify row_number() over (partition by category order by file, line_no) <= 5",
 }

@@ -95,22 +95,15 @@ def worst_pages(scores: DataFrame, n: int = 5) -> DataFrame:
 
 
 def found_gold(gold: DataFrame, dets: DataFrame, min_ratio: float = 0.30,
-               by: tuple[str, ...] = (), cell: int = CELL) -> DataFrame:
-    """Gold boxes that some detection covers: a semi join on (page, cell), no pairs made.
-
-    With ``by``, detections carry those columns and each value is judged on its own.
-    """
+               cell: int = CELL) -> DataFrame:
+    """Gold boxes that some detection covers: a semi join on (page, cell), no pairs made."""
     a = _cells(prefixed(gold.select("page_id", "gold_id", "x", "y", "w", "h"), "a_"), "a_", cell)
-    b = _cells(prefixed(dets.select("page_id", *by, "x", "y", "w", "h"), "b_",
-                        ("page_id", *by)), "b_", cell)
-    if by:
-        a = a.join(F.broadcast(dets.select(*by).distinct()))
-    keys = ["page_id", *by, "_gx", "_gy"]
+    b = _cells(prefixed(dets.select("page_id", "x", "y", "w", "h"), "b_"), "b_", cell)
     cond = bx.overlap_ratio(bx.box("a_"), bx.box("b_")) > min_ratio
-    for k in keys:
+    for k in ("page_id", "_gx", "_gy"):
         cond = cond & (a[k] == b[k])
     return (a.join(b, cond, "left_semi")
-            .select("page_id", *by, F.col("a_gold_id").alias("gold_id")).distinct())
+            .select("page_id", F.col("a_gold_id").alias("gold_id")).distinct())
 
 
 def compare_detectors(gold: DataFrame, a: DataFrame, b: DataFrame,
