@@ -56,10 +56,14 @@ def earlier_max(df: DataFrame, keys: list[str], order: list[str], bucket: str, v
 
 def latest(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column,
            name: str) -> DataFrame:
-    """Add ``name``: the last non-null ``value`` among the rows of the key up to this one."""
+    """Add ``name``: the last non-null ``value`` among the rows of the key up to this one.
+
+    Rows equal in ``order`` see each other, so ties cannot make the answer depend on their
+    physical order.
+    """
     df, ks = _keys(df.withColumn("_v", value), keys)
     inside = (Window.partitionBy(*ks, bucket).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0))
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ends = df.groupBy(*ks, bucket).agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_off"))
     offsets = _earlier(ends, ks, bucket, lambda c: F.last(c, ignorenulls=True), "_off")
@@ -86,10 +90,27 @@ def strips(df: DataFrame, keys: list[str], top: Column, bottom: Column, tile: in
 
     A strip is named by its first top. Work that only relates boxes whose intervals touch can
     run per (key, strip) instead of per key, with the same result.
+
+    Inside a tile, a row starts a strip when its top lies beyond everything before it. A tile
+    is summed up by how far it reaches and where its last strip starts; from these, each tile
+    learns how far earlier tiles reach into it and which strip they leave open.
     """
     df = (df.withColumn("_top", top.cast("double")).withColumn("_bottom", bottom.cast("double"))
           .withColumn("_tile", F.floor(F.col("_top") / tile)))
-    df = earlier_max(df, keys, ["_top", "_bottom"], "_tile", F.col("_bottom"), "_reach")
-    starts = F.when(F.col("_reach").isNull() | (F.col("_top") > F.col("_reach")), F.col("_top"))
-    df = latest(df, keys, ["_top", "_bottom"], "_tile", starts, name)
-    return df.drop("_top", "_bottom", "_tile", "_reach")
+    part = Window.partitionBy(*keys, "_tile").orderBy("_top", "_bottom")
+    before = F.max("_bottom").over(part.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_reach", before).withColumn("_start", F.when(
+        F.col("_reach").isNull() | (F.col("_top") > F.col("_reach")), F.col("_top")))
+    along = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = (df.groupBy(*keys, "_tile").agg(F.max("_bottom").alias("_m"),
+                                            F.max("_start").alias("_l"))
+             .withColumn("_in", F.max("_m").over(along))
+             .withColumn("_l", F.when(F.col("_in").isNull() | (F.col("_l") > F.col("_in")),
+                                      F.col("_l")))
+             .withColumn("_open", F.last("_l", ignorenulls=True).over(along))
+             .select(*keys, "_tile", "_in", "_open"))
+    own = F.when(F.col("_in").isNull() | (F.col("_start") > F.col("_in")), F.col("_start"))
+    here = part.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal rows agree
+    return (df.join(tiles, [*keys, "_tile"]).withColumn("_own", own)
+            .withColumn(name, F.coalesce(F.last("_own", ignorenulls=True).over(here), "_open"))
+            .drop("_top", "_bottom", "_tile", "_reach", "_start", "_in", "_open", "_own"))

@@ -10,6 +10,7 @@ from blockflow.operators import memory as me
 from blockflow.operators import quality as qu
 from blockflow.operators import runs
 from blockflow.rules import glossary as gl
+from blockflow.session import checkpointed
 
 
 def clean_text(blocks: DataFrame) -> DataFrame:
@@ -22,10 +23,13 @@ def clean_text(blocks: DataFrame) -> DataFrame:
 
 def clean_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Readings of one engine to merged blocks: stamps and margins dropped, texts cleaned, lines
-    joined across and down, junk dropped."""
+    joined across and down, junk dropped.
+
+    The joined lines are checkpointed: what follows reads them twice.
+    """
     kept = bl.drop_margin_noise(bl.drop_watermarks(blocks), pages)
-    merged = bl.merge_lines_vertical(bl.merge_lines_horizontal(clean_text(kept)), pages)
-    return bl.drop_junk_blocks(merged)[0]
+    lines = checkpointed(bl.merge_lines_horizontal(clean_text(kept)))
+    return bl.drop_junk_blocks(bl.merge_lines_vertical(lines, pages))[0]
 
 
 def translate_blocks(blocks: DataFrame, memory: DataFrame, target: str,
