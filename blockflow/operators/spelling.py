@@ -42,15 +42,16 @@ def damerau(a: Column, b: Column) -> Column:
     """Edit distance with neighbour swaps, exact up to 2; null above.
 
     A swap costs one edit: distance 1 is one plain edit or one swap, distance 2 is two plain
-    edits, or a swap followed by a plain edit or another swap.
+    edits, or a swap before or after a plain edit or another swap.
     """
     plain = F.levenshtein(a, b, 4)
     swaps_a = F.array_distinct(_swaps(a))
     one_swap = (F.length(a) == F.length(b)) & F.array_contains(swaps_a, b)
-    swap_edit = F.exists(swaps_a, lambda s: F.levenshtein(s, b) <= 1)
+    swap_edit = (F.exists(swaps_a, lambda s: F.levenshtein(s, b) <= 1)
+                 | F.exists(_swaps(b), lambda s: F.levenshtein(a, s) <= 1))
     two_swaps = (F.length(a) == F.length(b)) & F.arrays_overlap(swaps_a, _swaps(b))
     return (F.when(plain == 0, 0).when((plain == 1) | ((plain == 2) & one_swap), 1)
-            .when((plain == 2) | ((plain == 3) & swap_edit) | ((plain == 4) & two_swaps), 2))
+            .when((plain == 2) | ((plain == 3) & swap_edit) | ((plain >= 3) & two_swaps), 2))
 
 
 def dictionary_candidates(words: DataFrame, dictionary: DataFrame, k: int = 1) -> DataFrame:
