@@ -139,6 +139,8 @@ QUERIES = {
         "page_id", "block_id", "cls", "cx", "cy", "wn", "hn"),
     "clean_labels": lambda fx: b.clean_labels(fx.blocks, fx.regions, fx.page_sizes),
     "page_texts": lambda fx: b.page_texts(fx.blocks.where("engine = 0")),
+    "reading_order": lambda fx: b.reading_order(fx.blocks, 1024).select(
+        "page_id", "block_id", "position"),
     "score_detections": lambda fx: sc.score_detections(fx.gold, fx.dets, fx.page_sizes),
     "worst_pages": lambda fx: sc.worst_pages(sc.page_scores(fx.gold, fx.dets, fx.page_sizes)),
     "existence_recall": lambda fx: sc.found_gold(fx.gold, fx.dets).groupBy("page_id").agg(
@@ -220,6 +222,7 @@ ORACLES = {
       from blocks k join page_sizes using (page_id) left join best using (page_id, block_id)
       where w >= 15 and h >= 12 and w * h <= page_w * page_h * 0.6 and x + w <= page_w * 1.5 and y + h <= page_h * 1.5""",
     "page_texts": cte("blocks") + "select page_id, string_agg(text, chr(10) order by y, x, block_id) as page_text from blocks where engine = 0 and trim(text) <> '' group by page_id",
+    "reading_order": cte("blocks") + "select page_id, block_id, row_number() over (partition by page_id order by y, x, block_id) as position from blocks",
     "existence_recall": cte("gold", "dets") + f"select page_id, count(*) as found from gold g where exists (select 1 from dets d where {touches('g', 'd')} and {overlap('g', 'd')} > 0.30) group by page_id",
     "compare_detectors": cte("gold", "dets") + f""", models as (select 'a' as model, page_id, cls, x, y, w, h, confidence from dets
         union all select 'b', page_id, i % 2, x + i % 5 * 60, y, w, h, confidence from blocks where engine = 1),
