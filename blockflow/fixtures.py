@@ -144,12 +144,10 @@ _DEPENDS = {
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Long texts in a file too small to be split keep one core busy: spread them over all.
 
-    Tables that fill the cores by their size alone are left as the scan splits them.
+    A table whose scan already has a partition per core is left as it is.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * (32 << 20) else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 class Fixtures:

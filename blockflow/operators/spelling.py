@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from blockflow.functions import text as tx
 from blockflow.operators import language as la
+from blockflow.session import checkpointed
 
 EDGES = "'\".,;:!?¡¿()[]{}"
 BANDS = [("3-5", 3, 5), ("6-12", 6, 12), ("13-14", 13, 14), ("15+", 15, 10_000)]
@@ -75,11 +76,13 @@ def best_corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction): nearest candidate within the budget of each unknown word.
 
     Distance first, then candidates equal without accents, then frequency, then the alphabet.
+    Both the unknown words and their first candidates are read again by later steps and are
+    checkpointed: they are vocabularies, far smaller than the texts they come from.
     """
-    unknown = (words.select("word").distinct()
-               .join(dictionary.select("word"), "word", "left_anti"))
+    unknown = checkpointed(words.select("word").distinct()
+                           .join(dictionary.select("word"), "word", "left_anti"))
     depth = budget(F.length("word"))
-    one = dictionary_candidates(unknown, dictionary, 1)
+    one = checkpointed(dictionary_candidates(unknown, dictionary, 1))
     open_words = (unknown.where(depth == 2)
                   .join(one.select("word").distinct(), "word", "left_anti"))
     two = dictionary_candidates(open_words, dictionary, 2)
