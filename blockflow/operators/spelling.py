@@ -46,13 +46,19 @@ def damerau(a: Column, b: Column) -> Column:
     edits, or a swap before or after a plain edit or another swap.
     """
     plain = F.levenshtein(a, b, 4)
-    swaps_a = F.array_distinct(_swaps(a))
-    one_swap = (F.length(a) == F.length(b)) & F.array_contains(swaps_a, b)
-    swap_edit = (F.exists(swaps_a, lambda s: F.levenshtein(s, b) <= 1)
-                 | F.exists(_swaps(b), lambda s: F.levenshtein(a, s) <= 1))
-    two_swaps = (F.length(a) == F.length(b)) & F.arrays_overlap(swaps_a, _swaps(b))
+
+    def letters(c: Column) -> Column:
+        return F.array_join(F.array_sort(F.split(c, "")), "")
+
+    # swaps keep the letters: beside one, a single edit may change one letter of each word
+    near_letters = F.levenshtein(letters(a), letters(b), 2) >= 0
+    one_swap = (F.length(a) == F.length(b)) & F.array_contains(_swaps(a), b)
+    swap_edit = (F.exists(_swaps(a), lambda s: F.levenshtein(s, b, 1) >= 0)
+                 | F.exists(_swaps(b), lambda s: F.levenshtein(a, s, 1) >= 0))
+    two_swaps = (letters(a) == letters(b)) & F.arrays_overlap(_swaps(a), _swaps(b))
     return (F.when(plain == 0, 0).when((plain == 1) | ((plain == 2) & one_swap), 1)
-            .when((plain == 2) | ((plain == 3) & swap_edit) | ((plain >= 3) & two_swaps), 2))
+            .when((plain == 2) | ((plain == 3) & near_letters & swap_edit)
+                  | ((plain >= 3) & two_swaps), 2))
 
 
 def dictionary_candidates(words: DataFrame, dictionary: DataFrame, k: int = 1) -> DataFrame:
