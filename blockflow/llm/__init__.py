@@ -1,9 +1,9 @@
 """Operators for training-data pipelines, each with a query over the given tables."""
 
-from blockflow.llm import bpe
+from blockflow.llm import bpe, packing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [bpe]:
+for _area in [bpe, packing]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
