@@ -1,9 +1,9 @@
 """Operators for training-data pipelines, each with a query over the given tables."""
 
-from blockflow.llm import bpe, lines, packing
+from blockflow.llm import bpe, lines, packing, quadratic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [bpe, lines, packing]:
+for _area in [bpe, lines, packing, quadratic]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
