@@ -38,20 +38,44 @@ _RANKS = 44  # bits for the rank of a piece among those of its length
 
 
 class WordTokens:
-    """Token ids of texts, with what lies between two spaces looked up."""
+    """Token ids of texts, with what lies between two spaces looked up.
+
+    The vocabulary is lower case and no token spans a blank, so A-Z may be lowered first and
+    closing punctuation be looked up apart from the letters or digits before it.
+    """
+
+    CLOSING = ".,;:!?%&#$*"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo()
+        self.chunks, self.parts = Memo(), Memo()
 
-    def _make(self, chunks: list[str]) -> list[bytes]:
+    def _make(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _apart(self, chunk: str) -> list[str]:
+        found = []
+        for line in chunk.split("\n"):
+            stem = line.rstrip(self.CLOSING)
+            if stem and len(stem) < len(line) and stem[-1] < "\u0250" and stem[-1].isalnum():
+                found += [stem, line[len(stem):]]
+            else:
+                found.append(line)
+        return found
+
+    def _make_chunks(self, chunks: list[str]) -> list[bytes]:
+        apart = [self._apart(c) for c in chunks]
+        parts = list({p for c in apart for p in c})
+        made = dict(zip(parts, self.parts.each(parts, self._make), strict=True))
+        return [b"".join(map(made.__getitem__, c)) for c in apart]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        return self.memo.join(text.split(" "), self._make)
+        if "<|" in text:  # may hold a special token, which is written in lower case
+            return self.parts.join(text.split(" "), self._make)
+        return self.chunks.join(text.encode().lower().decode().split(" "), self._make_chunks)
 
 
 _tokens: dict[str, WordTokens] = {}
