@@ -59,7 +59,7 @@ class WordTokens:
         found = []
         for line in chunk.split("\n"):
             stem = line.rstrip(self.CLOSING)
-            if stem and len(stem) < len(line) and stem[-1] < "\u0250" and stem[-1].isalnum():
+            if stem and len(stem) < len(line) and stem[-1] < "\u0100" and stem[-1].isalnum():
                 found += [stem, line[len(stem):]]
             else:
                 found.append(line)
