@@ -1,9 +1,9 @@
 """Operators for training-data pipelines, each with a query over the given tables."""
 
-from blockflow.llm import backoff, bpe, curves, lines, packing, quadratic, sketches
+from blockflow.llm import backoff, bpe, curves, lines, packing, quadratic, sketches, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [backoff, bpe, curves, lines, packing, quadratic, sketches]:
+for _area in [backoff, bpe, curves, lines, packing, quadratic, sketches, warc]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
