@@ -128,6 +128,16 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents"), ["doc_id"]).drop("clean_text")
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: the documents that pass, without their failing lines."""
+    rows = clean(docs.select(F.struct(*docs.columns).alias("_row"), "text"), ["_row"])
+    text = F.when(F.col("n_bad_lines") > 0, F.col("clean_text")).otherwise(F.col("_row.text"))
+    return rows.filter("kept").select(*(
+        text.alias(c) if c == "text" else
+        F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+        F.col("_row")[c].alias(c) for c in docs.columns))
+
+
 def _duck(regex: str) -> str:
     return "'" + regex.replace("'", "''") + "'"
 

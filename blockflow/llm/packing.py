@@ -221,5 +221,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: the documents as pieces of sequences."""
+    return pack(docs)
+
+
 QUERIES = {"op3_packing": op3_packing}
 ORACLES: dict[str, str] = {}
