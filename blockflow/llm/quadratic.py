@@ -17,7 +17,6 @@ gives an empty result. Statistics take time linear in the text, so long texts do
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,13 +65,6 @@ class Model:
     factors: np.ndarray
     constants: np.ndarray
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.centre) / self.scale
-        density = [c - 0.5 * np.square((z - m) @ f.T).sum(axis=1)
-                   for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
-        odds = (density[1] - density[0]) / x.shape[1]
-        return 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
-
 
 def fit(labelled: DataFrame) -> Model | None:
     """The model of rows with a label (0 or 1) and an array x; None without two rows of each."""
@@ -111,12 +103,23 @@ def score(model: Model | None, x: Column) -> Column:
     if model is None:
         return F.lit(1.0)
 
-    @F.pandas_udf("double")
-    def scored(values: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.stack(values.to_list())) if len(values) else [],
-                         dtype=float)
+    k = len(model.centre)
+
+    def density(z: Column, c: int) -> Column:
+        """Log-density of class c: the squares of the factor's rows times z - mean."""
+        offset = model.factors[c] @ model.means[c]
+        total = F.lit(float(model.constants[c]))
+        for i in range(k):
+            row = F.lit(-float(offset[i]))
+            for j in range(i + 1):
+                row = row + z[j] * float(model.factors[c][i][j])
+            total = total - F.lit(0.5) * row * row
+        return total
 
-    return scored(x)
+    z = F.array(*((x[i] - float(model.centre[i])) / float(model.scale[i]) for i in range(k)))
+    return let(z, lambda v: let(density(v, 1), lambda one: let(
+        density(v, 0), lambda zero: F.lit(1.0) / (F.lit(1.0) + F.exp(
+            F.greatest(F.lit(-500.0), F.least(F.lit(500.0), (zero - one) / float(k))))))))
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -141,8 +144,7 @@ def reject_low(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: the documents that the classifier accepts."""
     rows = checkpointed(docs.select("doc_id", statistics(F.col("text")).alias("x")))
     model = fit(with_labels(rows, table(spark, sf_dir, "labels")))
-    kept = docs.withColumn("_score", score(model, statistics(F.col("text"))))
-    return kept.filter(F.col("_score") >= ACCEPT).drop("_score")
+    return docs.filter(let(statistics(F.col("text")), lambda x: score(model, x)) >= ACCEPT)
 
 
 QUERIES = {"op4_quality": op4_quality}

@@ -159,7 +159,7 @@ def test_revealing_terms_go_everywhere(spark):
     rows += ["Nobody saw Zorblatt on the bridge.", "Nobody saw the clerk on the bridge."]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {(r.term, r.entity) for r in sanitise.revealing_terms(docs).collect()} == {
-        (t, "0:zor@blatt.org") for t in ("zorblatt", "number")}
+        (t, "0:zor@blatt.org") for t in ("zorblatt", "number", "of")}
     found = {r.doc_id: r for r in sanitise.find_spans(docs, ["doc_id"]).collect()}
     assert [(x.s, x.e) for x in found[45].spans] == [(11, 19)]
     assert not found[46].spans and not found[10].spans
