@@ -71,10 +71,6 @@ QUERIES = {
         "event_id", "streak", "alarm"),
     "fast_empty_streaks_all": lambda fx: s.fast_empty_streaks(fx.calls, [], 20.0).select(
         "event_id", "streak", "alarm"),
-    "backoff_windows": lambda fx: s.backoff_windows(fx.calls.withColumn(
-        "client", F.col("client") % 3), ["client"]),
-    "decide_with_cache": lambda fx: s.decide_with_cache(fx.page_stream, ["doc_id", "signature"]),
-    "suppress_repeats": lambda fx: s.suppress_repeats(fx.page_stream, ["doc_id", "signature"]),
     "page_trigger": lambda fx: s.page_trigger(few_blocks(fx), panels(fx)).select(
         "page_id", "n_blocks", "avg_conf", "trigger", "reason"),
     "cascade_gate": lambda fx: s.cascade_gate(few_blocks(fx), panels(fx).select(

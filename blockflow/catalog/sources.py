@@ -30,7 +30,7 @@ def round_trip(fx):
         F.concat(F.lit("run"), F.col("doc_id") % 4).alias("run"), F.col("doc_id").alias("page"),
         F.col("seq").alias("pos"), "src", "tgt", "block_type", "source_lang", "target_lang")
     cp.write_checkpoints(run_pages(fx), pairs, path)
-    return cp.read_checkpoints(fx.spark, path, multiline=False)
+    return cp.read_checkpoints(fx.spark, path)
 
 
 def label_lines(fx):
@@ -66,6 +66,19 @@ def written_labels(fx):
     return lb.parse_labels(lines)[0]
 
 
+def label_files(fx):
+    """Labels of every page written as files and read as any label files are."""
+    path = folder(fx, "label-files")
+    boxes = fx.documents.select(
+        F.col("source").alias("page_id"), (F.col("doc_id") % 2).alias("cls"),
+        ((F.col("doc_id") % 100) / 100.0).alias("cx"), F.lit(0.5).alias("cy"),
+        F.lit(0.25).alias("w"), ((F.col("n_chars") % 50) / 100.0).alias("h"))
+    lb.write_labels(boxes, boxes.select("page_id").distinct().withColumn("split", F.lit("train")),
+                    path)
+    boxes, rejects = lb.read_labels(fx.spark, path + "/labels")
+    return boxes.drop("path"), rejects
+
+
 def streams(fx):
     """Documents as model output: a section per line, an image tag after every third."""
     tag = F.concat(F.lit("<PAGE>\n<|det|>text [1, 2, 3, 4]<|/det|> "), F.col("text"),
@@ -79,9 +92,10 @@ def streams(fx):
 
 def written_logs(fx):
     path = folder(fx, "logs")
-    fx.log_lines.select("file", "event_id", "line").repartition(1).sortWithinPartitions(
+    fx.log_lines.select("file", "event_id", "line").repartition("file").sortWithinPartitions(
         "file", "event_id").select("file", "line").write.partitionBy("file").text(path)
-    return do.read_logs(fx.spark, path)
+    return do.read_logs(fx.spark, path).select(
+        F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "line_no", "line")
 
 
 def benchmark_pages(fx):
@@ -94,7 +108,7 @@ def benchmark_pages(fx):
         F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), rec)))
         .alias("per_page"))
     docs.select(F.to_json(F.struct("per_page")).alias("value")).write.text(path)
-    return do.read_page_benchmarks(fx.spark, path, multiline=False)
+    return do.read_page_benchmarks(fx.spark, path)
 
 
 def diagnostics(fx):
@@ -105,7 +119,7 @@ def diagnostics(fx):
         .alias("timings"), F.when(F.col("event_type") == "error", F.array(F.lit("timeout")))
         .otherwise(F.array().cast("array<string>")).alias("errors"))).alias("value"))
     doc.write.text(path)
-    return do.read_page_diagnostics(fx.spark, path, 1, multiline=False)
+    return do.read_page_diagnostics(fx.spark, path, 1)
 
 
 def shop(fx):
@@ -120,7 +134,8 @@ def shop(fx):
 
 
 def replaced(fx):
-    """Blocks of every document stored, those of even documents replaced by another engine's."""
+    """Blocks of every document stored, those of even documents replaced by another engine's,
+    those of every tenth by nothing."""
     store = folder(fx, "store")
 
     def rows(engine):
@@ -129,10 +144,23 @@ def replaced(fx):
             F.col("text").alias("source_text"), "confidence")
 
     st.write_table(rows(0), store, "text_blocks", 16)
-    st.replace_page_blocks(fx.spark, store, rows(1).where("page_id % 2 = 0"), 16)
+    st.replace_page_blocks(fx.spark, store, rows(1).where("page_id % 2 = 0 and page_id % 10 <> 0"),
+                           16, fx.documents.select(F.col("doc_id").alias("page_id"))
+                           .where("page_id % 2 = 0"))
     return st.read_table(fx.spark, store, "text_blocks")
 
 
+def after_delete(fx, user):
+    """Rows per project in the three tables once a user has deleted project 7."""
+    projects, pages, blocks = st.delete_project(*shop(fx), 7, user)
+    of = [("projects", projects.select(F.col("id").alias("project_id"))),
+          ("pages", pages.select("project_id")),
+          ("blocks", blocks.select(F.floor(F.col("page_id") / 10).alias("project_id")))]
+    counted = [df.groupBy("project_id").agg(F.count("*").alias("n")).withColumn(
+        "kind", F.lit(kind)) for kind, df in of]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def url_files(fx):
     """Page addresses as paths: host / language / file."""
     return fx.pages.select(F.concat(F.lit("/lib/"), F.regexp_extract(
@@ -145,6 +173,9 @@ FILES = r"""with f as (select page_id, regexp_extract(url, '//([^/]+)/', 1) || '
     regexp_extract(url, '//([^/]+)/', 1) as host, regexp_extract(url, '//[^/]+/([^/?#]+)/', 1) as leaf,
     regexp_extract(url, '/(\d+)[^/]*$', 1) as num from pages)
 """
+DELETED = """with a as (select o_orderkey as p, 'projects' as kind from orders union all
+    select l_orderkey, k from lineitem, (values ('pages'), ('blocks')) v(k))
+  select p as project_id, kind, count(*) as n from a {} group by 1, 2"""
 LABEL_LINES = cte("gold") + """, j as (select page_id, gold_id, cls, x, w, gold_id % 23 as k from gold)
 """
 
@@ -188,6 +219,7 @@ QUERIES = {
         F.col("engine") == 0, "yolo").when(F.col("engine") == 1, "vlm"))).select(
         "page_id", "block_id", "texto", F.array_join("bbox", ",").alias("bbox"), "conf",
         F.array_join("motores", ",").alias("motores"), "detector"),
+    "label_round_trip": lambda fx: label_files(fx)[0],
     "page_store": lambda fx: st.conform(fx.blocks.select(
         F.col("block_id").alias("id"), "page_id", "x", "y", "w", "h", F.col("text").alias(
             "source_text"), F.when(F.col("engine") == 0, F.col("confidence")).alias(
@@ -202,8 +234,9 @@ QUERIES = {
     "tenant_scope": lambda fx: st.tenant_scope(shop(fx)[1], shop(fx)[0]).groupBy("user_id").agg(
         F.count("*").alias("pages")),
     "tenant_pages": lambda fx: st.tenant_pages(shop(fx)[1], shop(fx)[0], 7),
-    "delete_project": lambda fx: st.delete_project(*shop(fx), 7, F.col("user_id"))[1].groupBy(
-        "project_id").agg(F.count("*").alias("n")),
+    "delete_project": lambda fx: after_delete(fx, fx.orders.where("o_orderkey = 7").agg(
+        F.max("o_custkey")).first()[0]),
+    "delete_foreign_project": lambda fx: after_delete(fx, -1),
 }
 
 
@@ -235,9 +268,12 @@ ORACLES = {
     "export_pages": cte("blocks") + """select page_id, block_id, text as texto, x || ',' || y || ',' || (x + w) || ',' || (y + h) as bbox, round(confidence, 3) as conf,
       case engine when 0 then 'easyocr,rapid,yolo' when 1 then 'easyocr,rapid,vlm' else 'easyocr,rapid' end as motores, case engine when 0 then 'yolo' when 1 then 'vlm' else 'hibrido' end as detector from blocks""",
     "page_store": cte("blocks") + "select page_id, block_id as id, case when engine = 0 then confidence else 0 end as confidence, 12::bigint as font_size, '#000000' as bg_color, page_id % 256 as page_bucket from blocks",
-    "replace_page_blocks": cte("blocks") + "select page_id, block_id as id, text as source_text, confidence from blocks where engine = case when page_id % 2 = 0 then 1 else 0 end",
+    "replace_page_blocks": cte("blocks") + "select page_id, block_id as id, text as source_text, confidence from blocks where engine = case when page_id % 2 = 0 then 1 else 0 end and page_id % 10 <> 0",
     "migrate_confidence": cte("blocks") + "select page_id, block_id as id, trunc(confidence * 100) as confidence from blocks",
     "tenant_scope": "select o_custkey as user_id, count(*) as pages from lineitem join orders on o_orderkey = l_orderkey group by 1",
     "tenant_pages": "select l_orderkey * 10 + l_linenumber as id, l_orderkey as project_id, l_linenumber as page_number from lineitem where l_orderkey in (select o_orderkey from orders where o_custkey = 7)",
-    "delete_project": "select l_orderkey as project_id, count(*) as n from lineitem where l_orderkey <> 7 group by 1",
+    "delete_project": DELETED.format("where p <> 7"),
+    "delete_foreign_project": DELETED.format(""),
+    "read_logs": cte("log_lines") + "select file, line, row_number() over (partition by file order by event_id) as line_no from log_lines",
+    "label_round_trip": "select source as page, cast(doc_id % 2 as int) as cls, (doc_id % 100) / 100 as cx, 0.5 as cy, 0.25 as w, (n_chars % 50) / 100 as h from documents",
 }

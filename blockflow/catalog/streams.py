@@ -48,12 +48,6 @@ QUERIES = {
         stream_of(fx, "calls"), ["client"], "6 hours")).withColumn(
         "alive_from", F.unix_micros("alive_from")),
     "stream_memory": lambda fx: done(fx, state.learn_stream(stream_of(fx, "memory_events"))),
-    "stream_decisions": lambda fx: done(fx, state.decision_stream(stream_of(
-        fx, "page_stream"))),
-    "stream_suppression": lambda fx: done(fx, state.suppression_stream(stream_of(
-        fx, "page_stream"))),
-    "stream_backoff": lambda fx: done(fx, state.backoff_stream(stream_of(
-        fx, "calls").withColumn("client", F.col("client") % 3))),
     "stream_streaks": lambda fx: done(fx, state.streak_stream(stream_of(fx, "calls"), 20.0)),
     "stream_incremental": lambda fx: done(fx, stream_of(fx, "page_runs").where(
         "status_raw = 'done'")).groupBy("run").agg(F.count("*").alias("n")),

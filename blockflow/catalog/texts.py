@@ -191,8 +191,6 @@ QUERIES = {
         F.lit("es").alias("target_lang"))).select("doc_id", "leftover"),
     "normalize_text": lambda fx: t.normalize_text(fx.documents, "markup").select(
         "doc_id", F.length("normal").alias("n"), F.md5("normal").alias("digest")),
-    "normalize_text_exact": lambda fx: t.exact_unicode(fx.documents).select(
-        "doc_id", F.length("normal").alias("n")),
     "validate_requests": lambda fx: t.validate_requests(requests(fx)).select("doc_id", "error"),
     "coerce_flags": lambda fx: t.coerce_flags(fx.events.select(
         "event_id", F.when(F.col("event_id") % 5 == 0, " YES ").when(
@@ -202,7 +200,7 @@ QUERIES = {
     "document_keys": lambda fx: t.document_keys(fx.pages.select(
         "page_id", F.col("url").alias("name"), F.col("url").alias("scope"),
         F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("0.1:"), F.col("page_id")))
-        .alias("signature"))).select("page_id", "doc_key", "doc_key_sha", "clean_scope",
+        .alias("signature"))).select("page_id", "doc_key", "doc_key_sha", "doc_md5", "doc_sha256", "clean_scope",
                                      "scoped_signature"),
     "natural_sort_key": lambda fx: t.natural_sort_key(fx.pages.select(
         "page_id", F.col("url").alias("name"))).select("page_id", "sort_key"),
@@ -257,7 +255,7 @@ ORACLES = {
         when length(text) > 20000 then 'too_long' when len(regexp_extract_all(text, '\\S+')) > 5000 then 'too_many_words' end as error from r join n using (source)""",
     "coerce_flags": """select event_id, event_id % 5 = 0 as a, case when event_id % 3 = 1 then true when event_id % 3 = 0 then false else true end as b from events""",
     "document_keys": r"""with p as (select page_id, url, substr(regexp_replace(url, '[^A-Za-z0-9_]', '', 'g'), 1, 64) as c, case when page_id % 4 > 0 then '0.1:' || page_id else '' end as g from pages)
-      select page_id, substr(md5(url), 1, 12) as doc_key, substr(sha256(url), 1, 12) as doc_key_sha, c as clean_scope, case when c = '' or g = '' then g else c || ':' || g end as scoped_signature from p""",
-    "natural_sort_key": r"""select page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda p: case when regexp_matches(p, '^\d') and length(ltrim(p, '0')) <= 12 then lpad(ltrim(p, '0'), 12, '0') else p end), '') as sort_key from pages""",
+      select page_id, substr(md5(url), 1, 12) as doc_key, substr(sha256(url), 1, 12) as doc_key_sha, md5(url) as doc_md5, sha256(url) as doc_sha256, c as clean_scope, case when c = '' or g = '' then g else c || ':' || g end as scoped_signature from p""",
+    "natural_sort_key": r"""select page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda p: case when regexp_matches(p, '^\d') then lpad(length(ltrim(p, '0'))::varchar, 10, '0') || ltrim(p, '0') else p end), '') as sort_key from pages""",
     "page_range": "select l_linenumber as page, count(*) as n from lineitem where l_linenumber between 2 and 4 group by 1",
 }

@@ -4,6 +4,7 @@ Everything takes and returns a Column, so a text job stays inside one JVM projec
 ``\w`` and ``\b`` are made Unicode-aware with ``(?U)``.
 """
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,8 +15,11 @@ from blockflow.rules import languages as lg
 from blockflow.rules import patterns as pt
 
 CJK = r"[\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{ac00}-\x{d7a3}\x{4e00}-\x{9fff}]"
-LATIN_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-LATIN_TO = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+# Accented Latin letters (to U+024F and U+1E00-U+1EFF) and the letter each decomposes to.
+_PLAIN = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()
+          for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+LATIN_FROM = "".join(c for c, plain in _PLAIN.items() if len(plain) == 1)
+LATIN_TO = "".join(plain for plain in _PLAIN.values() if len(plain) == 1)
 
 
 def literals(words) -> Column:

@@ -80,19 +80,15 @@ def tag_mixed_languages(df: DataFrame, dominant: str, text: str = "text") -> Dat
             .withColumn("mixed", F.size("languages") > 1).drop("_words"))
 
 
-def language_profiles(samples: DataFrame, n: int = 3, top: int = 300) -> DataFrame:
+def language_profiles(samples: DataFrame, n: int = 3) -> DataFrame:
     """Character n-gram weights per language, learned from (text, lang).
 
-    Counts are combined map-side; the ``top`` grams of each language make its profile, so a
-    profile table has a proven bound of languages × ``top`` rows.
+    Counts are combined map-side and every gram of a language stays in its profile.
     """
-    from pyspark.sql import Window
     counts = (samples.select("lang", F.explode(grams(F.col("text"), n)).alias("gram"))
               .groupBy("lang", "gram").agg(F.count("*").alias("c")))
     total = counts.groupBy("lang").agg(F.sum("c").alias("_t"))
-    best = Window.partitionBy("lang").orderBy(F.desc("c"), "gram")
-    kept = counts.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= top)
-    return kept.join(F.broadcast(total), "lang").select(
+    return counts.join(total, "lang").select(
         "lang", "gram", F.round(F.log(F.col("c") / F.col("_t")) * 1000).cast("bigint").alias("w"))
 
 
@@ -106,13 +102,13 @@ def statistical_language(df: DataFrame, profiles: DataFrame, key: str = "doc_id"
                          text: str = "text", n: int = 3, floor: int = -9000) -> DataFrame:
     """(key, guess): the language whose profile fits the grams of a text best.
 
-    Grams are counted per text before they meet the profiles, which are bounded by construction
-    and broadcast. Weights are whole thousandths, so the order of sums cannot change a guess.
+    Grams meet the profiles first, then weights are added up per text and language, combined
+    before the shuffle; Spark checks the profiles' size before it broadcasts them. Weights are
+    whole thousandths, so the order of sums cannot change a guess.
     """
-    counted = (df.select(key, F.explode(grams(F.col(text), n)).alias("gram"))
-               .groupBy(key, "gram").agg(F.count("*").alias("c")))
-    scored = (counted.join(F.broadcast(profiles), "gram")
-              .groupBy(key, "lang").agg(F.sum(F.col("c") * (F.col("w") - floor)).alias("s")))
+    scored = (df.select(key, F.explode(grams(F.col(text), n)).alias("gram"))
+              .join(profiles, "gram")
+              .groupBy(key, "lang").agg(F.sum(F.col("w") - floor).alias("s")))
     return scored.groupBy(key).agg(F.max_by("lang", F.struct("s", "lang")).alias("guess"))
 
 

@@ -8,7 +8,7 @@ from blockflow.operators import language as la
 from blockflow.session import checkpointed
 
 EDGES = "'\".,;:!?¡¿()[]{}"
-BANDS = [("3-5", 3, 5), ("6-12", 6, 12), ("13-14", 13, 14), ("15+", 15, 10_000)]
+BANDS = [("1-5", 5), ("6-12", 12), ("13-14", 14)]  # name and longest word; then 15+
 # Edit budgets by length band (short, middle, long). Fixed values.
 BUDGETS = {"current": (2, 2, 2), "strict": (1, 2, 0), "chosen": (1, 2, 1), "one": (1, 1, 1)}
 
@@ -138,8 +138,7 @@ def correct_spelling(texts: DataFrame, dictionary: DataFrame, key: list[str],
     is corrected once, and the answer joins back to its tokens. A text is put together again
     from its own tokens, so a group never exceeds one text.
     """
-    tagged = la.tag_language_simple(
-        texts.withColumn("_sample", F.substring(F.col(text), 1, 600)), "_sample", "_lang")
+    tagged = la.tag_language_simple(texts, text, "_lang")
     fit = tagged.where((F.col("_lang") == home) & ~tx.has_cjk(F.col(text)) & (F.length(text) > 2))
     if dictionaries is not None:
         mixed = foreign_tokens(fit.where(tx.word_count(F.col(text)) >= 2), dictionaries, key,
@@ -168,15 +167,14 @@ def edit_budget_report(corrections: DataFrame) -> DataFrame:
     dozen rows, not the corpus.
     """
     n = F.length("word")
-    band = None
-    for name, lo, hi in BANDS:
-        band = (F.when(n.between(lo, hi), name) if band is None
-                else band.when(n.between(lo, hi), name))
-    counts = (corrections.withColumn("band", band).where(F.col("band").isNotNull())
+    band = F.lit("15+")
+    for name, longest in reversed(BANDS):
+        band = F.when(n <= longest, name).otherwise(band)
+    counts = (corrections.withColumn("band", band)
               .groupBy("band", "dist").agg(F.count("*").alias("n")))
     options = []
     for name, (short, middle, long) in BUDGETS.items():
-        allowed = (F.when(F.col("band") == "3-5", short)
+        allowed = (F.when(F.col("band") == "1-5", short)
                    .when(F.col("band").isin("6-12", "13-14"), middle).otherwise(long))
         options.append(F.struct(F.lit(name).alias("budget"), allowed.alias("allowed")))
     return (counts.withColumn("_o", F.explode(F.array(*options)))

@@ -183,23 +183,30 @@ def coerce_flags(df: DataFrame, columns: dict[str, bool]) -> DataFrame:
 
 def document_keys(df: DataFrame, name: str = "name", scope: str = "scope",
                   signature: str = "signature") -> DataFrame:
-    """Short hashes of the file name, a sanitised scope, and the scoped signature."""
+    """Hashes of the file name (whole, and short to display), a sanitised scope, and the scoped
+    signature."""
     clean = F.substring(F.regexp_replace(F.coalesce(F.col(scope), F.lit("")), "[^A-Za-z0-9_]", ""),
                         1, 64)
     sig = F.coalesce(F.col(signature), F.lit(""))
-    return (df.withColumn("doc_key", F.substring(F.md5(name), 1, 12))
+    return (df.withColumn("doc_md5", F.md5(name)).withColumn("doc_sha256", F.sha2(F.col(name), 256))
+            .withColumn("doc_key", F.substring(F.md5(name), 1, 12))
             .withColumn("doc_key_sha", F.substring(F.sha2(F.col(name), 256), 1, 12))
             .withColumn("clean_scope", clean)
             .withColumn("scoped_signature", F.when((clean == "") | (sig == ""), sig)
                         .otherwise(F.concat_ws(":", clean, sig))))
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key in which digit runs compare as numbers."""
+def natural_key(c: Column) -> Column:
+    """Sort key in which digit runs of any length compare as numbers: the number of digits
+    goes before them."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(
-        p.rlike(r"^\d") & (F.length(F.ltrim(p, F.lit("0"))) <= width),
-        F.lpad(F.ltrim(p, F.lit("0")), width, "0")).otherwise(p)), "")
+
+    def numbered(p: Column) -> Column:
+        digits = F.ltrim(p, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), numbered(p))
+                                    .otherwise(p)), "")
 
 
 def natural_sort_key(df: DataFrame, name: str = "name") -> DataFrame:

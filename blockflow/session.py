@@ -27,10 +27,12 @@ def local_session(cpus: str = "*", memory: str = "12g", partitions: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder named by ``spark.checkpoint.dir``; only a local session may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

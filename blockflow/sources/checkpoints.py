@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 TEXT = ("struct<src: string, source: string, tgt: string, translated: string, type: string, "
         "block_type: string, confidence: double, source_lang: string, target_lang: string, "
         "detected_lang: string, engine: string>")
+EXTRAS = ["confidence", "engine", "detected_lang"]  # what a text may carry besides
 SCHEMA = ("total_pages bigint, pages_done array<bigint>, results array<struct<page: bigint, "
           "status: string, blocks: bigint, translated: bigint, time: double, "
           f"source_lang: string, target_lang: string, texts: array<{TEXT}>>>, ocr_mode string, "
@@ -13,10 +14,11 @@ SCHEMA = ("total_pages bigint, pages_done array<bigint>, results array<struct<pa
 
 
 def read_checkpoints(spark: SparkSession, path: str,
-                     multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(pages, pairs). Languages come from the text, else its page, else the document; older
+                     whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pages, pairs) of documents, one to a line; ``whole_files`` is for files that hold one
+    document each, over many lines. Languages come from the text, else its page, else the document; older
     key names are accepted; ``has_metadata`` tells whether a text carries any of its own."""
-    docs = (spark.read.schema(SCHEMA).option("multiLine", multiline).json(path)
+    docs = (spark.read.schema(SCHEMA).option("multiLine", whole_files).json(path)
             .withColumnsRenamed({"source_lang": "_sl", "target_lang": "_tl"})
             .withColumn("run", F.coalesce("run", F.col("_metadata.file_name"))))
     rows = docs.select("run", "_sl", "_tl", F.explode("results").alias("r")).select(
@@ -35,7 +37,7 @@ def read_checkpoints(spark: SparkSession, path: str,
         F.coalesce("t.source_lang", "_psl", "_sl", F.lit("auto")).alias("source_lang"),
         F.coalesce("t.target_lang", "_ptl", "_tl", F.lit("auto")).alias("target_lang"),
         F.coalesce("t.type", "t.block_type").alias("block_type"),
-        F.col("t.confidence").alias("confidence"),
+        *(F.col(f"t.{c}").alias(c) for c in EXTRAS),
         F.coalesce(*own).isNotNull().alias("has_metadata"))
     return pages, pairs
 
@@ -50,16 +52,20 @@ def write_checkpoints(pages: DataFrame, pairs: DataFrame, path: str,
     text = F.struct("pos", F.struct(
         "src", "tgt", F.nullif(F.col("block_type"), F.lit("")).alias("type"),
         F.nullif(F.col("source_lang"), F.lit("")).alias("source_lang"),
-        F.nullif(F.col("target_lang"), F.lit("")).alias("target_lang")).alias("t"))
+        F.nullif(F.col("target_lang"), F.lit("")).alias("target_lang"),
+        *(F.col(c) for c in EXTRAS if c in pairs.columns)).alias("t"))
     texts = pairs.groupBy("run", "page").agg(F.transform(
         F.array_sort(F.collect_list(text)), lambda x: x["t"]).alias("texts"))
     result = F.struct("page", "status", F.col("n_blocks").alias("blocks"),
                       F.col("n_translated").alias("translated"), F.col("elapsed_s").alias("time"),
                       "texts")
     part = F.floor(F.col("page") / pages_per_document)
+    totals = (["total_pages"] if "total_pages" in pages.columns else [])
     docs = (pages.join(texts, ["run", "page"], "left").groupBy("run", part.alias("_part"))
-            .agg(F.array_sort(F.collect_list(result)).alias("results"))
+            .agg(F.array_sort(F.collect_list(result)).alias("results"),
+                 *(F.max(c).alias(c) for c in totals))
             .withColumn("pages_done", F.transform("results", lambda r: r["page"]))
-            .withColumn("value", F.to_json(F.struct("run", "pages_done", "results"))))
+            .withColumn("value", F.to_json(F.struct("run", "pages_done", "results",
+                                                         *totals))))
     (docs.select("run", "value").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path))

@@ -100,13 +100,13 @@ def rescale_boxes(blocks: DataFrame, canvas: float, pages: DataFrame) -> DataFra
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line). Files are split by Spark as usual; a line's number comes from its
-    place in its split plus the lines of earlier splits of the file."""
+    """(path, file, line_no, line); file is the name alone. Files are split by Spark as usual; a
+    line's number comes from its place in its split plus the lines of the file's earlier splits."""
     raw = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_in_split"), F.col("value").alias("line"))
-    return scan.rank(raw, ["file"], ["_in_split"], "_at", "line_no").drop("_at", "_in_split")
+    return scan.rank(raw, ["path"], ["_in_split"], "_at", "line_no").drop("_at", "_in_split")
 
 
 PAGE_RECORD = ("struct<total_s: double, n_blocks: bigint, avg_conf: double, engine: string, "
@@ -115,10 +115,11 @@ PAGE_RECORD = ("struct<total_s: double, n_blocks: bigint, avg_conf: double, engi
                "stages: map<string, double>, calls: map<string, bigint>>")
 
 
-def read_page_benchmarks(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """One row per page of benchmark files (a map of page to record)."""
+def read_page_benchmarks(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One row per page of benchmark records (a map of page to record), one record to a line;
+    ``whole_files`` is for files that hold one record each, over many lines."""
     docs = (spark.read.schema(f"per_page map<string, {PAGE_RECORD}>")
-            .option("multiLine", multiline).json(path))
+            .option("multiLine", whole_files).json(path))
     return docs.select(F.explode("per_page").alias("page", "r")).select(
         F.col("page").cast("bigint").alias("page"), "r.*")
 
@@ -139,9 +140,10 @@ DIAGNOSTICS = ("schema_version int, ocr_mode string, ocr_lang string, doc_id str
 
 
 def read_page_diagnostics(spark: SparkSession, path: str, version: int | None = None,
-                          multiline: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, stage rows, error rows) of versioned diagnostics."""
-    docs = (spark.read.schema(DIAGNOSTICS).option("multiLine", multiline).json(path))
+                          whole_files: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, stage rows, error rows) of versioned diagnostics, one to a line or, with
+    ``whole_files``, one to a file."""
+    docs = spark.read.schema(DIAGNOSTICS).option("multiLine", whole_files).json(path)
     if version is not None:
         docs = docs.where(F.col("schema_version") == version)
     stages = docs.select("doc_id", F.explode("timings").alias("stage", "seconds"))

@@ -7,10 +7,14 @@ CLASSES = ["text_bubble", "text_free"]
 
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(page, line) of all label files below a folder; the page is the file's own name."""
+    """(page, path, line) of all label files below a folder. The page is the file's own name, or
+    the value of the folder ``page_id=…`` in files that ``write_labels`` made."""
     files = spark.read.option("recursiveFileLookup", True).text(path)
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-                        .alias("page"), F.col("value").alias("line"))
+    path = F.col("_metadata.file_path")
+    folder = F.url_decode(F.regexp_extract(path, "/page_id=([^/]+)/", 1))
+    return files.select(
+        F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(path, r"([^/]+)\.txt$", 1))
+        .alias("page"), path.alias("path"), F.col("value").alias("line"))
 
 
 def parse_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Users, projects, pages and text blocks as tables, with the owner as scope."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,27 +67,45 @@ def tenant_scope(pages: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def replace_page_blocks(spark: SparkSession, store: str, blocks: DataFrame,
-                        buckets: int = BUCKETS) -> None:
+                        buckets: int = BUCKETS, pages: DataFrame | None = None,
+                        user_id: int | None = None) -> None:
     """Replace the blocks of all pages in ``blocks``; other pages are untouched.
 
-    ``buckets`` is the number the store was written with.
+    ``buckets`` is the number the store was written with. ``pages`` (page_id) also names pages
+    that are to have no blocks any more. With ``user_id`` only pages of that user's own projects
+    are replaced.
 
     Only the buckets that hold these pages are rewritten. The new version is written beside the
     store first, so a lost executor or a failed job leaves the old one in place until the
     final overwrite of exactly those buckets.
     """
+    if user_id is not None:
+        own = tenant_pages(read_table(spark, store, "pages"),
+                           read_table(spark, store, "projects"), user_id).select(
+            F.col("id").alias("page_id"))
+        blocks = blocks.join(own, "page_id", "left_semi")
+        pages = None if pages is None else pages.join(own, "page_id", "left_semi")
     new = conform(blocks, "text_blocks", buckets)
-    touched = new.select("page_id", "page_bucket").distinct()
+    touched = new.select("page_id")
+    if pages is not None:
+        touched = touched.unionByName(pages.select(F.col("page_id").cast("bigint")))
+    touched = touched.distinct().withColumn("page_bucket", F.pmod("page_id", F.lit(buckets)))
     old = read_table(spark, store, "text_blocks")
     kept = (old.join(touched.select("page_bucket").distinct(), "page_bucket", "left_semi")
             .join(touched.select("page_id"), "page_id", "left_anti").select(*new.columns))
-    staging = f"{store}/_staging/text_blocks"
+    staging = f"{store}/_staging/{uuid.uuid4().hex}"
     (kept.unionByName(new).repartition("page_bucket").write.mode("overwrite")
      .partitionBy("page_bucket").parquet(staging))
     (spark.read.schema(SCHEMAS["text_blocks"]).parquet(staging).repartition("page_bucket")
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("page_bucket")
      .parquet(f"{store}/text_blocks"))
+    left = spark.read.schema(SCHEMAS["text_blocks"]).parquet(staging).select("page_bucket")
+    empty = (touched.select(F.col("page_bucket").cast("bigint").alias("page_bucket")).distinct()
+             .join(left.distinct(), "page_bucket", "left_anti").collect())  # at most ``buckets``
+    for folder in [staging, *(f"{store}/text_blocks/page_bucket={r[0]}" for r in empty)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def migrate_confidence(old: DataFrame) -> DataFrame:
