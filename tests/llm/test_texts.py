@@ -52,12 +52,12 @@ def test_automaton_probabilities_sum_to_one():
                               (triple_keys, np.array([triples[int(k)] for k in triple_keys])))
     one = {t: math.log10((singles[t] + 1) / model.floor) for t in range(5)}
     for context in ([], [1], [1, 2], [2, 3], [4, 4]):
-        known = [one[t] for t in context]
-        start = model.score(context, known, 0)
-        total = sum(10 ** (model.score([*context, t], [*known, one[t]], 0) - start)
-                    for t in range(5))
-        total += 10 ** (model.score([*context, -1], [*known, math.log10(1 / model.floor)], 0)
-                        - start)
+        def score(tokens):
+            single = [one[t] if t >= 0 else math.log10(1 / model.floor) for t in tokens]
+            return model.score(np.array(tokens, dtype=int), np.array(single), 0)
+
+        total = sum(10 ** (score([*context, t]) - (score(context) if context else 0))
+                    for t in range(-1, 5))
         assert abs(total - 1) < 1e-6
 
 
