@@ -1,12 +1,14 @@
 """Detectors against gold boxes, readings against each other."""
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockflow.functions import boxes as bx
 from blockflow.functions import text as tx
 from blockflow.operators import scan
-from blockflow.operators.blocks import TILE
+from blockflow.operators.blocks import TILE, _Near
 from blockflow.operators.folds import fold_groups
 from blockflow.operators.joins import CELL, _cells, prefixed
 
@@ -14,17 +16,19 @@ CLASS_NAMES = {0: "bubble", 1: "free"}
 
 
 def _match(rows: list[dict], min_ratio: float):
-    gold = [r for r in rows if r["_gold"]]
-    found = [r for r in rows if not r["_gold"]]
-    taken: set[int] = set()
-    hits = {0: 0, 1: 0}
-    for g in gold:
-        for k, d in enumerate(found):
-            if k not in taken and bx.overlap_of(g, d) > min_ratio:
-                taken.add(k)
-                hits[g["cls"]] = hits.get(g["cls"], 0) + 1
-                break
-    yield (rows[0]["page_id"], sum(hits.values()), hits.get(0, 0), hits.get(1, 0))
+    """Gold boxes in turn take the first free detection near them that covers enough."""
+    near = _Near(rows)
+    free = {k: r for k, r in enumerate(rows) if not r["_gold"]}
+    for k, r in free.items():
+        near.add(k, r)
+    hits: Counter = Counter()
+    for gold in filter(lambda r: r["_gold"], rows):
+        cover = (k for k in near.of(gold) if k in free
+                 and bx.overlap_of(gold, free[k]) > min_ratio)
+        if (k := next(cover, None)) is not None:
+            del free[k]
+            hits[gold["cls"]] += 1
+    yield (rows[0]["page_id"], hits.total(), hits[0], hits[1])
 
 
 def page_scores(gold: DataFrame, dets: DataFrame, pages: DataFrame, min_ratio: float = 0.30,
