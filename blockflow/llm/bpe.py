@@ -110,16 +110,14 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(model, pattern: str) -> Codec:
-    """One codec per process and model."""
-    key = (model.id if hasattr(model, "id") else id(model), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(model.value, pattern)
-    return _codecs[key]
+def _codec(path: str, pattern: str, model) -> Codec:
+    """One codec per process, vocabulary and pattern."""
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = Codec(model.value, pattern)
+    return _codecs[path, pattern]
 
 
 def _shared_model(spark: SparkSession, path: str):
@@ -130,10 +128,11 @@ def _shared_model(spark: SparkSession, path: str):
 def encode(docs: DataFrame, path: str | None = None,
            pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and the ids of every whole text."""
-    model = _shared_model(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
+    path = path or public_tokenizers.path(VOCABULARY)
+    model = _shared_model(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model, pattern)
+        codec = _codec(path, pattern, model)
         for part in slices(batches):
             encoded = [codec.encode(t or "") for t in part.column("text").to_pylist()]
             ends = np.cumsum([0, *(len(e) // 4 for e in encoded)], dtype=np.int32)
@@ -153,10 +152,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     A null list of ids is an empty one.
     """
-    model = _shared_model(encoded.sparkSession, path or public_tokenizers.path(VOCABULARY))
+    path = path or public_tokenizers.path(VOCABULARY)
+    model = _shared_model(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model, public_tokenizers.PATTERN)
+        codec = _codec(path, public_tokenizers.PATTERN, model)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

@@ -3,8 +3,9 @@
 Addresses, numbers and the like (the base spans) are the protected entities. A line is a context.
 How strongly a term reveals an entity is their pointwise mutual information over all lines of the
 corpus; the entity's information content is what there is to disclose. A term that discloses at
-least ``DISCLOSED`` of it, in at least ``SUPPORT`` different lines with the entity, gives a span
-wherever it stands, also in documents without the entity. ``sanitise`` puts a tag for the kind in
+least ``DISCLOSED`` of it, beside at least ``SUPPORT`` different pairs of neighbours in lines with the
+entity (so that copies of a line count once), gives a span wherever it stands, also in documents
+without the entity. ``sanitise`` puts a tag for the kind in
 place of a base span; a revealing term becomes a general tag where it is written like a name and is
 removed otherwise.
 
@@ -101,12 +102,22 @@ def base_spans(text: Column) -> Column:
 
 
 def _terms(line: Column) -> Column:
-    """The distinct terms of a line outside of what looks like a base span."""
+    """The terms of a line outside of what looks like a base span, in order."""
     blank = line
     for kind in KINDS:
         blank = F.regexp_replace(blank, PATTERNS[kind], " ")
     plain = F.when(line.rlike("[@0-9]"), blank).otherwise(line)
-    return F.array_distinct(F.regexp_extract_all(ascii_lower(plain), F.lit(_TERM), F.lit(0)))
+    return F.regexp_extract_all(ascii_lower(plain), F.lit(_TERM), F.lit(0))
+
+
+def _beside(terms: Column) -> Column:
+    """The distinct terms with a hash of the neighbours that each has where it first stands."""
+    def one(term: Column) -> Column:
+        at = F.array_position(terms, term).cast("int")
+        return F.struct(term.alias("term"), F.xxhash64(F.get(terms, at - 2), F.get(terms, at))
+                        .alias("beside"))
+
+    return F.transform(F.array_distinct(terms), one)
 
 
 def _entity(span: Column) -> Column:
@@ -124,16 +135,15 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
         .select("line", F.array_distinct(F.transform(base_spans(F.col("line")), _entity))
                 .alias("entities")).filter(F.size("entities") > 0)
         .groupBy("line", "entities").agg(F.count("*").alias("n"))
-        .select(F.xxhash64("line").alias("at"), "n", "entities",
-                _terms(F.col("line")).alias("terms")))
-    each = near.select("at", "n", F.explode("entities").alias("entity"), "terms")
+        .select("n", "entities", let(_terms(F.col("line")), _beside).alias("terms")))
+    each = near.select("n", F.explode("entities").alias("entity"), "terms")
     of_entity = each.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     together = checkpointed(
-        each.select("at", "n", "entity", F.explode("terms").alias("term"))
+        each.select("n", "entity", F.inline("terms"))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_both"),
-                                       F.count("*").alias("support"))
+                                       F.count_distinct("beside").alias("support"))
         .filter(F.col("support") >= SUPPORT))
-    of_term = lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(
+    of_term = lines.select(F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(
         F.count("*").alias("n_term"))
     n_lines = lines.count()
     bits = F.log2(F.col("n_both") * F.lit(float(n_lines)) / F.col("n_term") / F.col("n_entity"))
@@ -162,16 +172,17 @@ def _term_spans(docs: DataFrame, revealing: DataFrame) -> DataFrame:
         at = F.pmod(F.xxhash64(term), F.lit(FLAGS)).cast("int") + 1
         return F.substring(table_of, at, F.lit(1)) == F.lit(b"\x01")
 
-    lines = F.split("text", "\n")
-    words = F.array_distinct(F.flatten(F.transform(lines, _terms)))
-    hit = checkpointed(docs.select("text", F.filter(words, flagged).alias("words")).filter(
-        F.size("words") > 0).select("text", "words", *_keys(F.col("text"))).distinct())
-    own = hit.select("k1", "k2", F.explode("words").alias("term")).join(terms, "term").groupBy(
-        "k1", "k2").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("terms", "|"),
-                       F.lit(r")(?!\p{L})"))
-    return checkpointed(hit.select("k1", "k2", "text").join(own, ["k1", "k2"]).select(
-        "k1", "k2", _placed(F.col("text"), pattern, len(KINDS)).alias("found")))
+    def spans(words: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join(words, "|"),
+                           F.lit(r")(?!\p{L})"))
+        return F.when(F.size(words) > 0, _placed(F.col("text"), pattern, len(KINDS)))
+
+    words = F.flatten(F.transform(F.split("text", "\n"), _terms))
+    placed = docs.select(*_keys(F.col("text")), F.explode(
+        let(F.filter(F.array_distinct(words), flagged), spans)).alias("x"))
+    return checkpointed(
+        placed.withColumn("term", ascii_lower(F.col("x.m"))).distinct().join(terms, "term")
+        .groupBy("k1", "k2").agg(F.sort_array(F.collect_list("x")).alias("found")))
 
 
 def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:

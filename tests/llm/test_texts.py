@@ -154,19 +154,21 @@ def test_personal_data_of_odd_texts(spark, edge_docs, no_docs):
 
 
 def test_revealing_terms_go_everywhere(spark):
-    rows = [f"Contact number {i} of Zorblatt is zor@blatt.org, said the clerk." for i in range(5)]
-    rows += [f"The clerk said on day {i} that the contact is well." for i in range(40)]
+    around = ["write Zorblatt today", "call Zorblatt again", "for Zorblatt only", "says Zorblatt twice"]
+    rows = [f"The clerk said {w} at zor@blatt.org, and that is well." for w in around]
+    rows += ["Copied Flimmer line with flim@mer.org in it."] * 6  # one context only
+    rows += [f"The clerk said on day {i} that and at the contact is well." for i in range(40)]
     rows += ["Nobody saw Zorblatt on the bridge.", "Nobody saw the clerk on the bridge."]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {(r.term, r.entity) for r in sanitise.revealing_terms(docs).collect()} == {
-        (t, "0:zor@blatt.org") for t in ("zorblatt", "number", "of")}
+        ("zorblatt", "0:zor@blatt.org")}
     found = {r.doc_id: r for r in sanitise.find_spans(docs, ["doc_id"]).collect()}
-    assert [(x.s, x.e) for x in found[45].spans] == [(11, 19)]
-    assert not found[46].spans and not found[10].spans
+    assert [(x.s, x.e) for x in found[50].spans] == [(11, 19)]
+    assert not found[51].spans and not found[20].spans and len(found[5].spans) == 1
     hidden = {r.doc_id: r.text for r in sanitise.hide_personal_data(spark, docs, "").collect()}
-    assert hidden[45] == "Nobody saw [NAME] on the bridge."
+    assert hidden[50] == "Nobody saw [NAME] on the bridge."
     assert "zor@blatt.org" not in hidden[0] and "[EMAIL]" in hidden[0]
-    assert hidden[46] == rows[46]
+    assert hidden[51] == rows[51]
 
 
 def test_licences(spark, edge_docs, no_docs):
