@@ -11,6 +11,7 @@ from blockflow.operators import scan
 from blockflow.operators import texts as te
 from blockflow.rules import effects as ef
 from blockflow.rules import glossary as gl
+from blockflow.session import checkpointed
 
 DAY = 86_400.0
 KEYS = ["doc_id", "source_key", "source_lang", "target_lang"]
@@ -230,7 +231,7 @@ def alive_intervals(touches: DataFrame, keys: list[str], ttl_s: float,
     """Spans in which an entry stayed alive: touches less than ``ttl_s`` apart."""
     t = (touches.withColumn("_t", seconds(F.col("ts")))
          .withColumn("_slice", F.floor(F.col("_t") / slice_s)))
-    t = scan.previous(t, keys, ["_t"], "_slice", F.col("_t"), "_before")
+    t = checkpointed(scan.previous(t, keys, ["_t"], "_slice", F.col("_t"), "_before"))
     fresh = F.when(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > ttl_s),
                    F.col("_t"))
     t = scan.latest(t, keys, ["_t"], "_slice", fresh, "alive_from")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from blockflow.functions import text as tx
 from blockflow.operators import scan
+from blockflow.session import checkpointed
 
 STATS = ["total_blocks_found", "total_blocks_translated", "pages_with_text", "pages_translated",
          "pages_empty", "pages_error"]
@@ -364,7 +365,7 @@ def compact_ranges(ids: DataFrame, key: str, number: str, width: int = 1 << 16)
     A number that follows its predecessor continues a range; the look back crosses buckets.
     """
     d = ids.select(key, number).distinct().withColumn("_b", F.floor(F.col(number) / width))
-    d = scan.previous(d, [key], [number], "_b", F.col(number), "_prev")
+    d = checkpointed(scan.previous(d, [key], [number], "_b", F.col(number), "_prev"))
     new = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(number) - 1), F.col(number))
     d = scan.latest(d, [key], [number], "_b", new, "first")
     return d.groupBy(key, "first").agg(F.max(number).alias("last"))

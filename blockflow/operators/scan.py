@@ -3,8 +3,8 @@
 A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. Here a key is
 cut into buckets of its order; a window runs inside each (key, bucket), and what earlier
 buckets add up to comes from a small table with one row per bucket. No step ever holds more
-than one bucket of one key. Both sides of each join are partitioned by (key, bucket), so the
-data is shuffled once.
+than one bucket of one key. A scan reads its input twice, once for the totals; where one scan
+feeds another, the first is written once, so chains do not multiply the reads.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,14 @@ def _earlier(totals: DataFrame, keys: list[str], bucket: str, combine, name: str
     return totals.withColumn(name, combine(F.col(name)).over(before))
 
 
+def totals_before(df: DataFrame, keys: list[str], bucket: str, total: Column,
+                  name: str) -> DataFrame:
+    """One row per bucket of a key: ``name`` is the total over the key's earlier buckets, or 0."""
+    totals = df.groupBy(*keys, bucket).agg(total.alias(name))
+    return _earlier(totals, keys, bucket, F.sum, name).withColumn(
+        name, F.coalesce(name, F.lit(0)))
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], bucket: str,
                   value: Column, name: str) -> DataFrame:
     """Add ``name``: sum of ``value`` over the rows of the key up to and including this one."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blockflow.operators import scan
 from blockflow.operators.folds import fold_groups, fold_stream
 from blockflow.operators.memory import seconds
+from blockflow.session import checkpointed
 
 HOUR, DAY = 3600, 86_400
 LOOPBACK = ["127.0.0.1", "::1", "localhost", "::ffff:127.0.0.1"]
@@ -25,12 +26,14 @@ def rate_limit(calls: DataFrame, per_hour: int = 500, per_day: int = 2000) -> Da
     t = seconds(F.col("ts"))
     c = (calls.withColumn("_hour", F.floor(t / HOUR)).withColumn("_day", F.floor(t / DAY))
          .withColumn("_minute", F.floor(t / 60)))
-    c = scan.rank(c, ["client", "_hour"], ["ts", "event_id"], "_minute", "hour_n")
-    c = scan.rank(c, ["client", "_day"], ["ts", "event_id"], "_hour", "day_n")
+    c = checkpointed(scan.rank(c, ["client", "_hour"], ["ts", "event_id"], "_minute", "hour_n"))
+    hours = scan.totals_before(c, ["client", "_day"], "_hour", F.count("*"), "_earlier")
+    c = c.join(hours, ["client", "_day", "_hour"]).withColumn(
+        "day_n", F.col("hour_n") + F.col("_earlier"))
     exempt = F.col("client").cast("string").isin(LOOPBACK)
     return (c.withColumn("allowed", exempt | ((F.col("hour_n") <= per_hour)
                                               & (F.col("day_n") <= per_day)))
-            .drop("_hour", "_day", "_minute"))
+            .drop("_hour", "_day", "_minute", "_earlier"))
 
 
 def fast_empty_streaks(calls: DataFrame, keys: list[str], fast_s: float = 2.0, limit: int = 3,
@@ -43,7 +46,7 @@ def fast_empty_streaks(calls: DataFrame, keys: list[str], fast_s: float = 2.0, l
     fast = (F.col("n_blocks") == 0) & (F.col("elapsed_s") < fast_s)
     c = calls.withColumn("_slice", F.floor(seconds(F.col("ts")) / slice_s))
     order = ["ts", "event_id"]
-    c = scan.running_total(c, keys, order, "_slice", fast.cast("bigint"), "_fast")
+    c = checkpointed(scan.running_total(c, keys, order, "_slice", fast.cast("bigint"), "_fast"))
     c = scan.latest(c, keys, order, "_slice", F.when(reset, F.col("_fast")), "_at_reset")
     streak = F.col("_fast") - F.coalesce("_at_reset", F.lit(0))
     return (c.withColumn("streak", streak)
@@ -96,7 +99,7 @@ def backoff_windows(calls: DataFrame, keys: list[str], slice_s: int = DAY) -> Da
     c = (calls.withColumn("_t", seconds(F.col("ts")))
          .withColumn("_slice", F.floor(F.col("_t") / slice_s)))
     order = ["_t", "event_id"]
-    c = scan.previous(c, keys, order, "_slice", F.col("_t"), "_before")
+    c = checkpointed(scan.previous(c, keys, order, "_slice", F.col("_t"), "_before"))
     gap = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > MAX_PAUSE)
     firsts = (c.where(gap).groupBy(*keys, "_slice")
               .agg(F.min(F.struct(*order)).alias("_cut")))
@@ -185,7 +188,7 @@ def _by_lifetime(pages: DataFrame, keys: list[str]) -> DataFrame:
     p = (pages.withColumn("_t", seconds(F.col("ts")))
          .withColumn("_slice", F.floor(F.col("_t") / DAY)))
     order = ["_t", "event_id"]
-    p = scan.previous(p, keys, order, "_slice", F.col("_t"), "_before")
+    p = checkpointed(scan.previous(p, keys, order, "_slice", F.col("_t"), "_before"))
     fresh = F.when(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > TTL), F.col("_t"))
     return scan.latest(p, keys, order, "_slice", fresh, "lifetime")
 

@@ -393,3 +393,18 @@ def test_near_signatures_find_every_pair(spark):
     mask = (1 << 64) - 1
     assert got == {(v, u) for v in set(a) for u in set(b)
                    if bin((v ^ u) & mask).count("1") <= 4}
+
+
+def test_chained_scans_read_their_source_twice_at_most(spark, tmp_path):
+    """The first scan of a chain is written, so the plan of the second does not read the source."""
+    path = str(tmp_path / "calls")
+    spark.createDataFrame([(i, i % 3, i % 2, 0.5, i * 10) for i in range(60)],
+                          "event_id long, client long, n_blocks long, elapsed_s double, at long"
+                          ).withColumn("ts", F.timestamp_seconds("at")).write.parquet(path)
+    calls = spark.read.parquet(path)
+    for made in (sq.rate_limit(calls, 5, 9), sq.fast_empty_streaks(calls, ["client"]),
+                 me.alive_intervals(calls, ["client"], 15.0)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert path not in plan and plan.count("Relation [") <= 2
+    limited = sq.rate_limit(calls, 5, 9).orderBy("event_id").collect()
+    assert [r.day_n for r in limited] == [i // 3 + 1 for i in range(60)]
