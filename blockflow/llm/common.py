@@ -61,23 +61,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
 
 
 class Memo:
-    """What was made of short strings before: at most ``most`` results, emptied when full."""
+    """What was made of short strings before: at most ``most`` results, emptied when full.
 
-    def __init__(self, most: int = 600_000):
+    Results for strings over ``longest`` characters are made each time.
+    """
+
+    def __init__(self, most: int = 600_000, longest: int = 128):
         self.made: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.longest = most, longest
 
     def each(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """The results for the keys; ``make`` gets those that are not there yet."""
         made = self.made
-        if new := [k for k in set(keys) if k not in made]:
-            if made and len(made) + len(new) > self.most:
-                made.clear()
-                new = list(set(keys))
-            made.update(zip(new, make(new), strict=True))
+        if not (new := [k for k in set(keys) if k not in made]):
+            return [made[k] for k in keys]
+        if made and len(made) + len(new) > self.most:
+            made.clear()
+            new = list(set(keys))
+        made.update(zip(new, make(new), strict=True))
         found = [made[k] for k in keys]
         if len(made) > self.most:
             made.clear()
+        else:
+            for k in new:
+                if len(k) > self.longest:
+                    del made[k]
         return found
 
     def join(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> bytes:

@@ -112,12 +112,12 @@ def _terms(line: Column) -> Column:
 
 def _beside(terms: Column) -> Column:
     """The distinct terms with a hash of the neighbours that each has where it first stands."""
-    def one(term: Column) -> Column:
-        at = F.array_position(terms, term).cast("int")
-        return F.struct(term.alias("term"), F.xxhash64(F.get(terms, at - 2), F.get(terms, at))
-                        .alias("beside"))
-
-    return F.transform(F.array_distinct(terms), one)
+    each = F.transform(terms, lambda t, i: F.struct(
+        t.alias("term"), i.alias("at"),
+        F.xxhash64(F.get(terms, i - 1), F.get(terms, i + 1)).alias("beside")))
+    return let(F.sort_array(each), lambda s: F.transform(
+        F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i - 1)["term"] == x["term"], F.lit(False))),
+        lambda x: F.struct(x["term"].alias("term"), x["beside"].alias("beside"))))
 
 
 def _entity(span: Column) -> Column:
