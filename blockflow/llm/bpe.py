@@ -18,8 +18,6 @@ from struct import pack
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +65,9 @@ class Codec:
     """Encoder and decoder of one process, from the serialised model."""
 
     def __init__(self, model: bytes, pattern: str):
+        import regex
+        import sentencepiece
+
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = regex.compile(pattern).findall
         letters = byte_letters()
