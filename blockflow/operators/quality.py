@@ -128,6 +128,7 @@ def consistency_conflicts(pairs: DataFrame) -> DataFrame:
 
 # --- alerts ----------------------------------------------------------------------------------
 
+# Alerts that make a page critical.
 CRITICAL_ALERTS = ["OCR_BASURA", "BASURA", "IDENTICO", "VACIO", "TEXTO_REPETITIVO",
                    "FALLO_TRADUCCION"]
 # Contractions and their words; applied in this order. Fixed values.

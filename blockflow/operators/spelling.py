@@ -91,7 +91,8 @@ def best_corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     one = checkpointed(dictionary_candidates(unknown, dictionary, 1))
     open_words = (unknown.where(depth == 2)
                   .join(one.select("word").distinct(), "word", "left_anti"))
-    two = dictionary_candidates(open_words, dictionary, 2)
+    # Two edits are only allowed from 6 to 14 letters, so candidates have 4 to 16.
+    two = dictionary_candidates(open_words, dictionary.where(F.length("word").between(4, 16)), 2)
     plain = tx.plain_latin(F.col("word")) == tx.plain_latin(F.col("candidate"))
     rank = F.struct((-F.col("dist")).alias("d"), plain.alias("p"), "freq",
                     F.col("candidate").alias("c"))
@@ -152,7 +153,11 @@ def correct_spelling(texts: DataFrame, dictionary: DataFrame, key: list[str],
     capital = F.col("token").rlike(r"^\p{Lu}")
     fixed = F.when(F.col("correction").isNull(), F.col("token")).when(
         capital, F.initcap("correction")).otherwise(F.col("correction"))
-    joined = toks.join(fixes.select("word", "correction"), "word", "left")
+    # Tokens without a usable word would all meet under one key, so they do not take part.
+    joined = (toks.where(F.col("word").isNotNull())
+              .join(fixes.select("word", "correction"), "word", "left")
+              .unionByName(toks.where(F.col("word").isNull())
+                           .withColumn("correction", F.lit(None).cast("string"))))
     rebuilt = joined.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("pos", fixed.alias("t")))), lambda x: x["t"]), " ").alias("_new"),
         F.count("correction").alias("_n"))
