@@ -183,7 +183,9 @@ def test_licences(spark, edge_docs, no_docs):
                                   "doc_id long, text string")
     got = {r.doc_id: r.families for r in licences.scan(frame, ["doc_id"]).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
-    assert all(r.n_paragraphs == 0 for r in licences.scan(edge_docs, ["doc_id"]).collect())
+    odd = licences.scan(edge_docs, ["doc_id", "text"]).collect()
+    assert all(r.families == "" and r.n_confirmed == 0 for r in odd)
+    assert all(r.n_paragraphs == 0 for r in odd if not (r.text or "").strip())
     assert licences.scan(no_docs, ["doc_id"]).count() == 0
 
 
