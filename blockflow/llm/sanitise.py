@@ -3,9 +3,9 @@
 Addresses, numbers and the like (the base spans) are the protected entities. A line is a context.
 How strongly a term reveals an entity is their pointwise mutual information over all lines of the
 corpus; the entity's information content is what there is to disclose. A term that discloses at
-least ``DISCLOSED`` of it, beside at least ``SUPPORT`` different pairs of neighbours in lines with the
-entity (so that copies of a line count once), gives a span wherever it stands, also in documents
-without the entity. ``sanitise`` puts a tag for the kind in
+least ``DISCLOSED`` of it, in at least ``SUPPORT`` different lines with the entity (copies of a line
+count once), gives a span wherever it stands, also in documents without the entity. ``sanitise``
+puts a tag for the kind in
 place of a base span; a revealing term becomes a general tag where it is written like a name and is
 removed otherwise.
 
@@ -110,16 +110,6 @@ def _terms(line: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(plain), F.lit(_TERM), F.lit(0))
 
 
-def _beside(terms: Column) -> Column:
-    """The distinct terms with a hash of the neighbours that each has where it first stands."""
-    each = F.transform(terms, lambda t, i: F.struct(
-        t.alias("term"), i.alias("at"),
-        F.xxhash64(F.get(terms, i - 1), F.get(terms, i + 1)).alias("beside")))
-    return let(F.sort_array(each), lambda s: F.transform(
-        F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i - 1)["term"] == x["term"], F.lit(False))),
-        lambda x: F.struct(x["term"].alias("term"), x["beside"].alias("beside"))))
-
-
 def _entity(span: Column) -> Column:
     """What a base span protects: the same address or number in any writing."""
     return F.concat(span["k"].cast("string"), F.lit(":"), F.when(
@@ -135,13 +125,14 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
         .select("line", F.array_distinct(F.transform(base_spans(F.col("line")), _entity))
                 .alias("entities")).filter(F.size("entities") > 0)
         .groupBy("line", "entities").agg(F.count("*").alias("n"))
-        .select("n", "entities", let(_terms(F.col("line")), _beside).alias("terms")))
+        .select("n", "entities", F.array_distinct(_terms(F.col("line"))).alias("terms")))
     each = near.select("n", F.explode("entities").alias("entity"), "terms")
     of_entity = each.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    # A row of ``near`` is one different line, so rows are counted, without a hash of the line.
     together = checkpointed(
-        each.select("n", "entity", F.inline("terms"))
+        each.select("n", "entity", F.explode("terms").alias("term"))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_both"),
-                                       F.count_distinct("beside").alias("support"))
+                                       F.count("*").alias("support"))
         .filter(F.col("support") >= SUPPORT))
     of_term = lines.select(F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(
         F.count("*").alias("n_term"))

@@ -171,6 +171,22 @@ def test_revealing_terms_go_everywhere(spark):
     assert hidden[51] == rows[51]
 
 
+def test_revealing_terms_with_the_same_neighbours(spark):
+    """Different lines count, also where a term always stands between the same two."""
+    rows = [f"Contact number {i} of Zorblatt is zor@blatt.org, said the clerk." for i in range(5)]
+    rows += [f"Flimmer Smith flim@mer.org, room {i}" for i in range(3)]
+    rows += ["Copied Drumlin line with drum@lin.org in it."] * 6  # one line only
+    rows += [f"The clerk said on day {i} that the contact is well, in a room." for i in range(40)]
+    rows += ["Nobody saw Zorblatt on the bridge.", "Nobody saw the clerk on the bridge."]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {(r.term, r.entity) for r in sanitise.revealing_terms(docs).collect()} == {
+        (t, "0:zor@blatt.org") for t in ("zorblatt", "number", "of")} | {
+        (t, "0:flim@mer.org") for t in ("flimmer", "smith")}
+    hidden = {r.doc_id: r.text for r in sanitise.hide_personal_data(spark, docs, "").collect()}
+    assert hidden[54] == "Nobody saw [NAME] on the bridge." and hidden[55] == rows[55]
+    assert "Flimmer" not in hidden[5] and "Drumlin" in hidden[8]
+
+
 def test_licences(spark, edge_docs, no_docs):
     cases = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
              "Released under the MIT License.": "MIT",
