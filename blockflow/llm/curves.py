@@ -11,6 +11,10 @@ The window is a share of the curve, the same at every size: ``ORDERINGS`` curves
 dimensions, where no structure helps; vectors with fewer inner dimensions need less. Stretches hold
 a bounded number of rows, and queries go to a stretch in blocks.
 
+Equal vectors are one row of the search, which carries their smallest ids, and are asked for once;
+answers go back to every query with that vector. Vectors that are close without being equal are told
+apart by the finer levels of the curve, and what is in one finest cell is dealt anew on each curve.
+
 Defined results: vectors that are null, empty, zero, of another length than most of the first rows
 or with null or non-finite components take no part, neither as query nor as candidate; rows without
 an id neither. Rows that repeat an id are candidates each for themselves, but a query's own id is
@@ -31,16 +35,19 @@ from blockflow.session import checkpointed
 
 ORDERINGS = 12
 WINDOW = 0.055      # of the curve, on either side of a query
-DIRECTIONS, BITS = 16, 3
+DIRECTIONS, BITS = 16, 12
+LEVELS = 3          # bits of each direction that one key column holds
 STRETCH = 2048      # rows of a stretch
 QUERY_BLOCK = 20_000  # queries that a task holds at once
 SEED = 7
+KEYS = [f"key{i}" for i in range(BITS // LEVELS)]
 NEAREST = 20
 QUERY_STEP = 20
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places of grid cells (rows of coordinates below 2**bits) on the Hilbert curve.
+def _hilbert_axes(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Grid cells (rows of coordinates below 2**bits) as axes whose bits, level by level from the
+    high one, are their places on the Hilbert curve.
 
     The usual bit-wise form: walking from the high bit down, a set bit mirrors and a clear one
     swaps the lower bits of the axes; a Gray code then orders the corners.
@@ -63,13 +70,29 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
         flip = np.where((x[-1] & bit) > 0, flip ^ (bit - 1), flip)
         bit >>= 1
     x ^= flip
+    return x
+
+
+def _levels(x: np.ndarray, high: int, low: int) -> np.ndarray:
+    """The bits of the levels below ``high`` down to ``low`` in one number."""
     key = np.zeros(x.shape[1], dtype=np.int64)
-    for level in range(bits - 1, -1, -1):
+    for level in range(high - 1, low - 1, -1):
         for axis in x:
             key = (key << 1) | ((axis >> level) & 1)
     return key
 
 
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places of grid cells (rows of coordinates below 2**bits) on the Hilbert curve."""
+    return _levels(_hilbert_axes(cells, bits), bits, 0)
+
+
+def hilbert_columns(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The same places in columns of ``LEVELS`` levels each, the coarse ones first."""
+    x = _hilbert_axes(cells, bits)
+    return [_levels(x, high, high - LEVELS) for high in range(bits, 0, -LEVELS)]
+
+
 def _orderings(dimensions: int, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Directions and shifts (as shares of the grid) of each ordering."""
     random = np.random.default_rng(SEED)
@@ -93,7 +116,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def keyed(rows: DataFrame, dimensions: int, count: int) -> DataFrame:
-    """A row for each vector and ordering with its curve key."""
+    """A row for each vector and ordering with its curve keys."""
     whole = rows.agg(*(F.min(F.col("v")[i]).alias(f"l{i}") for i in range(dimensions)),
                      *(F.max(F.col("v")[i]).alias(f"h{i}") for i in range(dimensions))).first()
     reach = float(np.sqrt(sum(max(abs(whole[f"l{i}"]), abs(whole[f"h{i}"])) ** 2
@@ -116,29 +139,46 @@ def keyed(rows: DataFrame, dimensions: int, count: int) -> DataFrame:
                     cells = np.clip(np.floor(at), 0, (1 << BITS) - 1).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(part.num_rows, ordering, dtype=np.int32)),
-                         pa.array(hilbert_keys(cells, BITS)), part.column("vec_id"),
-                         part.column("v")], ["ordering", "key", "vec_id", "v"])
+                         *(pa.array(key) for key in hilbert_columns(cells, BITS)),
+                         *(part.column(c) for c in ("k1", "k2", "asked", "ids", "v"))],
+                        ["ordering", *KEYS, "k1", "k2", "asked", "ids", "v"])
+
+    keys = ", ".join(f"{key} long" for key in KEYS)
+    return rows.select("k1", "k2", "asked", "ids", "v").mapInArrow(
+        run, f"ordering int, {keys}, k1 long, k2 long, asked boolean, ids array<bigint>,"
+             " v array<double>")
+
 
-    return rows.mapInArrow(run, "ordering int, key long, vec_id long, v array<double>")
+def merged(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """One row for all equal vectors: their keys, k smallest ids, and whether a query has them."""
+    each = rows.groupBy("k1", "k2", "vec_id").agg(F.first("v").alias("v"))
+    order = Window.partitionBy("k1", "k2").orderBy("vec_id")
+    # The limit on row numbers is also applied before the shuffle, so no group is large there.
+    few = each.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
+    asked = queries.select("k1", "k2").distinct().withColumn("asked", F.lit(True))
+    return few.groupBy("k1", "k2").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")).join(
+        asked, ["k1", "k2"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "k1 long, k2 long, vec_id long, score double"
 
 
-def _best(queries: list[tuple[int, np.ndarray]], ids: np.ndarray, x: np.ndarray, k: int):
-    """The k best of a stretch for each of its queries."""
+def _best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, row: np.ndarray, k: int):
+    """The k best ids of a stretch for each query; an id stands for the vector in its ``row``."""
+    most = k + len(ids) - len(np.unique(ids))  # an id with several vectors is answered once
     for first in range(0, len(queries), 256):
         part = queries[first:first + 256]
-        scores = np.stack([q for _, q in part]) @ x.T
-        for (query, vector), row in zip(part, scores, strict=True):
-            row[ids == query] = -np.inf
-            some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else \
-                np.arange(len(row))
-            some = some[row[some] > -np.inf]
+        for at, (vector, scores) in enumerate(zip(part, part @ x.T, strict=True), first):
+            scores = scores[row]
+            # Sums in another order may differ in the last digits, so near ties stay in.
+            some = np.flatnonzero(scores >= np.partition(scores, -most)[-most] - 1e-9 * np.abs(
+                scores).max()) if len(scores) > most else np.arange(len(scores))
             # The score proper is added up in the order of the components.
-            exact = np.cumsum(x[some] * vector, axis=1)[:, -1] if len(some) else row[some]
-            best = np.lexsort((ids[some], -exact))[:k]
-            yield query, ids[some][best], exact[best]
+            exact = np.cumsum(x[row[some]] * vector, axis=1)[:, -1]
+            order = np.lexsort((ids[some], -exact))
+            once = np.sort(np.unique(ids[some][order], return_index=True)[1])[:k]
+            yield at, ids[some][order][once], exact[order][once]
 
 
 def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEAREST,
@@ -149,45 +189,61 @@ def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEAREST,
     empty = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], empty)
-    dimensions, total = sizes["d"], sizes["count"]
-    rows = rows.filter(F.size("v") == dimensions)
+    dimensions = sizes["d"]
+    # Adding 0.0 makes one zero of the two, so that equal vectors have equal hashes.
+    rows = rows.filter(F.size("v") == dimensions).withColumn(
+        "v", F.transform("v", lambda x: x + F.lit(0.0))).withColumns(
+        {"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    wanted = rows.filter(F.col("vec_id") % query_step == 0).select("vec_id", "k1", "k2").distinct()
+    # One more than asked for, as a query's own id is dropped at the end.
+    vectors = checkpointed(merged(rows, wanted, k + 1))
+    total = vectors.count()
     stretches = max(1, -(-total // STRETCH))
     reach = int(np.ceil(window * stretches))
-    # Ties of the key are dealt by id, so a stretch stays bounded when vectors repeat.
+    # Ties are dealt by another order on each curve, and a stretch stays bounded with them.
     placed = checkpointed(
-        keyed(rows, dimensions, orderings)
-        .repartitionByRange(stretches * orderings, "ordering", "key", F.xxhash64("vec_id"))
+        keyed(vectors, dimensions, orderings)
+        .repartitionByRange(stretches * orderings, "ordering", *KEYS,
+                            F.xxhash64("ordering", "k1"))
         .withColumn("stretch", F.spark_partition_id()))
     at = F.col("stretch")
-    queries = placed.filter(F.col("vec_id") % query_step == 0)
+    queries = placed.filter("asked")
     expected = (2 * reach + 1) * -(-queries.count() // (stretches * orderings))
     parts = -(-expected // QUERY_BLOCK) or 1
     asked = queries.select(
         F.explode(F.sequence(at - reach, at + reach)).alias("stretch"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), "ordering", "vec_id", "v")
-    held = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))
-                                               .cast("array<bigint>")))
+        F.pmod(F.col("k1"), F.lit(parts)).alias("part"), "ordering", "k1", "k2", "v")
+    held = placed.select("stretch", "ordering", "ids", "v").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     groups = ["stretch", "ordering", "part"]
     both = held.groupBy(*groups).cogroup(asked.groupBy(*groups))
 
     def run(key, here: pa.Table, queries: pa.Table) -> pa.Table:
         found = [[], [], []]
         if here.num_rows and queries.num_rows:
-            x = _matrix(here["v"].combine_chunks(), dimensions)
-            wanted = list(zip(queries["vec_id"].to_pylist(),
-                              _matrix(queries["v"].combine_chunks(), dimensions), strict=True))
-            for query, ids, scores in _best(wanted, here["vec_id"].to_numpy(), x, k):
+            held_ids = here["ids"].combine_chunks()
+            row = np.repeat(np.arange(here.num_rows), held_ids.value_lengths().to_numpy())
+            for query, ids, scores in _best(
+                    _matrix(queries["v"].combine_chunks(), dimensions),
+                    _matrix(here["v"].combine_chunks(), dimensions),
+                    held_ids.flatten().to_numpy(), row, k + 1):
                 found[0] += [query] * len(ids)
                 found[1] += ids.tolist()
                 found[2] += scores.tolist()
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()),
-                         pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    answers = both.applyInArrow(run, _FOUND).groupBy("query_id", "vec_id").agg(
-        F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        at = pa.array(found[0], pa.int64())
+        return pa.table([queries["k1"].take(at), queries["k2"].take(at),
+                         pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())],
+                        ["k1", "k2", "vec_id", "score"])
+
+    def best(answers: DataFrame, query: list[str], most: int) -> DataFrame:
+        order = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
+        return answers.groupBy(*query, "vec_id").agg(F.max("score").alias("score")).withColumn(
+            "rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+    answers = best(both.applyInArrow(run, _FOUND), ["k1", "k2"], k + 1).drop("rank")
+    each = wanted.withColumnRenamed("vec_id", "query_id").join(answers, ["k1", "k2"]).filter(
+        F.col("query_id") != F.col("vec_id"))
+    return best(each, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -131,6 +132,31 @@ def test_recall_of_nearest(spark):
     assert len(got) == (ids % 20 == 0).sum() and hits / total >= 0.9
 
 
+def test_recall_in_a_hot_group(spark):
+    """Two thirds of the rows are copies of one vector, or vectors very close to another."""
+    random_ = np.random.default_rng(3)
+    x = random_.normal(size=(24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1::3] = x[1]
+    x[2::3] = x[2] + random_.normal(size=(8_000, 64)) * 0.001
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1::3] = x[1]
+    ids = np.arange(len(x))
+    frame = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": x.tolist()}))
+    got = defaultdict(list)
+    for r in curves.search(frame, query_step=100).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for group in (1, 2):
+        queries = [q for q in range(0, len(x), 100) if q % 3 == group]
+        hits = 0
+        for q in queries:
+            scores = np.cumsum(x * x[q], axis=1)[:, -1]
+            scores[q] = -np.inf
+            hits += len(set(got[q]) & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+            assert len(got[q]) == 20 and q not in got[q]
+        assert hits / len(queries) / 20 >= 0.9, (group, hits / len(queries) / 20)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]),
             (5, [float("inf"), 1.0]), (6, [0.5, 0.5]), (7, [0.5, 0.5]), (8, [1.0]), (None, [1.0, 1.0]),
