@@ -1,12 +1,15 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph is a line of a text. Its distinct words and word pairs that the classifier knows are
+A paragraph is a line of a text with a licence feature, alone or with the lines after it up to an
+empty line, as notices are wrapped: the family of the shortest of ``WIDTHS`` that is confirmed counts,
+and further lines of that notice are no paragraphs of their own. Its distinct words and word pairs that the classifier knows are
 sparse features of a multinomial logistic regression over licence families and an unknown class.
 It is trained on the driver from the notices below, written out by rule, and from ordinary and
 licence-like sentences of the unknown class, some 400 rows in all, so the training set is bounded
 by its constants. A temperature fitted on every fifth row, left out of training, calibrates the
 probabilities. A family needs the highest probability, at least ``CERTAIN``, and a notice of the
-family of which the paragraph has most word pairs confirms it; what has features but is not
+family of which the paragraph has most word pairs confirms it, if the paragraph also has a pair that
+sets the notice apart from each notice much like it (of another version, or of AGPL); what has features but is not
 confirmed counts as an unknown licence.
 
 Weights are whole millionths, so sums do not depend on their order. Scoring is one projection of
@@ -60,6 +63,9 @@ OPENINGS = {
                 "Foundation; either version 2 of the License, or any later version"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose "
             "with or without fee is hereby granted"],
+    "LGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under "
+                 "the terms of the GNU Lesser General Public License as published by the Free "
+                 "Software Foundation, either version 3 of the License, or any later version"],
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this "
             "software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, "
@@ -72,7 +78,11 @@ FRAMES = ["{}", "Licensed under {}.", "Licensed under the {}.", "Released under
 # Licences the classifier is not to know.
 OTHERS = ["Foo Public License", "company licence agreement", "proprietary license",
           "end user license agreement", "commercial license", "Vendor Source License, version 5",
-          "custom license 7.0", "Artwork License"]
+          "custom license 7.0", "Artwork License",
+          "GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0"]
+OTHER_OPENINGS = [s.replace("Lesser", "Affero") for s in OPENINGS["LGPL-3.0"]] + [
+    s.replace("GNU General", f"GNU {kind} General")
+    for kind in ("Lesser", "Library") for s in OPENINGS["GPL-2.0"]]
 # Sentences and frequent words of ordinary prose; their words are no features.
 PROSE = ["all rights reserved", "the a an and or of in on to for by with at from that this is are "
          "was were be been it its as any not no will can may you we they he she which who if or",
@@ -85,6 +95,7 @@ PROSE = ["all rights reserved", "the a an and or of in on to for by with at from
          "el la los las de que y en un una por con para no se su al lo como"]
 CERTAIN = 0.6
 ALIKE = 0.6      # share of a paragraph's known pairs that stand in one notice
+WIDTHS = [1, 2, 3, 4, 6, 9, 16]  # lines of a wrapped notice
 RIDGE = 0.02
 STEPS = 400
 SCALE = 1_000_000
@@ -108,7 +119,7 @@ class Classifier:
 
     def __init__(self) -> None:
         rows = notices() + [("", frame.format(name)) for name in OTHERS for frame in FRAMES] \
-            + [("", s) for s in PROSE]
+            + [("", s) for s in PROSE] + [("", s) for s in OTHER_OPENINGS * 3]
         prose = set().union(*(grams(s) for s in PROSE))
         self.families = ["", *sorted(NAMES)]
         sets = [grams(s) - prose for _, s in rows]
@@ -136,8 +147,16 @@ class Classifier:
         self.weights = {g: [round(v * SCALE / temperature) for v in w[i]]
                         for g, i in at.items()}
         self.bias = [round(v * SCALE / temperature) for v in b]
-        self.pairs = sorted({(f, *sorted(g for g in grams(s) if " " in g)) for f, s in notices()
-                             if len(s.split()) > 1})
+        pairs = {(f, frozenset(g for g in grams(s) if " " in g)) for f, s in rows
+                 if len(s.split()) > 1 and s not in PROSE}
+        self.pairs = sorted((f, sorted(own), self._apart(f, own, pairs)) for f, own in pairs if f)
+
+    @staticmethod
+    def _apart(family: str, own: frozenset, pairs: set) -> list[list[str]]:
+        """Sets of pairs; a paragraph with one of each is not just a notice of another family."""
+        sets = {own - other for f, other in pairs
+                if f != family and len(own & other) >= ALIKE * len(own)} - {frozenset()}
+        return sorted(sorted(x) for x in sets if not any(y < x for y in sets))
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -164,8 +183,8 @@ def paragraphs(text: Column) -> Column:
     model = classifier()
     k = len(model.families)
     weights = _constant(model.weights, "map<string,array<bigint>>")
-    notice_pairs = _constant([{"f": f, "p": pairs} for f, *pairs in model.pairs],
-                             "array<struct<f:string,p:array<string>>>")
+    notice_pairs = _constant([{"f": f, "p": pairs, "a": apart} for f, pairs, apart in model.pairs],
+                             "array<struct<f:string,p:array<string>,a:array<array<string>>>>")
     families = F.array(*(F.lit(f) for f in model.families))
     bias = F.array(*(F.lit(v) for v in model.bias)).cast("array<bigint>")
 
@@ -184,21 +203,61 @@ def paragraphs(text: Column) -> Column:
         best = F.get(families, F.array_position(z, top).cast("int") - 1)
         total = F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp((v - top) / SCALE))
         like = F.coalesce(F.array_max(F.transform(
-            F.filter(notice_pairs, lambda n: n["f"] == best),
+            F.filter(notice_pairs, lambda n: (n["f"] == best) & F.forall(
+                n["a"], lambda apart: F.arrays_overlap(apart, pairs))),
             lambda n: F.size(F.array_intersect(n["p"], pairs)) / F.size(n["p"]))), F.lit(0.0))
         return F.struct(best.alias("family"),
                         F.round(F.lit(1.0) / total * SCALE).cast("long").alias("probability"),
                         F.round(like * SCALE).cast("long").alias("alike"))
 
-    lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
-    anchored = F.filter(F.transform(lines, _tokens),
-                        lambda words: F.exists(words, lambda w: w.isin(model.words)))
-    found = F.transform(anchored, judged)
-    return F.transform(found, lambda r: F.struct(
-        r["family"].alias("family"), r["probability"].alias("probability"),
-        r["alike"].alias("alike"),
-        ((r["family"] != "") & (r["probability"] >= CERTAIN * SCALE)
-         & (r["alike"] >= ALIKE * SCALE)).alias("confirmed")))
+    def sure(r: Column) -> Column:
+        return ((r["family"] != "") & (r["probability"] >= CERTAIN * SCALE)
+                & (r["alike"] >= ALIKE * SCALE))
+
+    def entry(i: Column, lines: Column) -> Column:
+        """The family of the narrowest confirmed verdict from a line on, as far as more lines make
+        it more alike, or else the verdict of the line alone."""
+        ahead = F.slice(lines, i + 1, F.lit(WIDTHS[-1]))
+        empty = F.array_position(F.transform(ahead, F.size), 0).cast("int")
+
+        def verdicts(run: Column) -> Column:
+            wide = F.filter(
+                F.array(*(F.struct(F.lit(w).alias("w"), F.lit(before).alias("before"))
+                          for w, before in zip(WIDTHS, [0, *WIDTHS], strict=False))),
+                lambda x: x["before"] < F.size(run))
+            return F.transform(wide, lambda x: F.struct(
+                judged(F.flatten(F.slice(run, 1, x["w"]))).alias("r"),
+                F.least(x["w"], F.size(run)).alias("w")))
+
+        run = F.when(empty > 0, F.slice(ahead, 1, empty - 1)).otherwise(ahead)
+
+        def widened(v: Column) -> Column:
+            good = F.filter(v, lambda x: sure(x["r"]))
+            return let(good, lambda g: F.array_max(F.transform(
+                F.filter(g, lambda x: x["r"]["family"] == F.get(g, F.lit(0))["r"]["family"]),
+                lambda x: F.struct(x["r"]["alike"].alias("alike"), (-x["w"]).alias("less"),
+                                   x.alias("x")))))["x"]
+
+        return let(let(run, verdicts), lambda v: let(
+            F.coalesce(widened(v), F.get(v, F.lit(0))), lambda x: F.struct(
+                x["r"]["family"].alias("family"), x["r"]["probability"].alias("probability"),
+                x["r"]["alike"].alias("alike"), sure(x["r"]).alias("confirmed"),
+                i.alias("at"), (i + x["w"]).alias("end"))))
+
+    def rest(found: Column) -> Column:
+        """Without unconfirmed lines inside a confirmed notice that began before them."""
+        most = WIDTHS[-1]
+        return F.filter(found, lambda r, j: r["confirmed"] | ~F.exists(
+            F.slice(found, F.greatest(j - most + 2, F.lit(1)), F.least(j, F.lit(most - 1))),
+            lambda b: b["confirmed"] & (b["end"] > r["at"])))
+
+    split = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
+    found = let(F.transform(split, _tokens), lambda lines: F.transform(
+        F.filter(F.transform(lines, lambda words, i: F.when(
+            F.exists(words, lambda w: w.isin(model.words)), i)), lambda i: i.isNotNull()),
+        lambda i: entry(i, lines)))
+    return F.transform(let(found, rest), lambda r: F.struct(
+        *(r[c].alias(c) for c in ("family", "probability", "alike", "confirmed"))))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:

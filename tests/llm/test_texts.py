@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -205,6 +206,26 @@ def test_licences(spark, edge_docs, no_docs):
     assert licences.scan(no_docs, ["doc_id"]).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Notices over several lines, in comments too; versions and AGPL are told apart."""
+    openings = licences.OPENINGS
+    wrapped = {f: "\n".join(" * " + x for x in textwrap.wrap(openings[f][0], 72))
+               for f in ("BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT")}
+    cases = [(t, f) for f, t in wrapped.items()]
+    cases += [(f"Some text before it\n{t}\nand after it", f) for f, t in wrapped.items()]
+    cases += [(wrapped["ISC"] + "\n" + wrapped["BSD-3-Clause"], "BSD-3-Clause,ISC"),
+              (wrapped["GPL-3.0"].replace("GNU General", "GNU Affero General"), ""),
+              ("Licensed under the GNU Affero General Public License, version 3.", ""),
+              ("Under the GNU General Public License.", ""),
+              ("Licensed under the MIT License.\nLicensed under the Apache License 2.0.",
+               "Apache-2.0,MIT")]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)],
+                                  "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(frame, ["doc_id"]).collect()}
+    assert [(t, got[i].families) for i, (t, _) in enumerate(cases)] == cases
+    assert all(got[i].n_unknown == 0 for i in range(len(wrapped)))
+
+
 def test_licence_scores_by_hand(spark):
     """The native sums against a plain softmax over the same weights."""
     model = licences.classifier()
