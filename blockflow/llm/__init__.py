@@ -1,9 +1,12 @@
 """Operators for training-data pipelines, each with a query over the given tables."""
 
-from blockflow.llm import backoff, bpe, curves, licences, lines, packing, quadratic, sanitise, sketches, warc
+from blockflow.llm import (
+    backoff, bpe, curves, licences, lines, merkle, packing, quadratic, sanitise, sketches, warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [backoff, bpe, curves, licences, lines, packing, quadratic, sanitise, sketches, warc]:
+for _area in [backoff, bpe, curves, licences, lines, merkle, packing, quadratic, sanitise, sketches,
+              warc]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
