@@ -1,13 +1,13 @@
 """Operators for training-data pipelines, each with a query over the given tables."""
 
 from blockflow.llm import (
-    backoff, bpe, curves, licences, lines, merkle, mixture, packing, quadratic, sanitise,
+    alignment, backoff, bpe, curves, licences, lines, merkle, mixture, packing, quadratic, sanitise,
     sketches, warc,
 )
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in [backoff, bpe, curves, licences, lines, merkle, mixture, packing, quadratic,
+for _area in [alignment, backoff, bpe, curves, licences, lines, merkle, mixture, packing, quadratic,
               sanitise, sketches, warc]:
     QUERIES.update(_area.QUERIES)
     ORACLES.update(_area.ORACLES)
