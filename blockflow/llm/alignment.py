@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heapreplace
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +47,7 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 DIGITS = 5  # bits of the second token by which runs are dealt
 FAN_IN = 64
 PAGE = 8192
+JOINED = 64
 _IDS, _DOCS = 20, 20  # bits of a token id, and of a document's number in its block
 _PART = re.compile(r"(?<=\S)(?= |\n\S)")
 _BARRIER = "\n"
@@ -71,6 +72,14 @@ class TwoTokenizers:
                              else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if max(len(pieces), self.first.get_vocab_size()) > 1 << _IDS:
             raise ValueError(f"a vocabulary has more than {1 << _IDS} tokens")
+        size = max(self.first_bytes) + 1
+        self.first_sizes = np.array([len(self.first_bytes.get(i, b"")) for i in range(size)])
+        self.second_sizes = np.array([len(x) for x in self.second_bytes])
+        # Each id as text, within a group and at its end.
+        self.first_text = np.array([b"%d%c" % (i, c) for i in range(size) for c in b",|"],
+                                   dtype=object)
+        self.second_text = np.array([b"%d%c" % (i, c) for i in range(len(pieces)) for c in b",;"],
+                                    dtype=object)
         self.in_parts = self._parts_hold(pieces, second)
         self.known = Memo(250_000)
 
@@ -94,39 +103,79 @@ class TwoTokenizers:
         """The text with a space before it, cut where no token of either crosses."""
         return _PART.split(" " + text) if self.in_parts else [" " + text]
 
-    def _second_ids(self, parts: list[str]) -> list[list[int]]:
+    def first_ids(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.first.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def second_ids(self, parts: list[str]) -> list[list[int]]:
         # A space comes before what is encoded; after a line end stands what has none.
         own = [p[0] == " " and len(p) > 1 for p in parts]
         found = self.second.encode([p[1:] if x else _BARRIER + p
                                     for p, x in zip(parts, own, strict=True)], num_threads=1)
         return [ids if x else ids[2:] for ids, x in zip(found, own, strict=True)]
 
+    def _flat(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of all parts, one after the other; None if the bytes of any of them differ."""
+        raw = "".join(parts).encode()
+        out = []
+        for ids, known in ((self.first_ids(parts), self.first_bytes),
+                           (self.second_ids(parts), self.second_bytes)):
+            flat = list(chain.from_iterable(ids))
+            if b"".join([known[i] for i in flat]) != raw:
+                return None
+            out.append(np.array(flat, dtype=np.int64))
+        return tuple(out)
+
     def _make(self, parts: list[str]) -> list[tuple | None]:
-        firsts = self.first.encode_batch_fast(parts, add_special_tokens=False)
-        return [self._linked(part, a.ids, b) for part, a, b in zip(
-            parts, firsts, self._second_ids(parts), strict=True)]
-
-    def _linked(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """Groups as text, links as integers, and the numbers of tokens; None if bytes differ."""
-        raw = part.encode()
-        if (b"".join([self.first_bytes[i] for i in a]) != raw
-                or b"".join([self.second_bytes[i] for i in b]) != raw):
-            return None
-        ends = {end: j for j, end in enumerate(accumulate(len(self.second_bytes[i]) for i in b), 1)}
-        groups, links, before, last = [], [], 0, 0
-        for i, end in enumerate(accumulate(len(self.first_bytes[i]) for i in a), 1):
-            if j := ends.get(end):
-                groups.append(f"{','.join(map(str, a[before:i]))}|{','.join(map(str, b[last:j]))}")
-                links.append(_pair(b[j - 1]) | a[i - 1])
-                before, last = i, j
-        return (";".join(groups).encode(), np.array(links, dtype=np.int64).tobytes(), len(a),
-                len(b))
+        """Per part its groups as text, its links, and the numbers of tokens; None if bytes differ.
+
+        Parts that end with a letter or sign are encoded many at a time, one after the other.
+        """
+        joined = []
+        solid = [p for p in parts if not p[-1].isspace()] if self.in_parts else []
+        if solid:
+            joined = ["".join(solid[i:i + JOINED]) for i in range(0, len(solid), JOINED)]
+        loose = [p for p in parts if p[-1].isspace()] if solid else parts
+        flat = self._flat([*joined, *loose])
+        if flat is None:
+            good = [self._flat([p]) is not None for p in parts]
+            made = iter(self._make([p for p, x in zip(parts, good, strict=True) if x])
+                        if any(good) else [])
+            return [next(made) if x else None for x in good]
+        found = dict(zip([*solid, *loose], self._linked([*solid, *loose], *flat), strict=True))
+        return [found[p] for p in parts]
+
+    def _linked(self, parts: list[str], a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        last = np.cumsum([len(p.encode()) for p in parts])
+        ends_a, ends_b = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
+        at = np.searchsorted(ends_b, ends_a)
+        cut_a = ends_b[at] == ends_a
+        group_a = np.flatnonzero(cut_a)  # the last token of each group, of both
+        group_b = at[group_a]
+        cut_b = np.zeros(len(b), dtype=bool)
+        cut_b[group_b] = True
+        links = (_pair(b[group_b]) | a[group_a]).tobytes()
+        # In the text of a group the tokens of the first come before those of the second.
+        text = np.empty(len(a) + len(b), dtype=object)
+        before = np.append(0, group_b + 1)[np.cumsum(cut_a) - cut_a]
+        text[np.arange(len(a)) + before] = self.first_text[2 * a + cut_a]
+        upto = (group_a + 1)[np.cumsum(cut_b) - cut_b]
+        text[np.arange(len(b)) + upto] = self.second_text[2 * b + cut_b]
+        text = text.tolist()
+        upto_a, upto_b = (np.searchsorted(e, last, "right") for e in (ends_a, ends_b))
+        upto_links = 8 * np.searchsorted(ends_a[group_a], last, "right")
+        n_a, n_b = np.diff(upto_a, prepend=0).tolist(), np.diff(upto_b, prepend=0).tolist()
+        out, start, first = [], 0, 0
+        for x, y, end, to in zip(n_a, n_b, (upto_a + upto_b).tolist(), upto_links.tolist(),
+                                 strict=True):
+            out.append((b"".join(text[start:end])[:-1], links[first:to], x, y))
+            start, first = end, to
+        return out
 
     def each(self, parts: list[str]) -> list[tuple | None]:
         return self.known.each(parts, self._make)
 
 
-def _pair(second: int) -> int:
+def _pair(second: np.ndarray) -> np.ndarray:
     """A pair without its first token: the second one, low digits in front, so that runs are
     stretches of the sorted pairs and the pairs of a token stand together."""
     digit = second & (1 << DIGITS) - 1

@@ -75,7 +75,7 @@ def test_parts_give_the_tokens_of_the_whole_text(both):
         parts = both.parts(text)
         assert "".join(parts) == " " + text
         a = [i for p in parts for i in both.first.encode(p, add_special_tokens=False).ids]
-        b = [i for ids in both._second_ids(parts) for i in ids]
+        b = [i for ids in both.second_ids(parts) for i in ids]
         assert a == both.first.encode(" " + text, add_special_tokens=False).ids, repr(text)
         assert b == both.second.encode(text), repr(text)
 
@@ -86,7 +86,18 @@ def test_parts_of_any_text(both, text):
     parts = both.parts(text)
     assert [i for p in parts for i in both.first.encode(p, add_special_tokens=False).ids] == \
         both.first.encode(" " + text, add_special_tokens=False).ids
-    assert [i for ids in both._second_ids(parts) for i in ids] == both.second.encode(text)
+    assert [i for ids in both.second_ids(parts) for i in ids] == both.second.encode(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("ab .,'\n\t ▁é日1"), min_size=1, max_size=20),
+                      min_size=1, max_size=9))
+def test_joined_parts_give_what_each_gives_alone(both, texts):
+    parts = list(dict.fromkeys(p for t in texts for p in both.parts(t)))
+    made = both._make(parts)
+    assert made == [both._make([p])[0] for p in parts]
+    for part, found in zip(parts, made, strict=True):
+        assert (found is None) == ("▁" in part)
 
 
 def test_squeezed_arrays_come_back():
