@@ -21,6 +21,12 @@ def overlap_ratio(a, b) -> Column:
     return F.when(smaller > 0, intersection(a, b) / smaller).otherwise(0.0)
 
 
+def union_ratio(a, b) -> Column:
+    """Intersection over union."""
+    shared = intersection(a, b)
+    return shared / (a[2] * a[3] + b[2] * b[3] - shared + F.lit(1e-9))
+
+
 def overlap_of(a: dict, b: dict) -> float:
     """The same ratio for two rows inside a fold."""
     w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])

@@ -1,22 +1,13 @@
 """Joins of boxes, texts and runs."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockflow.functions import boxes as bx
-
-CELL = 512  # pixels; most boxes touch one or two cells
-
-
-def _cells(df: DataFrame, prefix: str, cell: int) -> DataFrame:
-    """One row per grid cell a box touches (half-open box, so touching edges do not count)."""
-    x, y, w, h = bx.box(prefix)
-
-    def span(at: Column, size: Column) -> Column:
-        first = F.floor(at / cell)
-        return F.sequence(first, F.greatest(first, F.ceil((at + size) / cell) - 1))
-
-    return (df.withColumn("_gx", F.explode(span(x, w))).withColumn("_gy", F.explode(span(y, h))))
+from blockflow.operators.cells import CELL, corner, meetings, on_cells
 
 
 def overlap_join(a: DataFrame, b: DataFrame, min_ratio: float = 0.40, extra: Column | None = None,
@@ -24,42 +15,53 @@ def overlap_join(a: DataFrame, b: DataFrame, min_ratio: float = 0.40, extra: Col
     """Pairs on one page whose overlap ratio is above ``min_ratio``.
 
     ``a`` has columns ``a_x a_y a_w a_h``, ``b`` has ``b_...``; both have ``page_id``. The join
-    key is (page, grid cell), so one huge page spreads over its cells; a pair that meets in
-    several cells is kept only in the cell that holds the corner of its intersection.
+    key is (page, grid cell of a level), so one huge page spreads over its cells and a huge box has
+    no more cells than a small one; a pair that meets in several cells is kept only in the cell
+    that holds the corner of its intersection.
     """
     boxes_a, boxes_b = bx.box("a_"), bx.box("b_")
-    corner = [F.floor(F.greatest(boxes_a[k], boxes_b[k]) / cell) for k in (0, 1)]
-    joined = _cells(a, "a_", cell).join(_cells(b, "b_", cell), ["page_id", "_gx", "_gy"])
-    meets = ((F.col("_gx") == corner[0]) & (F.col("_gy") == corner[1])
+    meets = (corner(boxes_a, boxes_b, F.col("_level"), cell)
              & (boxes_a[0] < boxes_b[0] + boxes_b[2]) & (boxes_b[0] < boxes_a[0] + boxes_a[2])
              & (boxes_a[1] < boxes_b[1] + boxes_b[3]) & (boxes_b[1] < boxes_a[1] + boxes_a[3]))
     if extra is not None:
         meets = meets & extra
-    return (joined.where(meets).drop("_gx", "_gy")
-            .withColumn("ratio", bx.overlap_ratio(boxes_a, boxes_b))
-            .where(F.col("ratio") > min_ratio))
+    on = on_cells(["page_id"])
+    found = reduce(DataFrame.unionByName, [
+        left.join(right, on).where(meets).drop(*on[1:])
+        .withColumn("ratio", bx.overlap_ratio(boxes_a, boxes_b))
+        for left, right in meetings(a, b, ["page_id"], cell)])
+    return found.where(F.col("ratio") > min_ratio)
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def uncovered(regions: DataFrame, blocks: DataFrame, ratio: float = 0.50,
-              cell: int = CELL) -> DataFrame:
-    """Regions that no block of the page covers by more than ``ratio``.
+def covered(boxes: DataFrame, by: DataFrame, name: str, ratio: float,
+            cell: int = CELL) -> DataFrame:
+    """(page_id, ``name``) of the boxes that some box of ``by`` covers by more than ``ratio``.
 
-    ``regions`` needs ``region_id``. A ``left_anti`` join on (page, cell): the pairs themselves
-    are never produced. A region in several cells is covered if it is in any of them.
+    A ``left_semi`` join on (page, cell): the pairs themselves are never produced. A box in several
+    cells is covered if it is in any of them.
     """
-    boxes_a, boxes_b = bx.box("a_"), bx.box("b_")
-    a = _cells(prefixed(regions.select("page_id", "region_id", "x", "y", "w", "h"), "a_"), "a_",
-               cell)
-    b = _cells(prefixed(blocks.select("page_id", "x", "y", "w", "h"), "b_"), "b_", cell)
-    cover = ((a["page_id"] == b["page_id"]) & (a["_gx"] == b["_gx"]) & (a["_gy"] == b["_gy"])
-             & (bx.overlap_ratio(boxes_a, boxes_b) > ratio))
-    covered = a.join(b, cover, "left_semi").select("page_id", F.col("a_region_id")
-                                                   .alias("region_id")).distinct()
-    return regions.join(covered, ["page_id", "region_id"], "left_anti")
+    a = prefixed(boxes.select("page_id", name, "x", "y", "w", "h"), "a_")
+    b = prefixed(by.select("page_id", "x", "y", "w", "h"), "b_")
+    cover = bx.overlap_ratio(bx.box("a_"), bx.box("b_")) > ratio
+
+    def semi(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = reduce(and_, [left[c] == right[c] for c in on_cells(["page_id"])])
+        return left.join(right, same & cover, "left_semi")
+
+    return reduce(DataFrame.union, [
+        semi(left, right).select("page_id", F.col(f"a_{name}").alias(name))
+        for left, right in meetings(a, b, ["page_id"], cell)]).distinct()
+
+
+def uncovered(regions: DataFrame, blocks: DataFrame, ratio: float = 0.50,
+              cell: int = CELL) -> DataFrame:
+    """Regions that no block of the page covers by more than ``ratio``."""
+    return regions.join(covered(regions, blocks, "region_id", ratio, cell),
+                        ["page_id", "region_id"], "left_anti")
 
 
 def inherit_label(blocks: DataFrame, regions: DataFrame, min_ratio: float = 0.30) -> DataFrame:

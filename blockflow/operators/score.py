@@ -10,7 +10,8 @@ from blockflow.functions import text as tx
 from blockflow.operators import scan
 from blockflow.operators.blocks import TILE, _Near
 from blockflow.operators.folds import fold_groups
-from blockflow.operators.joins import CELL, _cells, prefixed
+from blockflow.operators.cells import CELL
+from blockflow.operators.joins import covered, prefixed
 
 CLASS_NAMES = {0: "bubble", 1: "free"}
 
@@ -100,14 +101,8 @@ def worst_pages(scores: DataFrame, n: int = 5) -> DataFrame:
 
 def found_gold(gold: DataFrame, dets: DataFrame, min_ratio: float = 0.30,
                cell: int = CELL) -> DataFrame:
-    """Gold boxes that some detection covers: a semi join on (page, cell), no pairs made."""
-    a = _cells(prefixed(gold.select("page_id", "gold_id", "x", "y", "w", "h"), "a_"), "a_", cell)
-    b = _cells(prefixed(dets.select("page_id", "x", "y", "w", "h"), "b_"), "b_", cell)
-    cond = bx.overlap_ratio(bx.box("a_"), bx.box("b_")) > min_ratio
-    for k in ("page_id", "_gx", "_gy"):
-        cond = cond & (a[k] == b[k])
-    return (a.join(b, cond, "left_semi")
-            .select("page_id", F.col("a_gold_id").alias("gold_id")).distinct())
+    """Gold boxes that some detection covers."""
+    return covered(gold, dets, "gold_id", min_ratio, cell)
 
 
 def compare_detectors(gold: DataFrame, a: DataFrame, b: DataFrame,

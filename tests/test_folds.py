@@ -2,14 +2,16 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from blockflow.functions import boxes as bx
 from blockflow.operators import blocks as bl
 from blockflow.operators import memory as me
-from blockflow.operators import scan
+from blockflow.operators import rounds, scan
 from blockflow.operators import score as sc
 from blockflow.operators import sequences as sq
+from blockflow.session import checkpointed
 
 BASE = 1_700_000_000.0
 
@@ -87,6 +89,54 @@ def test_suppression_equals_whole_page_greedy(spark):
                          bx.overlap_of, 0.5, lambda a, b: a["page_id"] == b["page_id"])
 
 
+@pytest.mark.parametrize("first", [3, 64])
+def test_suppression_in_rounds_equals_the_fold(spark, monkeypatch, first):
+    monkeypatch.setattr(rounds, "FIRST", first)
+    rows = random_boxes(11)
+    rows += [dict(rows[0], det_id=90_000 + i, x=i * 30, y=10 + i % 3, w=40, h=25,
+                  confidence=0.2 + i / 100, block_id=90_000 + i) for i in range(30)]  # a chain
+    rows += [dict(rows[0], det_id=91_000 + i, x=0, y=0, w=5000 + i, h=4000, cls=i % 2,
+                  block_id=91_000 + i) for i in range(4)]  # far larger than the rest
+    df = frame(spark, rows, BOX_DDL)
+    for how in (("iou", "score", 0.35), ("min_area", "area", 0.5)):
+        whole = bl.suppress_boxes(df, *how, most=10_000)
+        apart = bl.suppress_boxes(df, *how, most=0)
+        assert sorted(whole.collect()) == sorted(apart.collect())
+
+
+def test_fusing_in_rounds_equals_the_fold(spark):
+    df = frame(spark, random_boxes(13, n=60, height=400), BOX_DDL)
+    weights = {0: 1.0, 1: 0.9, 2: 1.1}
+    whole = bl.fuse_sources(df, weights, most=10_000).collect()
+    apart = bl.fuse_sources(df, weights, most=0).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, apart)) and len(whole) < 180
+
+
+def test_a_huge_strip_is_decided_in_few_rounds(spark):
+    """60,000 boxes in one strip, a third of them in one pile: spread, and done in few rounds."""
+    n = F.col("id")
+    pile = n % 3 == 0
+    boxes = spark.range(60_000).select(
+        n.alias("_n"), F.lit(1).alias("page"), F.lit(0).alias("strip"),
+        F.when(pile, 100 + n % 7).otherwise(F.pmod(F.hash(n), F.lit(9000))).alias("x"),
+        F.when(pile, 100 + n % 11).otherwise(F.pmod(F.hash(n * 7), F.lit(9000))).alias("y"),
+        (20 + n % 30).alias("w"), (20 + n % 13).alias("h"), F.xxhash64(n).alias("_rank"))
+
+    def clash(a, b):
+        return bx.union_ratio(tuple(map(a, "xywh")), tuple(map(b, "xywh"))) > 0.35
+
+    table = checkpointed(boxes)
+    kept, taken = rounds.keep_first(table, ["page", "strip"], clash, higher=2)
+    mine = {r["_n"] for r in kept.collect()}
+    near, expected = bl._Near([r.asDict() for r in table.collect()]), set()
+    rows = sorted((r.asDict() for r in table.collect()), key=lambda r: r["_rank"])
+    for k, row in enumerate(rows):
+        if not any(bx.union_ratio_of(row, rows[c]) > 0.35 for c in near.of(row)):
+            near.add(k, row)
+            expected.add(row["_n"])
+    assert mine == expected and taken <= 20
+
+
 def test_suppression_keeps_one_of_many_copies(spark):
     rows = [dict(page_id=1, det_id=i, cls=0, x=5, y=5, w=50, h=20, confidence=i / 5000,
                  block_id=i, engine=0, text="a", type=None) for i in range(4000)]
