@@ -209,10 +209,14 @@ ORACLES = {
       from blocks a join blocks c on a.engine = 0 and c.engine = 1 and {touches('a', 'c')} where {overlap('a', 'c')} > 0.40""",
     "uncovered": cte("regions") + f"""select page_id, region_id from regions r where not exists (
       select 1 from blocks k where k.engine = 0 and k.i % 4 <> 2 and {touches('r', 'k')} and {overlap('r', 'k')} > 0.50)""",
-    "inherit_label": cte("regions") + f""", best as (select k.page_id, k.block_id, arg_max(r.label, ({overlap('k', 'r')}) * 1e7 - r.region_id) as label
-        from blocks k join regions r on {touches('k', 'r')} where {overlap('k', 'r')} > 0.30 group by 1, 2)
-      select k.page_id, k.block_id, cast(case when label is not null then contains(lower(label), 'free') else type in ('title','header') end as int) as cls
-      from blocks k left join best using (page_id, block_id)""",
+    "inherit_label": cte("regions") + f""", kc as (select *, unnest(range(floor(x / 512)::bigint, greatest(ceil((x + w) / 512)::bigint, floor(x / 512)::bigint + 1))) as gx from blocks),
+        k as (select *, unnest(range(floor(y / 512)::bigint, greatest(ceil((y + h) / 512)::bigint, floor(y / 512)::bigint + 1))) as gy from kc),
+        rc as (select *, unnest(range(floor(x / 512)::bigint, greatest(ceil((x + w) / 512)::bigint, floor(x / 512)::bigint + 1))) as gx from regions),
+        r as (select *, unnest(range(floor(y / 512)::bigint, greatest(ceil((y + h) / 512)::bigint, floor(y / 512)::bigint + 1))) as gy from rc),
+        best as (select k.page_id, k.block_id, arg_max(r.label, ({overlap('k', 'r')}) * 1e7 - r.region_id) as label
+        from k join r on k.page_id = r.page_id and k.gx = r.gx and k.gy = r.gy where {overlap('k', 'r')} > 0.30 group by 1, 2)
+      select blocks.page_id, blocks.block_id, cast(case when label is not null then contains(lower(label), 'free') else type in ('title','header') end as int) as cls
+      from blocks left join best using (page_id, block_id)""",
     "assign_to_bands": cte("blocks") + """select l.page_id as strip_id, l.block_id, k.i as item_id, l.y - k.y as y from blocks l join blocks k
       on l.engine = 1 and k.engine = 0 and l.page_id = k.page_id and floor(l.y + l.h / 2) >= k.y and floor(l.y + l.h / 2) < k.y + k.h - k.i % 3 * 4""",
     "label_candidates": cte("regions", "page_sizes") + f""", best as (select k.page_id, k.block_id, arg_max(r.label, ({overlap('k', 'r')}) * 1e7 - r.region_id) as label

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from blockflow.functions import text as tx
 from blockflow.rules import languages as lg
 
+CELLS = 1 << 15  # numbers that stand for n-grams
+MOST_LANGUAGES = 64  # profiles that a plan may hold
 HANZI_SHORT = r"[\x{4e00}-\x{9faf}]"
 
 
@@ -80,39 +82,58 @@ def tag_mixed_languages(df: DataFrame, dominant: str, text: str = "text") -> Dat
             .withColumn("mixed", F.size("languages") > 1).drop("_words"))
 
 
-def language_profiles(samples: DataFrame, n: int = 3) -> DataFrame:
-    """Character n-gram weights per language, learned from (text, lang).
+def language_profiles(samples: DataFrame, n: int = 3, floor: int = -12000) -> DataFrame:
+    """(lang, cell, w): weights of hashed character n-grams per language, learned from (text, lang).
 
-    Counts are combined map-side and every gram of a language stays in its profile.
+    A weight is the logarithm of the gram's share in its language, in thousandths above ``floor``,
+    and never negative, so a gram that a language knows never speaks against it. Counts are
+    combined map-side: a task gives at most ``CELLS`` rows for each language.
     """
-    counts = (samples.select("lang", F.explode(grams(F.col("text"), n)).alias("gram"))
-              .groupBy("lang", "gram").agg(F.count("*").alias("c")))
+    counts = (samples.where(F.col("lang").isNotNull())
+              .select("lang", F.explode(cells(F.col("text"), n)).alias("cell"))
+              .groupBy("lang", "cell").agg(F.count("*").alias("c")))
     total = counts.groupBy("lang").agg(F.sum("c").alias("_t"))
-    return counts.join(total, "lang").select(
-        "lang", "gram", F.round(F.log(F.col("c") / F.col("_t")) * 1000).cast("bigint").alias("w"))
+    return counts.join(total, "lang").select("lang", "cell", F.greatest(F.lit(0), F.round(
+        F.log(F.col("c") / F.col("_t")) * 1000).cast("int") - floor).alias("w"))
 
 
-def grams(c: Column, n: int) -> Column:
-    """Character n-grams inside the words of a text."""
+def cells(c: Column, n: int) -> Column:
+    """The character n-grams inside the words of a text, each as one of ``CELLS`` numbers."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "), F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit("(?=(.{" + str(n) + "}))"), F.lit(1))
+    grams = F.regexp_extract_all(padded, F.lit("(?=(.{" + str(n) + "}))"), F.lit(1))
+    return F.transform(grams, lambda g: F.pmod(F.hash(g), F.lit(CELLS)))
 
 
-def statistical_language(df: DataFrame, profiles: DataFrame, key: str = "doc_id",
-                         text: str = "text", n: int = 3, floor: int = -9000) -> DataFrame:
-    """(key, guess): the language whose profile fits the grams of a text best.
+def statistical_language(text: Column, profiles: DataFrame, n: int = 3) -> Column:
+    """The language whose profile fits the grams of a text best; null if none knows any of them.
 
-    Grams meet the profiles first, then weights are added up per text and language, combined
-    before the shuffle; Spark checks the profiles' size before it broadcasts them. Weights are
+    The profiles, at most ``CELLS`` numbers for each of at most ``MOST_LANGUAGES``, become constant
+    arrays of the plan; a text is summed up in place, without a join or a shuffle. Weights are
     whole thousandths, so the order of sums cannot change a guess.
     """
-    scored = (df.select(key, F.explode(grams(F.col(text), n)).alias("gram"))
-              .join(profiles, "gram")
-              .groupBy(key, "lang").agg(F.sum(F.col("w") - floor).alias("s")))
-    return scored.groupBy(key).agg(F.max_by("lang", F.struct("s", "lang")).alias("guess"))
+    rows = profiles.limit(CELLS * MOST_LANGUAGES + 1).toArrow().to_pydict()
+    weights: dict[str, list[int]] = {}
+    for lang, cell, w in zip(rows["lang"], rows["cell"], rows["w"]):
+        weights.setdefault(lang, [0] * CELLS)[cell] = w
+    if len(weights) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to tell apart")
+    if not weights:
+        return F.lit(None).cast("string")
+    tables = {lang: F.split(F.lit(",".join(map(str, w))), ",").cast("array<int>")
+              for lang, w in weights.items()}
 
+    def total(found: Column, table: Column) -> Column:
+        return F.aggregate(found, F.lit(0).cast("long"), lambda n, cell: n + F.get(table, cell))
 
-def tag_language(df: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text",
+    def best(found: Column) -> Column:
+        sums = [F.struct(total(found, table).alias("s"), F.lit(lang).alias("lang"))
+                for lang, table in sorted(tables.items())]
+        return F.array_max(F.filter(F.array(*sums), lambda x: x["s"] > 0))["lang"]
+
+    return F.transform(F.array(cells(text, n)), best)[0]
+
+
+def tag_language(df: DataFrame, profiles: DataFrame, text: str = "text",
                  active: list[str] | None = None, disabled: list[str] | None = None) -> DataFrame:
     """Statistical guess corrected by rules; adds ``lang_tag``.
 
@@ -122,9 +143,9 @@ def tag_language(df: DataFrame, profiles: DataFrame, key: str = "doc_id", text:
     """
     act = active if active is not None else lg.ACTIVE
     off = disabled if disabled is not None else lg.DISABLED
-    guess = statistical_language(df, profiles, key, text)
     t = tx.strip(F.coalesce(F.col(text), F.lit("")))
-    j = (df.join(guess, key, "left").withColumn("_words", word_set(t))
+    j = (df.withColumn("guess", statistical_language(F.col(text), profiles))
+         .withColumn("_words", word_set(t))
          .withColumn("_simple", simple_language(t, F.col("_words"))))
     s, g = F.col("_simple"), F.col("guess")
     accents = t.rlike(f"[{lg.SPANISH_MARKS}]")

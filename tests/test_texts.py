@@ -77,6 +77,20 @@ def test_statistical_language_is_corrected_by_rules(spark):
     assert got[3] in ("es", "en")  # French is switched off
 
 
+def test_hashed_profiles_tell_held_out_texts_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = la.language_profiles(docs.where("doc_id % 4 <> 2"))
+    assert profiles.agg({"w": "min"}).first()[0] >= 0
+    judged = docs.where("doc_id % 4 = 2").select("doc_id", "lang", la.statistical_language(
+        docs["text"], profiles).alias("guess")).collect()
+    assert sum(r.guess == r.lang for r in judged) >= 0.99 * len(judged)
+    odd = spark.createDataFrame([(None,), ("",), ("12 !",)], "text string")
+    assert [r[0] for r in odd.select(la.statistical_language(odd["text"], profiles)).collect()] == [
+        None, None, None]
+    none = la.language_profiles(docs.limit(0))
+    assert odd.select(la.statistical_language(odd["text"], none)).first()[0] is None
+
+
 def test_page_language_ties(spark):
     blocks = spark.createDataFrame([(1, 0, "en"), (1, 1, "es"), (2, 0, "en"), (2, 1, "es"),
                                     (3, 0, "es"), (3, 1, "es"), (3, 2, "en")],
