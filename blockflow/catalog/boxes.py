@@ -214,7 +214,8 @@ ORACLES = {
         rc as (select *, unnest(range(floor(x / 512)::bigint, greatest(ceil((x + w) / 512)::bigint, floor(x / 512)::bigint + 1))) as gx from regions),
         r as (select *, unnest(range(floor(y / 512)::bigint, greatest(ceil((y + h) / 512)::bigint, floor(y / 512)::bigint + 1))) as gy from rc),
         best as (select k.page_id, k.block_id, arg_max(r.label, ({overlap('k', 'r')}) * 1e7 - r.region_id) as label
-        from k join r on k.page_id = r.page_id and k.gx = r.gx and k.gy = r.gy where {overlap('k', 'r')} > 0.30 group by 1, 2)
+        from k join r on k.page_id = r.page_id and k.gx = r.gx and k.gy = r.gy
+        where {touches('k', 'r')} and {overlap('k', 'r')} > 0.30 group by 1, 2)
       select blocks.page_id, blocks.block_id, cast(case when label is not null then contains(lower(label), 'free') else type in ('title','header') end as int) as cls
       from blocks left join best using (page_id, block_id)""",
     "assign_to_bands": cte("blocks") + """select l.page_id as strip_id, l.block_id, k.i as item_id, l.y - k.y as y from blocks l join blocks k

@@ -45,11 +45,16 @@ def _spread(df: DataFrame, prefix: str, at: Column, cell: int) -> DataFrame:
     return found.select(*df.columns, *[F.col(f"_cell.{c[1:]}").alias(c) for c in _AT])
 
 
+def coarsest(df: DataFrame, prefix: str, cell: int = CELL) -> int:
+    """The highest level of any box; over a stored table this reads two columns."""
+    return df.agg(F.max(level(F.col(prefix + "w"), F.col(prefix + "h"), cell))).first()[0] or 0
+
+
 def meetings(a: DataFrame, b: DataFrame, keys: list[str], cell: int = CELL
              ) -> list[tuple[DataFrame, DataFrame]]:
     """Pairs of tables to join on ``keys`` and the cell: together they bring every two touching
     boxes of ``a`` (columns a_x ...) and ``b`` (b_x ...) together at one level, in the cells there
-    that both touch."""
+    that both touch. Without boxes above level 0 it is one pair."""
     def own(prefix: str) -> Column:
         return level(F.col(prefix + "w"), F.col(prefix + "h"), cell)
 
@@ -60,7 +65,12 @@ def meetings(a: DataFrame, b: DataFrame, keys: list[str], cell: int = CELL
                        F.col("_coarse"), cell).drop("_coarse")
 
     at_a, at_b = _spread(a, "a_", own("a_"), cell), _spread(b, "b_", own("b_"), cell)
-    return [(at_a, at_b), (raised(a, "a_", b, "b_"), at_b), (at_a, raised(b, "b_", a, "a_"))]
+    found = [(at_a, at_b)]
+    if coarsest(b, "b_", cell):
+        found.append((raised(a, "a_", b, "b_"), at_b))
+    if coarsest(a, "a_", cell):
+        found.append((at_a, raised(b, "b_", a, "a_")))
+    return found
 
 
 def on_cells(keys: list[str]) -> list[str]:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from blockflow.functions import boxes as bx
 from blockflow.operators import blocks as bl
+from blockflow.operators import cells
+from blockflow.operators import joins as jn
 from blockflow.operators import memory as me
 from blockflow.operators import rounds, scan
 from blockflow.operators import score as sc
@@ -68,6 +70,29 @@ def test_scans_match_one_window(spark):
         by_key[row.k] = (total + row.v, row.v if top is None else max(top, row.v), row.v, seen)
 
 
+@pytest.mark.parametrize("large", [(False, False), (True, False), (False, True), (True, True)])
+def test_boxes_of_all_sizes_meet(spark, large):
+    """Every pair is found once, and a box of a million pixels has at most four cells a level."""
+    sides = []
+    for k, big in enumerate(large):
+        rows = [dict(r, det_id=1000 * k + i, block_id=1000 * k + i, x=r["x"] * 9, y=r["y"] * 9)
+                for i, r in enumerate(random_boxes(20 + k))]
+        if big:
+            rows += [dict(rows[0], block_id=5000 + k * 10 + i, x=-3000 + i, y=i * 700,
+                          w=1_000_000 // (i * 40 + 1), h=600 + i * 5000) for i in range(5)]
+        sides.append(rows)
+    a, b = (jn.prefixed(frame(spark, rows, BOX_DDL).select("page_id", "block_id", *"xywh"), p)
+            for rows, p in zip(sides, ("a_", "b_")))
+    got = [(r.a_block_id, r.b_block_id) for r in jn.overlap_join(a, b, 0.2, cell=64).collect()]
+    want = {(x["block_id"], y["block_id"]) for x in sides[0] for y in sides[1]
+            if x["page_id"] == y["page_id"] and bx.overlap_of(x, y) > 0.2}
+    assert len(got) == len(set(got)) and set(got) == want
+    for left, right in cells.meetings(a, b, ["page_id"], 64):
+        for side, key in ((left, "a_block_id"), (right, "b_block_id")):
+            rows = side.groupBy("page_id", key, "_level").count()
+            assert rows.agg({"count": "max"}).first()[0] <= 4
+
+
 def greedy(rows, order, ratio, limit, same):
     kept = []
     for row in sorted(rows, key=order):
