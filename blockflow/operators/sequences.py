@@ -1,8 +1,8 @@
-"""Per-key state over arrival order: limits, streaks, pauses, decision caches, packing.
+"""Per-key state over arrival order: limits, streaks, page decisions, packing.
 
 Where a key can be very long it is cut so that the pieces run in parallel with the same result:
-at gaps after which no state is left, or into chunks whose effect on every possible entry state
-is worked out before the chunks are put in order.
+into chunks whose effect on every possible entry state is worked out before the chunks are put
+in order.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -54,176 +54,9 @@ def fast_empty_streaks(calls: DataFrame, keys: list[str], fast_s: float = 2.0, l
             .drop("_fast", "_at_reset", "_slice"))
 
 
-# --- pauses ------------------------------------------------------------------------------------
-
-FIRST_PAUSE, BASE_PAUSE, MAX_PAUSE, FAILURES = 10.0, 60.0, 120.0, 3
-
-
-def pause_step(state: tuple, t: float, unchanged: bool) -> tuple[tuple, bool]:
-    """One call against (failures, next pause, paused until): new state, and was it skipped?"""
-    failures, pause, until = state
-    if t < until:
-        return state, True
-    if not unchanged:
-        return (0, BASE_PAUSE, until), False
-    if failures + 1 >= FAILURES:
-        return (0, min(pause * 2, MAX_PAUSE), t + pause), False
-    return (failures + 1, pause, until), False
-
-
-ENTRY_STATES = [(f, p) for f in range(FAILURES) for p in (10.0, 20.0, 40.0, 60.0, 80.0, 120.0)]
-
-
-def _chunk_effect(rows: list[dict], keys: list[str]) -> list[tuple]:
-    """Exit state of a chunk for every entry state."""
-    exits = []
-    for failures, pause in ENTRY_STATES:
-        state = (failures, pause, 0.0)
-        for r in rows:
-            state, _ = pause_step(state, r["_t"], r["unchanged"])
-        exits.append(ENTRY_STATES.index(state[:2]))
-    return [(*[rows[0][k] for k in keys], rows[0]["chunk"], exits)]
-
-
-def backoff_windows(calls: DataFrame, keys: list[str], slice_s: int = DAY) -> DataFrame:
-    """``skipped`` and the pause opened by each call (``pause_s``, 0 for none).
-
-    Three unchanged results in a row open a pause of 10 s, doubling to 120 s; a changed result
-    restarts the count and sets 60 s; calls inside a pause are skipped and change nothing.
-
-    A pause ends within 120 s, so at a longer gap only (failures, next pause) is left: one of 18
-    states. Keys are cut at the first such gap of each slice, every chunk is folded for all 18
-    entry states, the chunk effects are put in order, and each chunk then runs from its known
-    entry state.
-    """
-    c = (calls.withColumn("_t", seconds(F.col("ts")))
-         .withColumn("_slice", F.floor(F.col("_t") / slice_s)))
-    order = ["_t", "event_id"]
-    c = checkpointed(scan.previous(c, keys, order, "_slice", F.col("_t"), "_before"))
-    gap = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > MAX_PAUSE)
-    firsts = (c.where(gap).groupBy(*keys, "_slice")
-              .agg(F.min(F.struct(*order)).alias("_cut")))
-    c = (c.join(firsts, [*keys, "_slice"], "left")
-         .withColumn("_start", F.when(F.struct(*order) == F.col("_cut"), F.col("_t"))))
-    c = scan.latest(c, keys, order, "_slice", F.col("_start"), "chunk").select(
-        *keys, "event_id", "_t", "unchanged", "chunk")
-    kinds = ", ".join(f"{k} {c.schema[k].dataType.simpleString()}" for k in keys)
-    effects = fold_groups(c, [*keys, "chunk"], order, lambda rows: _chunk_effect(rows, keys),
-                          f"{kinds}, chunk double, exits array<int>")
-    start = ENTRY_STATES.index((0, FIRST_PAUSE))
-
-    def enter(state: int, row: dict):
-        return row["exits"][state], (*[row[k] for k in keys], row["chunk"], state)
-
-    entries = fold_stream(effects, keys, ["chunk"], lambda: start, enter,
-                          f"{kinds}, chunk double, entry int")
-
-    def run(rows: list[dict]):
-        failures, pause = ENTRY_STATES[rows[0]["entry"]]
-        state = (failures, pause, 0.0)
-        for r in rows:
-            before = state
-            state, skipped = pause_step(state, r["_t"], r["unchanged"])
-            opened = before[1] if state[2] > before[2] else 0.0
-            yield (*[r[k] for k in keys], r["event_id"], skipped, opened)
-
-    return fold_groups(c.join(entries, [*keys, "chunk"]), [*keys, "chunk"], order, run,
-                       f"{kinds}, event_id bigint, skipped boolean, pause_s double")
-
-
-# --- decision caches ---------------------------------------------------------------------------
-
-TTL, WEAK_BLOCKS, WEAK_CONF, RETRIES = 1800.0, 3, 0.45, 1
-
-
-def needs_pass(n_blocks: int, conf: float, big_panel: bool) -> bool:
-    """Does a page need the costly pass, judged on its own?"""
-    return (n_blocks == 0 or (n_blocks < 3 and conf < 0.20)
-            or (big_panel and not (n_blocks >= 3 and conf >= 0.75)))
-
-
-def _weaker(row: dict, n: int, conf: float) -> bool:
-    return row["n_blocks"] < n and row["avg_conf"] < conf * 0.8
-
-
-def decision_step(state, row: dict) -> tuple[tuple, bool, str]:
-    """One page against the cached decision (n, conf, decision, recomputes) of its signature."""
-    how = "new"
-    again = 0
-    if state is not None:
-        n, conf, decision, again = state
-        if decision:
-            return state, True, "reused"
-        if _weaker(row, n, conf):
-            how = "weaker"
-        elif (n < WEAK_BLOCKS or conf < WEAK_CONF) and again < RETRIES:
-            how, again = "retried", again + 1
-        else:
-            return state, False, "reused"
-    decision = needs_pass(row["n_blocks"], row["avg_conf"], row["big_panel"])
-    return (row["n_blocks"], row["avg_conf"], decision, again), decision, how
-
-
-def suppression_step(state, row: dict) -> tuple[tuple | None, bool, str]:
-    """One page that wants the costly pass against the negative (n, conf, retries) of its
-    signature; ``gained`` tells whether the pass found anything when it runs."""
-    again = 0
-    if state is not None:
-        n, conf, again = state
-        if _weaker(row, n, conf):
-            how = "weaker"
-        elif (n < WEAK_BLOCKS or conf < WEAK_CONF) and again < RETRIES:
-            how, again = "retried", again + 1
-        else:
-            return state, True, "suppressed"
-    else:
-        how = "new"
-    kept = None if row["gained"] else (row["n_blocks"], row["avg_conf"], again)
-    return kept, False, how
-
-
-def _by_lifetime(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Cut each key where an entry would have expired: every page refreshes it, so after a gap
-    beyond the time limit nothing is left and the pieces are independent."""
-    p = (pages.withColumn("_t", seconds(F.col("ts")))
-         .withColumn("_slice", F.floor(F.col("_t") / DAY)))
-    order = ["_t", "event_id"]
-    p = checkpointed(scan.previous(p, keys, order, "_slice", F.col("_t"), "_before"))
-    fresh = F.when(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > TTL), F.col("_t"))
-    return scan.latest(p, keys, order, "_slice", fresh, "lifetime")
-
-
-def _fold_pages(pages: DataFrame, keys: list[str], step, flag: str) -> DataFrame:
-    cut = _by_lifetime(pages, keys)
-    kinds = ", ".join(f"{k} {cut.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(state, row: dict):
-        state, value, how = step(state, row)
-        return state, (*[row[k] for k in keys], row["event_id"], value, how)
-
-    return fold_stream(cut, [*keys, "lifetime"], ["_t", "event_id"], lambda: None, run,
-                       f"{kinds}, event_id bigint, {flag} boolean, how string")
-
-
-def decide_with_cache(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """``decision`` per page in arrival order, reused by signature.
-
-    Positive decisions are always reused; a negative is taken again when the page is read much
-    weaker, and once more when it was based on a weak reading. Memory per lifetime is one
-    state, whatever its length.
-    """
-    return _fold_pages(pages, keys, decision_step, "decision")
-
-
-def suppress_repeats(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """``suppressed`` per page that wants the costly pass: signatures that gained nothing are
-    skipped, with the same guards; a gain clears the signature.
-
-    Only runs of pages that share a signature matter, and a run that finds nothing refreshes
-    the entry, so the same lifetimes apply.
-    """
-    return _fold_pages(pages, keys, suppression_step, "suppressed")
+# --- page decisions ----------------------------------------------------------------------------
 
+WEAK_BLOCKS, WEAK_CONF = 3, 0.45
 
 def page_trigger(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``trigger`` and ``reason`` per page (page_id, big_panel, forced, disabled)."""

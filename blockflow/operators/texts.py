@@ -126,22 +126,6 @@ def normalize_text(df: DataFrame, form: str = "plain", text: str = "text",
     return df.withColumn(out, forms[form](F.col(text)))
 
 
-def exact_unicode(df: DataFrame, form: str = "NFKC", text: str = "text",
-                  out: str = "normal") -> DataFrame:
-    """Exact NFKC or NFKD with case folding: the one Arrow function of this package, for
-    corpora beyond Latin text."""
-    import unicodedata
-
-    import pandas as pd
-
-    def convert(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else " ".join(
-            unicodedata.normalize(form, v).split()).casefold())
-
-    convert.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return df.withColumn(out, F.pandas_udf(convert, "string")(F.col(text)))
-
-
 # --- requests --------------------------------------------------------------------------------
 
 def validate_requests(df: DataFrame, max_chars: int = 20_000, max_words: int = 5_000,

@@ -362,37 +362,6 @@ def calls_frame(spark, seed, n=400):
               "elapsed_s double").withColumn("ts", F.timestamp_seconds("t"))
 
 
-def test_pauses_equal_one_fold_per_client(spark):
-    for seed in range(3):
-        rows, df = calls_frame(spark, seed)
-        state, want = {}, {}
-        for client, i, t, unchanged, _, _ in rows:
-            fails, pause, until = state.get(client, (0, 10.0, 0.0))
-            if t < until:
-                want[i] = (True, 0.0)
-                continue
-            opened = 0.0
-            if not unchanged:
-                fails, pause = 0, 60.0
-            elif fails == 2:
-                fails, until, opened, pause = 0, t + pause, pause, min(2 * pause, 120.0)
-            else:
-                fails += 1
-            state[client] = (fails, pause, until)
-            want[i] = (False, opened)
-        got = {r.event_id: (r.skipped, r.pause_s)
-               for r in sq.backoff_windows(df, ["client"], slice_s=100_000).collect()}
-        assert got == want
-
-
-def test_pauses_double_up_to_the_limit(spark):
-    rows = [(1, i, BASE + i * 200.0, True) for i in range(18)]
-    df = spark.createDataFrame(rows, "client bigint, event_id bigint, t double, unchanged boolean"
-                               ).withColumn("ts", F.timestamp_seconds("t"))
-    got = sorted(sq.backoff_windows(df, ["client"]).collect(), key=lambda r: r.event_id)
-    assert [r.pause_s for r in got if r.pause_s] == [10, 20, 40, 80, 120, 120]
-
-
 def test_packing_equals_one_pass(spark):
     r = random.Random(4)
     rows = [(d, i, r.randrange(20, 700)) for d in range(3) for i in range(500)]
@@ -411,49 +380,6 @@ def test_packing_equals_one_pass(spark):
                 assert got[d, i] == (strip, top), (chunk, d, i)
 
 
-def page_rows(*pages):
-    return [(1, "s", i, BASE + t, n, c, big, gained)
-            for i, (t, n, c, big, gained) in enumerate(pages)]
-
-
-PAGE_DDL = ("doc_id bigint, signature string, event_id bigint, t double, n_blocks bigint, "
-            "avg_conf double, big_panel boolean, gained boolean")
-
-
-def decided(spark, f, *pages):
-    df = spark.createDataFrame(page_rows(*pages), PAGE_DDL).withColumn(
-        "ts", F.timestamp_seconds("t"))
-    got = sorted(f(df, ["doc_id", "signature"]).collect(), key=lambda r: r.event_id)
-    return [(r[3], r.how) for r in got]
-
-
-def test_decisions_are_reused(spark):
-    strong = (8, 0.9, False, False)
-    assert decided(spark, sq.decide_with_cache, (0, *strong), (60, *strong)) == [
-        (False, "new"), (False, "reused")]
-    # a page read much weaker is decided anew, and a positive then stays
-    assert decided(spark, sq.decide_with_cache, (0, *strong), (60, 0, 0.0, False, False),
-                   (120, *strong)) == [(False, "new"), (True, "weaker"), (True, "reused")]
-    # a weak negative is taken again once, then frozen
-    weak = (2, 0.4, False, False)
-    assert decided(spark, sq.decide_with_cache, (0, *weak), (60, *weak), (90, *weak)) == [
-        (False, "new"), (False, "retried"), (False, "reused")]
-    # beyond the time limit nothing is remembered
-    assert decided(spark, sq.decide_with_cache, (0, *strong), (2000, *strong)) == [
-        (False, "new"), (False, "new")]
-
-
-def test_suppression_of_fruitless_passes(spark):
-    strong, gain = (8, 0.9, False, False), (8, 0.9, False, True)
-    assert decided(spark, sq.suppress_repeats, (0, *strong), (60, *strong)) == [
-        (False, "new"), (True, "suppressed")]
-    weak = (1, 0.3, False, False)
-    assert decided(spark, sq.suppress_repeats, (0, *weak), (60, *weak), (90, *weak)) == [
-        (False, "new"), (False, "retried"), (True, "suppressed")]
-    assert decided(spark, sq.suppress_repeats, (0, *weak), (60, 1, 0.3, False, True),
-                   (90, *gain)) == [(False, "new"), (False, "retried"), (False, "new")]
-
-
 def test_near_signatures_find_every_pair(spark):
     r = random.Random(9)
     a = [r.getrandbits(64) - (1 << 63) for _ in range(60)]

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from blockflow.fixtures import Fixtures
 from blockflow.catalog import streams as cs
 from blockflow.operators import memory as me
-from blockflow.operators import sequences as sq
 from blockflow.streaming import jobs, state
 
 SF = "/root/testdata/sf0.001"
@@ -16,27 +15,6 @@ def same(a, b, columns):
             == sorted(map(str, b.select(*columns).collect())))
 
 
-def test_decisions(spark):
-    fx = Fixtures(spark, SF)
-    stream = cs.done(fx, state.decision_stream(cs.stream_of(fx, "page_stream")))
-    batch = sq.decide_with_cache(fx.page_stream, ["doc_id", "signature"])
-    assert same(stream, batch, ["event_id", "decision", "how"])
-
-
-def test_suppression(spark):
-    fx = Fixtures(spark, SF)
-    stream = cs.done(fx, state.suppression_stream(cs.stream_of(fx, "page_stream")))
-    batch = sq.suppress_repeats(fx.page_stream, ["doc_id", "signature"])
-    assert same(stream, batch, ["event_id", "suppressed", "how"])
-
-
-def test_pauses(spark):
-    fx = Fixtures(spark, SF)
-    stream = cs.done(fx, state.backoff_stream(cs.stream_of(fx, "calls")))
-    assert same(stream, sq.backoff_windows(fx.calls, ["client"]),
-                ["event_id", "skipped", "pause_s"])
-
-
 def test_memory(spark):
     fx = Fixtures(spark, SF)
     stream = cs.done(fx, state.learn_stream(cs.stream_of(fx, "memory_events")))
@@ -46,6 +24,44 @@ def test_memory(spark):
                 [*me.KEYS, "translation", "quality", "occurrences"])
 
 
+EVENTS = "doc_id bigint, source string, translation string, source_lang string, " \
+         "target_lang string, quality double, event_id bigint, t double"
+
+
+def test_an_expired_key_leaves_the_state(spark, tmp_path):
+    """The state store itself: keys not used for the time limit are gone without coming again."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = 86_400.0
+
+    def feed(*rows):
+        spark.createDataFrame([(1, s, f"{s} {n}", "ja", "es", q, n, 1.7e9 + d * day)
+                               for n, s, q, d in rows], EVENTS).withColumn(
+            "ts", F.timestamp_seconds("t")).write.mode("append").parquet(source)
+
+    def run():
+        schema = spark.read.parquet(source).schema
+        stream = state.learn_stream(spark.readStream.schema(schema).parquet(source),
+                                    ttl_s=30 * day)
+        rows = jobs.run_to_table(stream, out).collect()
+        stored = (spark.read.format("statestore").option("path", out + "/checkpoint")
+                  .option("stateVarName", "held").load().collect())
+        return {r.event_id: (r.translation, r.occurrences) for r in rows}, stored
+
+    feed((1, "\u7530\u4e2d", 0.9, 0), (2, "\u9ed2\u5d0e", 0.9, 0))
+    first, stored = run()
+    assert first == {1: ("\u7530\u4e2d 1", 1), 2: ("\u9ed2\u5d0e 2", 1)} and len(stored) == 2
+    feed((3, "\u9ed2\u5d0e", 0.9, 10), (4, "\u5c71\u5ddd", 0.9, 20))
+    assert len(run()[1]) == 3
+    feed((5, "\u5c71\u5ddd", 0.9, 35))  # the watermark is beyond day 30 after this
+    run()
+    feed((6, "\u5c71\u5ddd", 0.9, 36))
+    later, stored = run()
+    assert later[3] == ("\u9ed2\u5d0e 2", 2)
+    assert len(stored) == 2  # the first key is gone, though it never came again
+    feed((7, "\u7530\u4e2d", 0.7, 36))
+    assert run()[0][7] == ("\u7530\u4e2d 7", 1)
+
+
 def test_a_second_run_adds_only_new_input(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.range(10).write.parquet(source)
