@@ -18,7 +18,7 @@ at spaces, and a token never spans one.
 import os
 import zlib
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +44,8 @@ class WordTokens:
     """
 
     CLOSING = ".,;:!?%&#$*"
+    MARK = "\ue000"  # stands between parts that are encoded at one go
+    JOINED = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,10 +53,33 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks, self.parts = Memo(), Memo()
+        self.mark = np.array(self._ids([self.MARK])[0], dtype=np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _make(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", ids).tobytes() for ids in self._ids(parts)]
+
+    def _make_joined(self, parts: list[str]) -> list[bytes]:
+        """The same, many parts at a time: the ids of the mark tell where a part ends."""
+        groups = [parts[i:i + self.JOINED] for i in range(0, len(parts), self.JOINED)]
+        between, k, out = f" {self.MARK} ", len(self.mark), []
+        for group, ids in zip(groups, self._ids([between.join(g) for g in groups]), strict=True):
+            ids = np.array(ids, dtype=np.uint32)
+            found = np.ones(max(len(ids) - k + 1, 0), dtype=bool)
+            for i, m in enumerate(self.mark):
+                found &= ids[i:i + len(found)] == m
+            ends = np.flatnonzero(found)
+            if len(ends) != len(group) - 1:  # a part has the mark itself
+                out += self._make(group)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[4 * start:4 * end])
+                start = end + k
+            out.append(raw[4 * start:])
+        return out
 
     def _apart(self, chunk: str) -> list[str]:
         found = []
@@ -67,16 +92,28 @@ class WordTokens:
         return found
 
     def _make_chunks(self, chunks: list[str]) -> list[bytes]:
-        apart = [self._apart(c) for c in chunks]
-        parts = list({p for c in apart for p in c})
-        made = dict(zip(parts, self.parts.each(parts, self._make), strict=True))
-        return [b"".join(map(made.__getitem__, c)) for c in apart]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if "<|" in text:  # may hold a special token, which is written in lower case
-            return self.parts.join(text.split(" "), self._make)
-        return self.chunks.join(text.encode().lower().decode().split(" "), self._make_chunks)
+        # A chunk that is one part is encoded at once, the parts of the others are looked up.
+        whole = [c for c in chunks if not c or c[-1] not in self.CLOSING and "\n" not in c]
+        found = dict(zip(whole, self._make_joined(whole), strict=True))
+        apart = {c: self._apart(c) for c in chunks if c not in found}
+        parts = list({p for c in apart.values() for p in c})
+        made = dict(zip(parts, self.parts.each(parts, self._make_joined), strict=True))
+        for chunk, own in apart.items():
+            found[chunk] = b"".join([made[p] for p in own])
+        return [found[c] for c in chunks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit integers. What several texts hold is looked up once."""
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__  # each new chunk gets the next number
+        rows: list[bytes | list[int]] = []
+        for text in texts:
+            if "<|" in text:  # may hold a special token, which is written in lower case
+                rows.append(self.parts.join(text.split(" "), self._make))
+            else:
+                rows.append([number[c] for c in text.encode().lower().decode().split(" ")])
+        made = self.chunks.each(list(number), self._make_chunks)
+        return [r if isinstance(r, bytes) else b"".join([made[i] for i in r]) for r in rows]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -98,9 +135,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         part_no, seen = TaskContext.get().partitionId(), Counter()
         for part in slices(batches):
             rows = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(),
-                                    part.column("text").to_pylist(), strict=True):
-                ids = memoryview(tokens.encode(text or "") + last)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for doc_id, found in zip(part.column("doc_id").to_pylist(), tokens.encode(texts),
+                                     strict=True):
+                ids = memoryview(found + last)
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start:4 * (start + capacity)]
