@@ -26,6 +26,7 @@ its longest text, everything else is bounded by the pages of a merge and the pai
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heapreplace
@@ -244,9 +245,9 @@ def _encode(first: str, second: str, batches: Iterator[pa.RecordBatch]
     for part in slices(batches):
         for begin in range(0, part.num_rows, 1 << _DOCS):
             block = part.slice(begin, 1 << _DOCS)
-            number: dict[str, int] = {}
-            each = [np.array([number.setdefault(p, len(number)) for p in both.parts(text)]
-                             if text else [], dtype=np.int64)
+            number: defaultdict[str, int] = defaultdict()
+            number.default_factory = number.__len__  # each new part gets the next number
+            each = [np.array([number[p] for p in both.parts(text)] if text else [], dtype=np.int64)
                     for text in block.column("text").to_pylist()]
             found = both.each(list(number))
             lost = np.array([x is None for x in found], dtype=bool)
