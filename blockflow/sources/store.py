@@ -66,9 +66,29 @@ def tenant_scope(pages: DataFrame, projects: DataFrame) -> DataFrame:
     return pages.join(projects.select(F.col("id").alias("project_id"), "user_id"), "project_id")
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path, for the few files that are no tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _publish(spark: SparkSession, store: str, staging: str, touched: DataFrame) -> None:
+    """Put the staged buckets in the place of the old ones; buckets left without rows go."""
+    staged = spark.read.schema(SCHEMAS["text_blocks"]).parquet(staging)
+    (staged.repartition("page_bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("page_bucket")
+     .parquet(f"{store}/text_blocks"))
+    empty = (touched.select(F.col("page_bucket").cast("bigint").alias("page_bucket")).distinct()
+             .join(staged.select("page_bucket").distinct(), "page_bucket", "left_anti")
+             .collect())  # at most ``buckets``
+    for folder in [f"{store}/text_blocks/page_bucket={r[0]}" for r in empty]:
+        files, path = _files(spark, folder)
+        files.delete(path, True)
+
+
 def replace_page_blocks(spark: SparkSession, store: str, blocks: DataFrame,
                         buckets: int = BUCKETS, pages: DataFrame | None = None,
-                        user_id: int | None = None) -> None:
+                        user_id: int | None = None, batch: str | None = None) -> None:
     """Replace the blocks of all pages in ``blocks``; other pages are untouched.
 
     ``buckets`` is the number the store was written with. ``pages`` (page_id) also names pages
@@ -78,7 +98,17 @@ def replace_page_blocks(spark: SparkSession, store: str, blocks: DataFrame,
     Only the buckets that hold these pages are rewritten. The new version is written beside the
     store first, so a lost executor or a failed job leaves the old one in place until the
     final overwrite of exactly those buckets.
+
+    A named ``batch`` is applied exactly once: its new version stays staged under its name until it
+    is published and noted in the store. One that is noted changes nothing; one that was staged whole but
+    broke off while it was published is published again from there, not worked out anew from a
+    store that may be half new.
     """
+    noted = f"{store}/_commits/{batch}"
+    if batch is not None:
+        files, path = _files(spark, noted)
+        if files.exists(path):
+            return
     if user_id is not None:
         own = tenant_pages(read_table(spark, store, "pages"),
                            read_table(spark, store, "projects"), user_id).select(
@@ -90,22 +120,38 @@ def replace_page_blocks(spark: SparkSession, store: str, blocks: DataFrame,
     if pages is not None:
         touched = touched.unionByName(pages.select(F.col("page_id").cast("bigint")))
     touched = touched.distinct().withColumn("page_bucket", F.pmod("page_id", F.lit(buckets)))
-    old = read_table(spark, store, "text_blocks")
-    kept = (old.join(touched.select("page_bucket").distinct(), "page_bucket", "left_semi")
-            .join(touched.select("page_id"), "page_id", "left_anti").select(*new.columns))
-    staging = f"{store}/_staging/{uuid.uuid4().hex}"
-    (kept.unionByName(new).repartition("page_bucket").write.mode("overwrite")
-     .partitionBy("page_bucket").parquet(staging))
-    (spark.read.schema(SCHEMAS["text_blocks"]).parquet(staging).repartition("page_bucket")
-     .write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("page_bucket")
-     .parquet(f"{store}/text_blocks"))
-    left = spark.read.schema(SCHEMAS["text_blocks"]).parquet(staging).select("page_bucket")
-    empty = (touched.select(F.col("page_bucket").cast("bigint").alias("page_bucket")).distinct()
-             .join(left.distinct(), "page_bucket", "left_anti").collect())  # at most ``buckets``
-    for folder in [staging, *(f"{store}/text_blocks/page_bucket={r[0]}" for r in empty)]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    staging = f"{store}/_staging/{batch or uuid.uuid4().hex}"
+    files, whole = _files(spark, f"{staging}/_SUCCESS")
+    if not files.exists(whole):
+        old = read_table(spark, store, "text_blocks")
+        kept = (old.join(touched.select("page_bucket").distinct(), "page_bucket", "left_semi")
+                .join(touched.select("page_id"), "page_id", "left_anti").select(*new.columns))
+        (kept.unionByName(new).repartition("page_bucket").write.mode("overwrite")
+         .partitionBy("page_bucket").parquet(staging))
+    _publish(spark, store, staging, touched)
+    if batch is not None:
+        files, path = _files(spark, noted)
+        files.create(path, True).close()
+    files, path = _files(spark, staging)
+    files.delete(path, True)
+
+
+def replace_from_stream(stream: DataFrame, store: str, checkpoint: str,
+                        buckets: int = BUCKETS) -> None:
+    """Replace the pages of every micro-batch that is there now, each exactly once.
+
+    The blocks of a page come in one micro-batch; a later one replaces them. Batches are noted in
+    the store under the name of the stream's checkpoint.
+    """
+    name = checkpoint.rstrip("/").rpartition("/")[2]
+
+    def apply(blocks: DataFrame, batch_id: int) -> None:
+        replace_page_blocks(blocks.sparkSession, store, blocks, buckets,
+                            batch=f"{name}-{batch_id}")
+
+    query = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
 
 
 def migrate_confidence(old: DataFrame) -> DataFrame:

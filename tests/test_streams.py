@@ -1,10 +1,12 @@
 """Stream and batch forms agree on ordered input; restarts process only what is new."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from blockflow.fixtures import Fixtures
 from blockflow.catalog import streams as cs
 from blockflow.operators import memory as me
+from blockflow.sources import store as st
 from blockflow.streaming import jobs, state
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +72,53 @@ def test_a_second_run_adds_only_new_input(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(source)
     assert jobs.run_to_table(spark.readStream.schema("id bigint").parquet(source),
                              out).count() == 15
+
+
+def _blocks(spark, text, pages):
+    return spark.createDataFrame([(100 * p + i, p, 0, 10 * i, 5, 5, f"{text} {p} {i}")
+                                  for p in pages for i in range(3)],
+                                 "id bigint, page_id bigint, x bigint, y bigint, w bigint,"
+                                 " h bigint, source_text string")
+
+
+def _stored(spark, store):
+    return sorted(r.source_text for r in st.read_table(spark, store, "text_blocks").collect())
+
+
+def _texts(*parts):
+    return sorted(f"{text} {p} {i}" for text, pages in parts for p in pages for i in range(3))
+
+
+def test_pages_are_replaced_from_a_stream_exactly_once(spark, tmp_path, monkeypatch):
+    store, source = str(tmp_path / "store"), str(tmp_path / "in")
+    st.write_table(_blocks(spark, "old", range(8)), store, "text_blocks", 4)
+    first = _blocks(spark, "new", [1, 2])
+    first.write.parquet(source)
+
+    def run():
+        st.replace_from_stream(spark.readStream.schema(first.schema).parquet(source), store,
+                               str(tmp_path / "pages"), 4)
+
+    run()
+    rest = [0, 3, 4, 5, 6, 7]
+    assert _stored(spark, store) == _texts(("old", rest), ("new", [1, 2]))
+    # Somebody else changes a page; the batch comes again under its number and changes nothing.
+    st.replace_page_blocks(spark, store, _blocks(spark, "other", [1]), 4)
+    st.replace_page_blocks(spark, store, first, 4, batch="pages-0")
+    assert _stored(spark, store) == _texts(("old", rest), ("new", [2]), ("other", [1]))
+
+    # A batch breaks off while it is published, after a bucket of the store is gone already.
+    def broken(spark, store, staging, touched):
+        files, path = st._files(spark, f"{store}/text_blocks/page_bucket=3")
+        files.delete(path, True)
+        raise RuntimeError("lost")
+
+    _blocks(spark, "late", [3]).write.mode("append").parquet(source)
+    whole = st._publish
+    monkeypatch.setattr(st, "_publish", broken)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(st, "_publish", whole)
+    run()
+    assert _stored(spark, store) == _texts(("old", [0, 4, 5, 6, 7]), ("new", [2]),
+                                           ("other", [1]), ("late", [3]))
