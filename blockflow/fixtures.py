@@ -76,6 +76,12 @@ _BOTH = {
         from {conversations} a join {conversations} b
           on a.conv_id = b.conv_id and b.turn = a.turn + 1
         where a.role = 'user' and b.role = 'assistant'""",
+    "retold": """
+        select doc_id, seq, source_lang, target_lang,
+          concat('told again for the ', cast(doc_id % 40 as varchar(8)), 'th time') as src,
+          case when seq % 3 = 0 then concat('contada ', cast(doc_id % 7 as varchar(8)), ' veces')
+               else tgt end as tgt, block_type
+        from {pairs}""",
     "page_runs": """
         select event_id, ts, event_id % 60 as page,
           case when event_type in ('click','purchase') then 'A' else 'B' end as run,
@@ -137,7 +143,7 @@ _DEPENDS = {
     "blocks": ["lines"], "page_sizes": ["blocks"], "pairs": ["conversations"],
     "page_runs": ["events"], "calls": ["events"], "memory_events": ["events"],
     "gold": ["blocks"], "dets": ["blocks"], "regions": ["blocks"], "log_lines": ["events"],
-    "batch_results": ["events"], "page_stream": ["events"],
+    "batch_results": ["events"], "page_stream": ["events"], "retold": ["pairs"],
 }
 
 

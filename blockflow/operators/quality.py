@@ -1,6 +1,6 @@
 """Source/target pairs: categories, reports, consistency, alerts."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockflow.functions import text as tx
@@ -102,12 +102,12 @@ def quality_report(pairs: DataFrame) -> DataFrame:
             .drop("_all"))
 
 
-def consistency_conflicts(pairs: DataFrame) -> DataFrame:
-    """Sources of one pair and type that were translated in more than one way.
+VARIANT_KEYS = ["lang_pair", "kind", "source_key"]
 
-    Distinct (key, target) first, so that a source repeated a million times reaches the second
-    aggregation as its few variants.
-    """
+
+def translation_variants(pairs: DataFrame) -> DataFrame:
+    """One row per source and way it was translated, with how often: (lang_pair, kind, source_key,
+    target, source, n). The whole table, also of sources with one translation."""
     src, tgt = F.col("src"), F.col("tgt")
     kind = F.lower(tx.strip(F.coalesce(F.col("block_type"), F.lit(""))))
     usable = (classify_pairs(pairs)
@@ -117,13 +117,26 @@ def consistency_conflicts(pairs: DataFrame) -> DataFrame:
               .select("lang_pair", kind.alias("kind"),
                       tx.casefold(tx.collapse(src)).alias("source_key"),
                       tx.strip(src).alias("source"), tx.strip(tgt).alias("target")))
-    variants = (usable.groupBy("lang_pair", "kind", "source_key", "target")
-                .agg(F.min("source").alias("source")))
-    return (variants.groupBy("lang_pair", "kind", "source_key")
-            .agg(F.min("source").alias("source"),
-                 F.count_distinct(tx.casefold(F.col("target"))).alias("n_targets"),
-                 F.array_sort(F.collect_set("target")).alias("targets"))
-            .where("n_targets > 1"))
+    return usable.groupBy(*VARIANT_KEYS, "target").agg(F.min("source").alias("source"),
+                                                       F.count("*").alias("n"))
+
+
+def consistency_conflicts(pairs: DataFrame, shown: int = 20) -> DataFrame:
+    """Sources of one pair and type that were translated in more than one way.
+
+    Distinct (key, target) first, so that a source repeated a million times reaches the second
+    aggregation as its variants. All of them are counted; ``targets`` shows the ``shown`` most
+    frequent ones, ties by their text, in alphabetical order. ``translation_variants`` has the rest.
+    """
+    folded = tx.casefold(F.col("target"))
+    variants = translation_variants(pairs)
+    place = Window.partitionBy(*VARIANT_KEYS).orderBy(F.desc("n"), "target")
+    top = (variants.withColumn("_place", F.row_number().over(place))
+           .where(F.col("_place") <= shown).groupBy(*VARIANT_KEYS)
+           .agg(F.array_sort(F.collect_list("target")).alias("targets")))
+    return (variants.groupBy(*VARIANT_KEYS)
+            .agg(F.min("source").alias("source"), F.count_distinct(folded).alias("n_targets"))
+            .where("n_targets > 1").join(top, VARIANT_KEYS))
 
 
 # --- alerts ----------------------------------------------------------------------------------
