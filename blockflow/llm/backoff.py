@@ -1,26 +1,30 @@
 """Language-model scores from a weighted backoff automaton.
 
-Texts are cut into words once, into blocks of a few megabytes with a word list of their own. From
-the blocks' word lists come the counts of all words of the training documents; they go back to the
-blocks by a join, so nothing that grows with the vocabulary is broadcast.
-
-The automaton holds n-grams up to three tokens whose count is at least ``SHARE`` of the training
-tokens (and two). At most 1 / SHARE n-grams of each length can be that frequent, which bounds it
-at any input size. Counts are discounted, what is left goes to the shorter context, and single
-tokens have the add-one estimate of the base score. Contexts become states with a failure arc to
-the longest shorter context; one walk over a document carries the state and adds up arc and failure
-weights.
+Texts are cut into words once, into blocks of a few megabytes. A block sends its distinct words,
+pairs and triples of tokens, each with its count in training documents, to the parts of their hash
+range; a part adds up what the blocks sent and answers every block with the totals in the order in
+which it asked. So every n-gram of the corpus counts, at any size: nothing that grows with the
+vocabulary is broadcast or sent to the driver, and a frequent n-gram is one entry per block.
+
+With its totals a block has the part of the model that its documents can meet, and builds it as an
+automaton. Contexts (one or two tokens) become states with a failure arc to the next shorter
+context, n-grams become arcs; one walk over a document carries the state and adds up arc and failure
+weights. Smoothing is that of the hierarchical Dirichlet model: a context seen c times gives a token
+seen n times after it (n + strength * shorter) / (c + strength), where ``shorter`` is the token's
+probability after the shorter context and, without context, the add-one estimate of the base score.
+An n-gram not seen has the failure weight strength / (c + strength) times that.
+
+Words are counted as they are; pairs and triples by 64 bits of a hash, so with 10**9 different ones two
+may share a count with a chance of 3 %.
 
 Defined results: a null text is an empty one and consists of the end token; a null id is not held
 out; repeated rows are scored each for themselves and count each when learning; extra columns are
-not read; without training documents every base score is 0 and the automaton has single tokens
-only; an empty table gives an empty result. A long text makes a block of its own.
+not read; without training documents every base score is 0 and the automaton has no states; an empty
+table gives an empty result. A long text makes a block of its own.
 """
 
 from collections.abc import Iterator
 from functools import partial
-from math import log10
-from uuid import uuid4
 from zlib import compress, decompress
 
 import numpy as np
@@ -28,24 +32,32 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from blockflow.llm.common import remainder, table
 from blockflow.session import checkpointed
 
 FOLDS, LEFT_OUT = 7, 2
-SHARE = 2e-6
-DISCOUNT = 0.75
+STRENGTHS = 300.0, 10.0  # weight of the shorter context for contexts of one and of two tokens
 BLOCK_BYTES = 6_000_000
-END = ""  # no word is empty, so this stands for the end of a document
-_M = 1 << 20  # more than 1 / SHARE: the base in which token numbers are combined
+PART = 4_000_000  # n-grams that a part of the hash range holds on average, at most
+WORDS, GRAMS = 0, 1
+
+_BLOCK = ("block long, words binary, tokens binary, n long, n_trained long, ends array<int>,"
+          " doc_ids array<long>, held_out array<boolean>")
+_ASKED = "kind int, part int, block long, keys binary, counts binary"
+_TOLD = "block long, kind int, part int, totals binary, n_distinct long"
+_SCORE = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
+          " base_score double, score double")
 
-_BLOCK = ("block long, words array<string>, counts array<long>, tokens binary,"
-          " ends array<int>, doc_ids array<long>, held_out array<boolean>")
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """One row per block: its distinct words with their counts in training documents, and its
-    documents as compressed word numbers, one after the other. Block numbers only hold for one run."""
+    """One row per block: its distinct words, and its documents as compressed word numbers, one after
+    the other; number 0 is the end of a document. Block numbers only hold for one run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         local: dict[bytes, int] = {b"": 0}
@@ -54,15 +66,14 @@ def blocks(docs: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             flat = np.concatenate(tokens)
             last = np.array(ends)
-            trained = np.repeat(~np.array(held), np.diff(last, prepend=0))
-            counts = np.bincount(flat[trained], minlength=len(local))
-            columns = [[task << 32 | made], [[w.decode() for w in local]], [counts],
-                       [compress(flat.tobytes(), 1)], [last.astype(np.int32)], [ids], [held]]
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(),
+            trained = int(np.diff(last, prepend=0)[~np.array(held)].sum())
+            columns = [[task << 32 | made], [compress(b"\n".join(local), 1)],
+                       [compress(flat.tobytes(), 1)], [len(flat)], [trained],
+                       [last.astype(np.int32)], [ids], [held]]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(),
                      pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                [f.split()[0] for f in _BLOCK.split(", ")])
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(_BLOCK))
 
         for batch in batches:
             for doc_id, out, text in zip(*(batch.column(c) for c in ("doc_id", "held_out", "text")),
@@ -88,255 +99,212 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK)
 
 
-def _cell(batch: pa.RecordBatch, column: str, row: int) -> pa.Array:
-    """One row's list."""
-    return batch.column(column)[row].values
-
-
-def _tokens(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    return np.frombuffer(decompress(batch.column("tokens")[row].as_py()), np.int32)
-
-
-def _numbers(words: list[str], frequent: dict[str, int]) -> np.ndarray:
-    """The automaton's numbers of a block's words, -1 for those it does not have."""
-    return np.array([frequent.get(w, -1) for w in words], dtype=np.int64)
-
-
-def _contexts(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the one before it, the end token at a start; and whether it is at a start."""
-    starts = np.zeros(len(tokens), dtype=bool)
-    starts[0] = True
-    starts[ends[:-1]] = True
-    before = np.roll(tokens, 1)
-    before[starts] = tokens[ends[0] - 1]
-    return before, starts
-
-
-def _count_grams(rows: DataFrame, frequent, pairs, least: int) -> pa.Table:
-    """Counts of pairs of frequent tokens, or with ``pairs`` of those pairs with a next token."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                tokens = _numbers(_cell(batch, "words", row).to_pylist(), frequent.value)[
-                    _tokens(batch, row)]
-                ends = _cell(batch, "ends", row).to_numpy()
-                before, starts = _contexts(tokens, ends)
-                good = np.repeat(~_cell(batch, "held_out", row).to_numpy(zero_copy_only=False),
-                                 np.diff(ends, prepend=0))
-                good &= (tokens >= 0) & (before >= 0)
-                keys = before * _M + tokens
-                if pairs is not None:
-                    known = pairs.value
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    context = np.where(good & (known[at] == keys), at, -1)
-                    context = np.roll(context, 1)
-                    good &= ~starts & (context >= 0)
-                    keys = context * _M + tokens
-                grams, counts = np.unique(keys[good], return_counts=True)
-                for first in range(0, len(grams), 100_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams[first:first + 100_000]),
-                         pa.array(counts[first:first + 100_000])], ["gram", "n"])
-
-    return (rows.select("words", "tokens", "ends", "held_out").mapInArrow(run, "gram long, n long")
-            .groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            .toArrow())  # at most 1 / SHARE rows
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit keys (the finishing steps of splitmix64)."""
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(31))
+
+
+class Block:
+    """A block's documents with its distinct n-grams, the same whenever they are made anew.
+
+    ``at_pair`` and ``at_triple`` number the n-gram that ends at each token, in the order of
+    ``grams``; the first token of a document follows the end token and ends no triple (-1).
+    """
+
+    def __init__(self, row: dict):
+        self.words = decompress(row["words"]).split(b"\n")
+        self.tokens = np.frombuffer(decompress(row["tokens"]), np.int32)
+        self.ends = np.array(row["ends"])
+        hashes = np.fromiter((xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.order = np.argsort(hashes, kind="stable")  # of words, by hash
+        self.hashes = hashes[self.order]
+        starts = np.concatenate(([0], self.ends[:-1]))
+        self.before = np.concatenate(([0], self.tokens[:-1]))
+        self.before[starts] = 0
+        inner = np.ones(len(self.tokens), dtype=bool)
+        inner[starts] = False
+        of = hashes[self.tokens]
+        pairs = _mixed(hashes[self.before] * np.uint64(3) + of)
+        triples = _mixed(pairs[:-1] * np.uint64(5) + of[1:] + np.uint64(1))[inner[1:]]
+        self.grams, self.first, number = np.unique(
+            np.concatenate((pairs, triples)), return_index=True, return_inverse=True)
+        self.at_pair = number[:len(pairs)]
+        self.at_triple = np.full(len(pairs), -1)
+        self.at_triple[inner] = number[len(pairs):]
+        self.inner = np.flatnonzero(inner)
+
+    def counts(self, held_out: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words (in hash order) and n-grams in the training documents."""
+        good = np.repeat(~np.array(held_out), np.diff(self.ends, prepend=0))
+        words = np.bincount(self.tokens[good], minlength=len(self.words))[self.order]
+        triples = self.at_triple[good]
+        return words, np.bincount(np.concatenate((self.at_pair[good], triples[triples >= 0])),
+                                  minlength=len(self.grams))
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Parts of the hash range with the places of their keys among the sorted ones."""
+    parts, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    return list(zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Steps between sorted keys, in as many bytes as the widest needs."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _ask(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a block has of each part of the hash range."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            here = batch.slice(row, 1).to_pylist()[0]
+            block = Block(here)
+            words, grams = block.counts(here["held_out"])
+            names = [block.words[i] for i in block.order.tolist()]
+            out = [(WORDS, part, here["block"], compress(b"\n".join(names[a:b]), 1),
+                    compress(words[a:b].tobytes(), 1)) for part, a, b in _cuts(block.hashes, bits)]
+            start = np.uint64(64 - bits)
+            out += [(GRAMS, part, here["block"],
+                     _packed(block.grams[a:b] - (np.uint64(part) << start)),
+                     compress(grams[a:b].tobytes(), 1)) for part, a, b in _cuts(block.grams, bits)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                _names(_ASKED))
+
+
+def _tell(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+    """The totals of one part, for each block in the order of its keys."""
+    kind, part = key[0].as_py(), key[1].as_py()
+    counts = [np.frombuffer(decompress(c), np.int64) for c in asked["counts"].to_pylist()]
+    sizes = [len(c) for c in counts]
+    if kind == WORDS:
+        numbers: dict[bytes, int] = {}
+        at = np.array([numbers.setdefault(w, len(numbers)) for data in asked["keys"].to_pylist()
+                       for w in decompress(data).split(b"\n")])
+    else:
+        keys = np.concatenate([_unpacked(d, n) for d, n in
+                               zip(asked["keys"].to_pylist(), sizes, strict=True)])
+        _, at = np.unique(keys, return_inverse=True)
+    totals = np.zeros(int(at.max()) + 1, dtype=np.int64)
+    np.add.at(totals, at, np.concatenate(counts))
+    answers = np.split(totals[at], np.cumsum(sizes)[:-1])
+    distinct = [int((totals > 0).sum())] + [0] * (len(sizes) - 1)
+    return pa.table([asked["block"], pa.array([kind] * len(sizes), pa.int32()),
+                     pa.array([part] * len(sizes), pa.int32()),
+                     pa.array([compress(a.tobytes(), 1) for a in answers], pa.binary()),
+                     pa.array(distinct, pa.int64())], _names(_TOLD))
 
 
 class Automaton:
-    """States, arcs and failure arcs. State 0 knows no context."""
-
-    def __init__(self, singles: np.ndarray, total: int, distinct: int,
-                 pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]):
-        self.floor = total + distinct + 1
-        self.singles = np.append(singles, 0.0)  # the last entry answers for -1
-        single_p = (singles + 1.0) / self.floor
-        keys, counts = pairs
-        history, last = keys // _M, keys % _M
-        self.arcs: dict[int, int] = {}
-        self.weights: list[float] = []
-        self.targets: list[int] = []
-        self.fail, self.back = [0], [0.0]
-        # One state for each token that starts a pair, one for each pair that starts a triple.
-        self.after_one: dict[int, int] = {}
-        pair_p = (counts - DISCOUNT) / np.maximum(singles[history], 1) if len(keys) else counts
-        for token in np.unique(history).tolist():
-            self.after_one[token] = len(self.fail)
-            self.fail.append(0)
-        used = np.bincount(history, pair_p, len(singles)) if len(keys) else np.zeros(len(singles))
-        lower = (np.bincount(history, single_p[last], len(singles))
-                 if len(keys) else np.zeros(len(singles)))
-        rest = np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - lower, 1e-12))
-        self.back += [rest[t] for t in self.after_one]
-        t_keys, t_counts = triples
-        t_pair, t_last = t_keys // _M, t_keys % _M
-        after_two: dict[int, int] = {}
-        for pair in np.unique(t_pair).tolist():
-            after_two[pair] = len(self.fail)
-            self.fail.append(self.after_one.get(int(last[pair]), 0))
-        known = dict(zip(keys.tolist(), pair_p.tolist(), strict=True))
-
-        def of_pair(token: int, following: int) -> float:
-            p = known.get(token * _M + following)
-            return p if p is not None else 10 ** rest[token] * single_p[following]
-
-        triple_p = (t_counts - DISCOUNT) / counts[t_pair] if len(t_keys) else t_counts
-        t_lower = np.array([of_pair(int(last[p]), w)
-                            for p, w in zip(t_pair.tolist(), t_last.tolist(), strict=True)])
-        if len(t_keys):
-            t_used = np.bincount(t_pair, triple_p, len(keys))
-            t_low = np.bincount(t_pair, t_lower, len(keys))
-            t_rest = np.log10(np.maximum(1 - t_used, 1e-12) / np.maximum(1 - t_low, 1e-12))
-            self.back += [t_rest[p] for p in after_two]
-        # The state entered from state 0 by each token; the last entry is for unknown tokens.
-        self.entered = np.zeros(len(singles) + 1, dtype=np.int64)
-        self.entered[list(self.after_one)] = list(self.after_one.values())
-        for i, (h, w, p) in enumerate(zip(history.tolist(), last.tolist(), pair_p.tolist(),
-                                          strict=True)):
-            self._arc(self.after_one[h], w, p, after_two.get(i, self.after_one.get(w, 0)))
-        index = {k: i for i, k in enumerate(keys.tolist())}
-        for pair, w, p in zip(t_pair.tolist(), t_last.tolist(), triple_p.tolist(), strict=True):
-            target = after_two.get(index.get(int(last[pair]) * _M + w, -1),
-                                   self.after_one.get(w, 0))
-            self._arc(after_two[pair], w, p, target)
-
-    def _arc(self, state: int, token: int, p: float, target: int) -> None:
-        self.arcs[state * _M + token] = len(self.weights)
-        self.weights.append(log10(p))
-        self.targets.append(target)
-
-    def score(self, tokens: np.ndarray, singles: np.ndarray, end: int) -> float:
-        """log10 probability of tokens; ``singles`` has their weights without context.
-
-        The walk only stops where a state was entered; elsewhere the token's own weight counts.
-        """
+    """States, arcs and failure arcs of what a block can meet. State 0 knows no context, state
+    1 + w follows token w, the states of pairs come after these."""
+
+    def __init__(self, block: Block, words: np.ndarray, grams: np.ndarray, floor: int):
+        one, two = STRENGTHS
+        self.distinct = len(words)
+        self.single_p = (words + 1.0) / floor
+        # Each n-gram at the place where it ends first.
+        n = len(block.tokens)
+        pairs = np.flatnonzero((block.first < n) & (grams > 0))
+        triples = np.flatnonzero((block.first >= n) & (grams > 0))
+        ends, last = block.first[pairs], block.inner[block.first[triples] - n]
+        history, token = block.before[ends], block.tokens[ends]
+        state = np.zeros(len(grams), dtype=np.int64)
+        state[pairs] = 1 + self.distinct + np.arange(len(pairs))
+        p = np.zeros(len(grams))
+        p[pairs] = (grams[pairs] + one * self.single_p[token]) / (words[history] + one)
+        context, shorter = block.at_pair[last - 1], block.at_pair[last]
+        p[triples] = (grams[triples] + two * p[shorter]) / (grams[context] + two)
+        sources = np.concatenate((1 + history, state[context]))
+        read = np.concatenate((token, block.tokens[last]))
+        keys = sources * self.distinct + read
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weights = np.log10(p[np.concatenate((pairs, triples))]).tolist()
+        self.targets = np.concatenate((state[pairs], state[shorter])).tolist()
+        known = words > 0
+        self.entered = np.where(known, 1 + np.arange(self.distinct), 0).tolist()
+        self.fail = [0] * (1 + self.distinct) + (1 + token).tolist()
+        self.back = np.log10(np.concatenate(
+            ([1.0], np.where(known, one / (words + one), 1.0), two / (grams[pairs] + two)))).tolist()
+
+    def score(self, tokens: np.ndarray, singles: np.ndarray) -> float:
+        """log10 probability of a document; ``singles`` has its tokens' weights without context."""
         arcs, weights, targets = self.arcs, self.weights, self.targets
-        fail, back, entered = self.fail, self.back, self.entered
-        before = np.concatenate(([end], tokens[:-1]))
-        first = entered[before]
-        stops = np.flatnonzero(first)
-        total, at, state = float(singles.sum()), -1, 0
-        for i, token, single, fresh in zip(stops.tolist(), tokens[stops].tolist(),
-                                           singles[stops].tolist(), first[stops].tolist(),
-                                           strict=True):
-            if at != i - 1 or not state:
-                state = fresh
-            at = i
-            if token < 0:
-                while state:
-                    total += back[state]
-                    state = fail[state]
-                continue
+        fail, back, entered, width = self.fail, self.back, self.entered, self.distinct
+        total, state = 0.0, entered[0]
+        for token, single in zip(tokens.tolist(), singles.tolist(), strict=True):
             while state:
-                arc = arcs.get(state * _M + token)
+                arc = arcs.get(state * width + token)
                 if arc is not None:
-                    total += weights[arc] - single
+                    total += weights[arc]
                     state = targets[arc]
                     break
                 total += back[state]
                 state = fail[state]
+            else:
+                total += single
+                state = entered[token]
         return total
 
 
-_automata: dict[str, Automaton] = {}
-_NUMBERED = ("block long, numbers array<int>, tokens binary, ends array<int>,"
-             " doc_ids array<long>, held_out array<boolean>")
-
-
-def _numbered(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the automaton's numbers in place of their words."""
+def _scored(total: int, distinct: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            numbers = _numbers(_cell(batch, "words", row).to_pylist(), frequent.value)
-            here = batch.slice(row, 1)
+            here = batch.slice(row, 1).to_pylist()[0]
+            block = Block(here)
+            told = sorted(here["told"], key=lambda t: (t["kind"], t["part"]))
+            by_hash, grams = (np.concatenate([np.frombuffer(decompress(t["totals"]), np.int64)
+                                              for t in told if t["kind"] == k])
+                              for k in (WORDS, GRAMS))
+            words = np.zeros_like(by_hash)
+            words[block.order] = by_hash
+            automaton = Automaton(block, words, grams, total + distinct + 1)
+            single = np.log10(automaton.single_p)[block.tokens]
+            known = words[block.tokens] > 0
+            first, out = 0, []
+            for doc_id, held, last in zip(here["doc_ids"], here["held_out"], here["ends"],
+                                          strict=True):
+                part = slice(first, last)
+                out.append((doc_id, held, last - first, int(known[part].sum()), total,
+                            float(single[part].sum()),
+                            automaton.score(block.tokens[part], single[part])))
+                first = last
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
+                     pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [here.column("block"), pa.array([numbers.astype(np.int32)], pa.list_(pa.int32())),
-                 *(here.column(c) for c in ("tokens", "ends", "doc_ids", "held_out"))],
-                [f.split()[0] for f in _NUMBERED.split(", ")])
-
-
-def _others(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of blocks that the automaton does not have, with their places."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            words = _cell(batch, "words", row)
-            at = np.flatnonzero(_numbers(words.to_pylist(), frequent.value) < 0).astype(np.int32)
-            block = batch.column("block")[row].as_py()
-            for first in range(0, len(at), 50_000):
-                part = at[first:first + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [words.take(pa.array(part)), pa.array(np.full(len(part), block)),
-                     pa.array(part)], ["word", "block", "at"])
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                _names(_SCORE))
 
 
-_SCORE = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
-          " base_score double, score double")
+def totals(rows: DataFrame) -> DataFrame:
+    """The corpus totals of the words and n-grams of each block, part by part."""
+    n = rows.agg(F.sum("n")).first()[0] or 0
+    bits = max(1, int(np.ceil(np.log2(max(1, 2 * n / PART)))))
+    return rows.select("block", "words", "tokens", "ends", "held_out").mapInArrow(
+        partial(_ask, bits), _ASKED).groupBy("kind", "part").applyInArrow(_tell, _TOLD)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Every document's base score and automaton score."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
     rows = checkpointed(blocks(docs))
-    lists = rows.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    vocabulary = checkpointed(lists.groupBy(F.col("w.words").alias("word")).agg(
-        F.sum("w.counts").alias("count")).filter("count > 0"))
-    totals = vocabulary.agg(F.sum("count").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = totals["n"] or 0, totals["v"]
-    least = max(2, int(np.ceil(SHARE * total)))
-    common = vocabulary.filter(F.col("count") >= least).toArrow()  # at most 1 / SHARE rows
-    words = sorted(zip(common["word"].to_pylist(), common["count"].to_pylist(), strict=True))
-    numbers = {w: i for i, (w, _) in enumerate(words)}
-    frequent = context.broadcast(numbers)
-    found = _count_grams(rows, frequent, None, least).sort_by("gram")
-    pairs = found["gram"].to_numpy(), found["n"].to_numpy()
-    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    triples = none
-    if len(pairs[0]):
-        found = _count_grams(rows, frequent, context.broadcast(pairs[0]), least).sort_by("gram")
-        triples = found["gram"].to_numpy(), found["n"].to_numpy()
-    name, end = uuid4().hex, numbers.get(END, -1)
-    shared = context.broadcast((np.array([c for _, c in words], dtype=np.float64), total, distinct,
-                                pairs, triples))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _automata:  # one per process
-            _automata.clear()
-            _automata[name] = Automaton(*shared.value)
-        automaton = _automata[name]
-        for batch in batches:
-            for row in range(batch.num_rows):
-                numbers = _cell(batch, "numbers", row).to_numpy()
-                counts = np.where(numbers >= 0, automaton.singles[numbers], 0.0)
-                if batch.column("known")[row].is_valid:
-                    known = _cell(batch, "known", row)
-                    counts[known.field("at").to_numpy()] = known.field("count").to_numpy()
-                weights = np.log10((counts + 1.0) / automaton.floor)
-                local = _tokens(batch, row)
-                tokens = numbers[local]
-                single, known = weights[local], counts[local] > 0
-                first, out = 0, []
-                for doc_id, held, last in zip(*(_cell(batch, c, row).to_pylist() for c in (
-                        "doc_ids", "held_out", "ends")), strict=True):
-                    part = slice(first, last)
-                    out.append((doc_id, held, last - first, int(known[part].sum()), total,
-                                float(single[part].sum()),
-                                automaton.score(tokens[part], single[part], end)))
-                    first = last
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
-                         pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                    [f.split()[0] for f in _SCORE.split(", ")])
-
-    # Frequent words are known to every task; the counts of the others come by a join.
-    known = rows.select("block", "words").mapInArrow(
-        partial(_others, frequent), "word string, block long, at int").join(
-        vocabulary, "word").groupBy("block").agg(
-        F.collect_list(F.struct("at", "count")).alias("known"))
-    return rows.select("block", "words", "tokens", "ends", "doc_ids", "held_out").mapInArrow(
-        partial(_numbered, frequent), _NUMBERED).join(known, "block", "left").mapInArrow(
-        run, _SCORE)
+    told = checkpointed(totals(rows))
+    total = rows.agg(F.sum("n_trained")).first()[0] or 0
+    distinct = told.filter(F.col("kind") == WORDS).agg(F.sum("n_distinct")).first()[0] or 0
+    answers = told.groupBy("block").agg(
+        F.collect_list(F.struct("kind", "part", "totals")).alias("told"))
+    return rows.select("block", "words", "tokens", "ends", "doc_ids", "held_out").join(
+        answers, "block").mapInArrow(partial(_scored, total, distinct), _SCORE)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,36 +30,63 @@ def test_base_score_is_the_add_one_estimate(spark, small, edge_docs, no_docs):
     assert backoff.score(no_docs).count() == 0
 
 
-def test_automaton_probabilities_sum_to_one():
+def brute_model(texts):
+    """Probability of a token after a context by recursion over plain counts of all texts."""
+    grams = Counter()
+    for text in texts:
+        words = [b"", *text, b""]
+        for i in range(1, len(words)):
+            grams[words[i],] += 1
+            grams[words[i - 1], words[i]] += 1
+            if i > 1:
+                grams[tuple(words[i - 2:i + 1])] += 1
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+    distinct = sum(len(g) == 1 for g in grams)
+
+    def p(context, word):
+        if not context:
+            return (grams[word,] + 1) / (total + distinct + 1)
+        strength = backoff.STRENGTHS[len(context) - 1]
+        return ((grams[(*context, word)] + strength * p(context[1:], word))
+                / (grams[context] + strength))
+
+    def log_p(text):
+        words = [b"", *text, b""]
+        return sum(math.log10(p(tuple(words[max(0, i - 2):i]), words[i]))
+                   for i in range(1, len(words)))
+
+    return p, log_p, {w for g in grams for w in g}
+
+
+def test_automaton_equals_the_plain_recursion(spark, small, edge_docs, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(
+        edge_docs.select("doc_id", "text"))
+    monkeypatch.setattr(backoff, "PART", 5_000)  # many parts
+    texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    _, log_p, _ = brute_model(w for i, w in texts if i is None or crc_remainder(i, 7) != 2)
+    expected = sorted((-1 if i is None else i, round(log_p(w), 4)) for i, w in texts)
+    rows = sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 4))
+                  for r in backoff.score(docs.repartition(7)).collect())
+    assert [i for i, _ in rows] == [i for i, _ in expected]
+    assert all(abs(a - b) < 1e-3 for (_, a), (_, b) in zip(rows, expected, strict=True))
+
+
+def test_probabilities_sum_to_one():
     """After any context the next token's probabilities, with one unseen word, add up to 1."""
-    import numpy as np
-
-    text = [1, 2, 3, 1, 2, 4, 1, 2, 3, 0, 2, 1, 2, 3, 1, 3, 0]
-    singles = np.bincount(text, minlength=5).astype(float)
-    pairs, triples, before, two = Counter(), Counter(), 0, None
-    keys = []
-    for t in text:
-        pairs[before * backoff._M + t] += 1
-        keys.append((before, t))
-        before = t
-    pair_keys = np.array(sorted(pairs))
-    index = {int(k): i for i, k in enumerate(pair_keys)}
-    for a, b in zip(keys, keys[1:], strict=False):
-        if a[1] != 0:
-            triples[index[a[0] * backoff._M + a[1]] * backoff._M + b[1]] += 1
-    triple_keys = np.array(sorted(triples))
-    model = backoff.Automaton(singles, len(text), 5,
-                              (pair_keys, np.array([pairs[int(k)] for k in pair_keys])),
-                              (triple_keys, np.array([triples[int(k)] for k in triple_keys])))
-    one = {t: math.log10((singles[t] + 1) / model.floor) for t in range(5)}
-    for context in ([], [1], [1, 2], [2, 3], [4, 4]):
-        def score(tokens):
-            single = [one[t] if t >= 0 else math.log10(1 / model.floor) for t in tokens]
-            return model.score(np.array(tokens, dtype=int), np.array(single), 0)
-
-        total = sum(10 ** (score([*context, t]) - (score(context) if context else 0))
-                    for t in range(-1, 5))
-        assert abs(total - 1) < 1e-6
+    p, _, words = brute_model([t.split() for t in (b"a b c a b d", b"a b c", b"b c c", b"")])
+    for context in ((), (b"",), (b"a",), (b"a", b"b"), (b"", b"a"), (b"d", b"d"), (b"x",)):
+        assert abs(sum(p(context, w) for w in [*words, b"unseen"]) - 1) < 1e-9
+
+
+def test_model_grows_with_the_corpus(spark):
+    """Four times the text with new pairs has four times the pairs: nothing is cut off."""
+    def grams(n):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id, ' v', id, ' u', id) as text")
+        told = backoff.totals(backoff.blocks(docs))
+        return told.filter("kind = 1").agg(F.sum("n_distinct")).first()[0]
+
+    few, many = grams(500), grams(2000)
+    assert 3.8 < many / few < 4.2
 
 
 def brute_lines(text):
