@@ -8,14 +8,15 @@ vocabulary is broadcast or sent to the driver, and a frequent n-gram is one entr
 
 With its totals a block has the part of the model that its documents can meet, and builds it as an
 automaton. Contexts (one or two tokens) become states with a failure arc to the next shorter
-context, n-grams become arcs; one walk over a document carries the state and adds up arc and failure
-weights. Smoothing is that of the hierarchical Dirichlet model: a context seen c times gives a token
+context, n-grams become arcs. The walk reads the tokens from left to right, each in the state that
+those before it led to, and adds up arc and failure weights; that state is always the longest
+context which the model has, so arrays hold the walks of all documents of a block. Smoothing is that of the hierarchical Dirichlet model: a context seen c times gives a token
 seen n times after it (n + strength * shorter) / (c + strength), where ``shorter`` is the token's
 probability after the shorter context and, without context, the add-one estimate of the base score.
 An n-gram not seen has the failure weight strength / (c + strength) times that.
 
-Words are counted as they are; pairs and triples by 64 bits of a hash, so with 10**9 different ones two
-may share a count with a chance of 3 %.
+Words are counted as they are; pairs and triples by 56 bits of a hash: among 10**9 different ones about
+14 share their count with another.
 
 Defined results: a null text is an empty one and consists of the end token; a null id is not held
 out; repeated rows are scored each for themselves and count each when learning; extra columns are
@@ -25,7 +26,6 @@ table gives an empty result. A long text makes a block of its own.
 
 from collections.abc import Iterator
 from functools import partial
-from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from blockflow.llm.common import remainder, table
 from blockflow.session import checkpointed
@@ -42,6 +43,7 @@ STRENGTHS = 300.0, 10.0  # weight of the shorter context for contexts of one and
 BLOCK_BYTES = 6_000_000
 PART = 4_000_000  # n-grams that a part of the hash range holds on average, at most
 WORDS, GRAMS = 0, 1
+BITS = 56  # of a key's hash
 
 _BLOCK = ("block long, words binary, tokens binary, n long, n_trained long, ends array<int>,"
           " doc_ids array<long>, held_out array<boolean>")
@@ -55,6 +57,24 @@ def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
 
+def compress(data: bytes) -> bytes:
+    return ZstdCompressor(level=1).compress(data)
+
+
+def decompress(data: bytes) -> bytes:
+    return ZstdDecompressor().decompress(data)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest; the first byte tells how many."""
+    kind = np.min_scalar_type(int(counts.max()))
+    return bytes([kind.itemsize]) + compress(counts.astype(kind).tobytes())
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """One row per block: its distinct words, and its documents as compressed word numbers, one after
     the other; number 0 is the end of a document. Block numbers only hold for one run."""
@@ -67,8 +87,8 @@ def blocks(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(tokens)
             last = np.array(ends)
             trained = int(np.diff(last, prepend=0)[~np.array(held)].sum())
-            columns = [[task << 32 | made], [compress(b"\n".join(local), 1)],
-                       [compress(flat.tobytes(), 1)], [len(flat)], [trained],
+            columns = [[task << 32 | made], [compress(b"\n".join(local))],
+                       [compress(flat.tobytes())], [len(flat)], [trained],
                        [last.astype(np.int32)], [ids], [held]]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(),
                      pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
@@ -118,35 +138,42 @@ class Block:
         self.tokens = np.frombuffer(decompress(row["tokens"]), np.int32)
         self.ends = np.array(row["ends"])
         hashes = np.fromiter((xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        self.order = np.argsort(hashes, kind="stable")  # of words, by hash
-        self.hashes = hashes[self.order]
-        starts = np.concatenate(([0], self.ends[:-1]))
-        self.before = np.concatenate(([0], self.tokens[:-1]))
-        self.before[starts] = 0
-        inner = np.ones(len(self.tokens), dtype=bool)
-        inner[starts] = False
+        self.order = np.argsort(hashes >> np.uint64(64 - BITS), kind="stable")  # of words
+        self.hashes = hashes[self.order] >> np.uint64(64 - BITS)
+        n = len(self.tokens)
+        self.starts = np.concatenate(([0], self.ends[:-1]))
+        self.before = np.concatenate(([0], self.tokens[:-1])).astype(np.int32)
+        self.before[self.starts] = 0
+        inner = np.ones(n, dtype=bool)
+        inner[self.starts] = False
+        self.inner = np.flatnonzero(inner).astype(np.int32)
         of = hashes[self.tokens]
         pairs = _mixed(hashes[self.before] * np.uint64(3) + of)
-        triples = _mixed(pairs[:-1] * np.uint64(5) + of[1:] + np.uint64(1))[inner[1:]]
-        self.grams, self.first, number = np.unique(
-            np.concatenate((pairs, triples)), return_index=True, return_inverse=True)
-        self.at_pair = number[:len(pairs)]
-        self.at_triple = np.full(len(pairs), -1)
-        self.at_triple[inner] = number[len(pairs):]
-        self.inner = np.flatnonzero(inner)
+        triples = _mixed(pairs[self.inner - 1] * np.uint64(5) + of[self.inner] + np.uint64(1))
+        keys = np.concatenate((pairs, triples)) >> np.uint64(64 - BITS)
+        del of, pairs, triples
+        order = np.argsort(keys)
+        keys = keys[order]
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        self.grams, self.first = keys[fresh], order[fresh]
+        number = np.empty(len(keys), dtype=np.int32)
+        number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        self.at_pair = number[:n]
+        self.at_triple = np.full(n, -1, dtype=np.int32)
+        self.at_triple[self.inner] = number[n:]
 
     def counts(self, held_out: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words (in hash order) and n-grams in the training documents."""
         good = np.repeat(~np.array(held_out), np.diff(self.ends, prepend=0))
         words = np.bincount(self.tokens[good], minlength=len(self.words))[self.order]
-        triples = self.at_triple[good]
-        return words, np.bincount(np.concatenate((self.at_pair[good], triples[triples >= 0])),
-                                  minlength=len(self.grams))
+        grams = np.bincount(self.at_pair[good], minlength=len(self.grams))
+        good[self.starts] = False
+        return words, grams + np.bincount(self.at_triple[good], minlength=len(self.grams))
 
 
 def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """Parts of the hash range with the places of their keys among the sorted ones."""
-    parts, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    parts, first = np.unique(keys >> np.uint64(BITS - bits), return_index=True)
     return list(zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
 
 
@@ -171,12 +198,12 @@ def _ask(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             block = Block(here)
             words, grams = block.counts(here["held_out"])
             names = [block.words[i] for i in block.order.tolist()]
-            out = [(WORDS, part, here["block"], compress(b"\n".join(names[a:b]), 1),
-                    compress(words[a:b].tobytes(), 1)) for part, a, b in _cuts(block.hashes, bits)]
-            start = np.uint64(64 - bits)
+            out = [(WORDS, part, here["block"], compress(b"\n".join(names[a:b])),
+                    _narrow(words[a:b])) for part, a, b in _cuts(block.hashes, bits)]
+            start = np.uint64(BITS - bits)
             out += [(GRAMS, part, here["block"],
                      _packed(block.grams[a:b] - (np.uint64(part) << start)),
-                     compress(grams[a:b].tobytes(), 1)) for part, a, b in _cuts(block.grams, bits)]
+                     _narrow(grams[a:b])) for part, a, b in _cuts(block.grams, bits)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -186,7 +213,7 @@ def _ask(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _tell(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
     """The totals of one part, for each block in the order of its keys."""
     kind, part = key[0].as_py(), key[1].as_py()
-    counts = [np.frombuffer(decompress(c), np.int64) for c in asked["counts"].to_pylist()]
+    counts = [_wide(c) for c in asked["counts"].to_pylist()]
     sizes = [len(c) for c in counts]
     if kind == WORDS:
         numbers: dict[bytes, int] = {}
@@ -195,67 +222,66 @@ def _tell(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
     else:
         keys = np.concatenate([_unpacked(d, n) for d, n in
                                zip(asked["keys"].to_pylist(), sizes, strict=True)])
-        _, at = np.unique(keys, return_inverse=True)
-    totals = np.zeros(int(at.max()) + 1, dtype=np.int64)
-    np.add.at(totals, at, np.concatenate(counts))
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.empty(len(keys), dtype=np.int32)
+        at[order] = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])), dtype=np.int32)
+        del keys, order
+    totals = np.bincount(at, np.concatenate(counts)).astype(np.int64)  # exact below 2**53
     answers = np.split(totals[at], np.cumsum(sizes)[:-1])
     distinct = [int((totals > 0).sum())] + [0] * (len(sizes) - 1)
     return pa.table([asked["block"], pa.array([kind] * len(sizes), pa.int32()),
                      pa.array([part] * len(sizes), pa.int32()),
-                     pa.array([compress(a.tobytes(), 1) for a in answers], pa.binary()),
+                     pa.array([_narrow(a) for a in answers], pa.binary()),
                      pa.array(distinct, pa.int64())], _names(_TOLD))
 
 
 class Automaton:
     """States, arcs and failure arcs of what a block can meet. State 0 knows no context, state
-    1 + w follows token w, the states of pairs come after these."""
+    1 + w follows token w, further ones follow pairs. Arc g is n-gram g, if it was ever seen."""
 
     def __init__(self, block: Block, words: np.ndarray, grams: np.ndarray, floor: int):
         one, two = STRENGTHS
-        self.distinct = len(words)
-        self.single_p = (words + 1.0) / floor
-        # Each n-gram at the place where it ends first.
+        self.block, self.known, self.seen = block, words > 0, grams > 0
+        self.single = (words + 1.0) / floor
+        # Each n-gram at one of the places where it ends.
         n = len(block.tokens)
-        pairs = np.flatnonzero((block.first < n) & (grams > 0))
-        triples = np.flatnonzero((block.first >= n) & (grams > 0))
+        pairs = np.flatnonzero(block.first < n)
+        triples = np.flatnonzero(block.first >= n)
         ends, last = block.first[pairs], block.inner[block.first[triples] - n]
-        history, token = block.before[ends], block.tokens[ends]
-        state = np.zeros(len(grams), dtype=np.int64)
-        state[pairs] = 1 + self.distinct + np.arange(len(pairs))
-        p = np.zeros(len(grams))
-        p[pairs] = (grams[pairs] + one * self.single_p[token]) / (words[history] + one)
-        context, shorter = block.at_pair[last - 1], block.at_pair[last]
-        p[triples] = (grams[triples] + two * p[shorter]) / (grams[context] + two)
-        sources = np.concatenate((1 + history, state[context]))
-        read = np.concatenate((token, block.tokens[last]))
-        keys = sources * self.distinct + read
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weights = np.log10(p[np.concatenate((pairs, triples))]).tolist()
-        self.targets = np.concatenate((state[pairs], state[shorter])).tolist()
-        known = words > 0
-        self.entered = np.where(known, 1 + np.arange(self.distinct), 0).tolist()
-        self.fail = [0] * (1 + self.distinct) + (1 + token).tolist()
-        self.back = np.log10(np.concatenate(
-            ([1.0], np.where(known, one / (words + one), 1.0), two / (grams[pairs] + two)))).tolist()
-
-    def score(self, tokens: np.ndarray, singles: np.ndarray) -> float:
-        """log10 probability of a document; ``singles`` has its tokens' weights without context."""
-        arcs, weights, targets = self.arcs, self.weights, self.targets
-        fail, back, entered, width = self.fail, self.back, self.entered, self.distinct
-        total, state = 0.0, entered[0]
-        for token, single in zip(tokens.tolist(), singles.tolist(), strict=True):
-            while state:
-                arc = arcs.get(state * width + token)
-                if arc is not None:
-                    total += weights[arc]
-                    state = targets[arc]
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                total += single
-                state = entered[token]
-        return total
+        self.arcs = np.empty(len(grams))
+        self.arcs[pairs] = ((grams[pairs] + one * self.single[block.tokens[ends]])
+                            / (words[block.before[ends]] + one))
+        self.arcs[triples] = ((grams[triples] + two * self.arcs[block.at_pair[last]])
+                              / (grams[block.at_pair[last - 1]] + two))
+        np.log10(self.arcs, out=self.arcs)
+        np.log10(self.single, out=self.single)
+        self.fail = np.zeros(1 + len(words) + len(grams), dtype=np.int32)
+        self.fail[1 + len(words) + pairs] = 1 + block.tokens[ends]
+        self.back = np.log10(np.concatenate(([1.0], one / (words + one), two / (grams + two))))
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of each token of the block in the state before it."""
+        block, seen, deepest = self.block, self.seen, len(self.known)
+        tokens = block.tokens
+        after = np.where(seen[block.at_pair], 1 + deepest + block.at_pair,
+                         np.where(self.known[tokens], 1 + tokens, 0)).astype(np.int32)
+        state = np.concatenate(([0], after[:-1]))
+        state[block.starts] = 1 if self.known[0] else 0
+        out = np.zeros(len(tokens))
+        left = np.arange(len(tokens), dtype=np.int32)  # tokens whose arc is not found yet
+        for arcs, lowest in ((block.at_triple, 1 + deepest), (block.at_pair, 1)):
+            # Tokens in a state of this depth take its arc, or go along its failure arc.
+            here = state[left] >= lowest
+            arc = arcs[left]
+            found = here & (arc >= 0) & seen[arc]
+            out[left[found]] += self.arcs[arc[found]]
+            fall = left[here & ~found]
+            out[fall] += self.back[state[fall]]
+            state[fall] = self.fail[state[fall]]
+            left = left[~found]
+        out[left] += self.single[tokens[left]]
+        return out
 
 
 def _scored(total: int, distinct: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,26 +290,19 @@ def _scored(total: int, distinct: int, batches: Iterator[pa.RecordBatch]) -> Ite
             here = batch.slice(row, 1).to_pylist()[0]
             block = Block(here)
             told = sorted(here["told"], key=lambda t: (t["kind"], t["part"]))
-            by_hash, grams = (np.concatenate([np.frombuffer(decompress(t["totals"]), np.int64)
-                                              for t in told if t["kind"] == k])
+            by_hash, grams = (np.concatenate([_wide(t["totals"]) for t in told if t["kind"] == k])
                               for k in (WORDS, GRAMS))
             words = np.zeros_like(by_hash)
             words[block.order] = by_hash
             automaton = Automaton(block, words, grams, total + distinct + 1)
-            single = np.log10(automaton.single_p)[block.tokens]
-            known = words[block.tokens] > 0
-            first, out = 0, []
-            for doc_id, held, last in zip(here["doc_ids"], here["held_out"], here["ends"],
-                                          strict=True):
-                part = slice(first, last)
-                out.append((doc_id, held, last - first, int(known[part].sum()), total,
-                            float(single[part].sum()),
-                            automaton.score(block.tokens[part], single[part])))
-                first = last
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
-                     pa.float64()]
+            sums = [np.add.reduceat(x, block.starts) for x in (
+                automaton.known[block.tokens].astype(np.int64), automaton.single[block.tokens],
+                automaton.walk())]
+            n = np.diff(block.ends, prepend=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                [pa.array(here["doc_ids"], pa.int64()), pa.array(here["held_out"], pa.bool_()),
+                 pa.array(n, pa.int64()), pa.array(sums[0]),
+                 pa.array([total] * len(n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
                 _names(_SCORE))
 
 
