@@ -15,8 +15,8 @@ seen n times after it (n + strength * shorter) / (c + strength), where ``shorter
 probability after the shorter context and, without context, the add-one estimate of the base score.
 An n-gram not seen has the failure weight strength / (c + strength) times that.
 
-Words are counted as they are; pairs and triples by 56 bits of a hash: among 10**9 different ones about
-14 share their count with another.
+Words are counted as they are; pairs and triples by a hash with 20 bits more than their number needs, so
+at any size about one in a million shares its count with another.
 
 Defined results: a null text is an empty one and consists of the end token; a null id is not held
 out; repeated rows are scored each for themselves and count each when learning; extra columns are
@@ -43,7 +43,7 @@ STRENGTHS = 300.0, 10.0  # weight of the shorter context for contexts of one and
 BLOCK_BYTES = 6_000_000
 PART = 4_000_000  # n-grams that a part of the hash range holds on average, at most
 WORDS, GRAMS = 0, 1
-BITS = 56  # of a key's hash
+SPARE = 20  # bits of a key's hash beyond those that the number of n-grams needs
 
 _BLOCK = ("block long, words binary, tokens binary, n long, n_trained long, ends array<int>,"
           " doc_ids array<long>, held_out array<boolean>")
@@ -88,7 +88,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             last = np.array(ends)
             trained = int(np.diff(last, prepend=0)[~np.array(held)].sum())
             columns = [[task << 32 | made], [compress(b"\n".join(local))],
-                       [compress(flat.tobytes())], [len(flat)], [trained],
+                       [compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())], [len(flat)], [trained],
                        [last.astype(np.int32)], [ids], [held]]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(),
                      pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
@@ -133,13 +133,14 @@ class Block:
     ``grams``; the first token of a document follows the end token and ends no triple (-1).
     """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.words = decompress(row["words"]).split(b"\n")
-        self.tokens = np.frombuffer(decompress(row["tokens"]), np.int32)
+        self.tokens = np.ascontiguousarray(np.frombuffer(
+            decompress(row["tokens"]), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         self.ends = np.array(row["ends"])
         hashes = np.fromiter((xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        self.order = np.argsort(hashes >> np.uint64(64 - BITS), kind="stable")  # of words
-        self.hashes = hashes[self.order] >> np.uint64(64 - BITS)
+        self.order = np.argsort(hashes, kind="stable")  # of words
+        self.hashes = hashes[self.order]
         n = len(self.tokens)
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.before = np.concatenate(([0], self.tokens[:-1])).astype(np.int32)
@@ -150,7 +151,7 @@ class Block:
         of = hashes[self.tokens]
         pairs = _mixed(hashes[self.before] * np.uint64(3) + of)
         triples = _mixed(pairs[self.inner - 1] * np.uint64(5) + of[self.inner] + np.uint64(1))
-        keys = np.concatenate((pairs, triples)) >> np.uint64(64 - BITS)
+        keys = np.concatenate((pairs, triples)) >> np.uint64(64 - bits)
         del of, pairs, triples
         order = np.argsort(keys)
         keys = keys[order]
@@ -171,9 +172,9 @@ class Block:
         return words, grams + np.bincount(self.at_triple[good], minlength=len(self.grams))
 
 
-def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+def _cuts(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
     """Parts of the hash range with the places of their keys among the sorted ones."""
-    parts, first = np.unique(keys >> np.uint64(BITS - bits), return_index=True)
+    parts, first = np.unique(keys >> np.uint64(shift), return_index=True)
     return list(zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
 
 
@@ -190,20 +191,20 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _ask(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(bits: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a block has of each part of the hash range."""
     for batch in batches:
         for row in range(batch.num_rows):
             here = batch.slice(row, 1).to_pylist()[0]
-            block = Block(here)
+            block = Block(here, bits)
             words, grams = block.counts(here["held_out"])
             names = [block.words[i] for i in block.order.tolist()]
             out = [(WORDS, part, here["block"], compress(b"\n".join(names[a:b])),
-                    _narrow(words[a:b])) for part, a, b in _cuts(block.hashes, bits)]
-            start = np.uint64(BITS - bits)
+                    _narrow(words[a:b])) for part, a, b in _cuts(block.hashes, 64 - parts)]
+            start = np.uint64(bits - parts)
             out += [(GRAMS, part, here["block"],
                      _packed(block.grams[a:b] - (np.uint64(part) << start)),
-                     _narrow(grams[a:b])) for part, a, b in _cuts(block.grams, bits)]
+                     _narrow(grams[a:b])) for part, a, b in _cuts(block.grams, bits - parts)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -284,11 +285,12 @@ class Automaton:
         return out
 
 
-def _scored(total: int, distinct: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(bits: int, total: int, distinct: int,
+            batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             here = batch.slice(row, 1).to_pylist()[0]
-            block = Block(here)
+            block = Block(here, bits)
             told = sorted(here["told"], key=lambda t: (t["kind"], t["part"]))
             by_hash, grams = (np.concatenate([_wide(t["totals"]) for t in told if t["kind"] == k])
                               for k in (WORDS, GRAMS))
@@ -306,24 +308,29 @@ def _scored(total: int, distinct: int, batches: Iterator[pa.RecordBatch]) -> Ite
                 _names(_SCORE))
 
 
-def totals(rows: DataFrame) -> DataFrame:
-    """The corpus totals of the words and n-grams of each block, part by part."""
-    n = rows.agg(F.sum("n")).first()[0] or 0
-    bits = max(1, int(np.ceil(np.log2(max(1, 2 * n / PART)))))
+def key_bits(n: int) -> tuple[int, int]:
+    """Bits of a key's hash and of the number of its part, for n tokens."""
+    grams = 2 * max(n, 1)
+    return (min(64, SPARE + grams.bit_length()),
+            max(1, int(np.ceil(np.log2(max(1, grams / PART))))))
+
+
+def totals(rows: DataFrame, n: int) -> DataFrame:
+    """The corpus totals of the words and n-grams of each block, part by part, for n tokens."""
     return rows.select("block", "words", "tokens", "ends", "held_out").mapInArrow(
-        partial(_ask, bits), _ASKED).groupBy("kind", "part").applyInArrow(_tell, _TOLD)
+        partial(_ask, *key_bits(n)), _ASKED).groupBy("kind", "part").applyInArrow(_tell, _TOLD)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Every document's base score and automaton score."""
     rows = checkpointed(blocks(docs))
-    told = checkpointed(totals(rows))
-    total = rows.agg(F.sum("n_trained")).first()[0] or 0
+    n, total = (x or 0 for x in rows.agg(F.sum("n"), F.sum("n_trained")).first())
+    told = checkpointed(totals(rows, n))
     distinct = told.filter(F.col("kind") == WORDS).agg(F.sum("n_distinct")).first()[0] or 0
     answers = told.groupBy("block").agg(
         F.collect_list(F.struct("kind", "part", "totals")).alias("told"))
     return rows.select("block", "words", "tokens", "ends", "doc_ids", "held_out").join(
-        answers, "block").mapInArrow(partial(_scored, total, distinct), _SCORE)
+        answers, "block").mapInArrow(partial(_scored, key_bits(n)[0], total, distinct), _SCORE)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_model_grows_with_the_corpus(spark):
     """Four times the text with new pairs has four times the pairs: nothing is cut off."""
     def grams(n):
         docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id, ' v', id, ' u', id) as text")
-        told = backoff.totals(backoff.blocks(docs))
+        told = backoff.totals(backoff.blocks(docs), 4 * n)
         return told.filter("kind = 1").agg(F.sum("n_distinct")).first()[0]
 
     few, many = grams(500), grams(2000)
