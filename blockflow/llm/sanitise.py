@@ -29,6 +29,7 @@ from blockflow.session import checkpointed
 DISCLOSED = 0.9
 SUPPORT = 3
 FLAGS = 1 << 20
+BLOCK = 256  # matches of one text that are placed together
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -73,11 +74,32 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _fold(items: Column, reach, combine, kind: str, step) -> Column:
+    """What ``step`` puts out when it folds items from a place p on, in blocks of ``BLOCK``.
+
+    ``reach`` gives what a block does to p and ``combine`` adds it, so that an array is only
+    appended to while it is short, however many items there are.
+    """
+    def block(i: Column) -> Column:
+        return F.slice(items, i * BLOCK + 1, F.lit(BLOCK))
+
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+
+    def folded(blocks: Column) -> Column:
+        places = F.aggregate(
+            F.transform(blocks, reach), F.array(F.lit(0)),
+            lambda a, x: F.array_append(a, combine(F.element_at(a, -1), x)))
+        return F.flatten(F.zip_with(
+            blocks, F.slice(places, F.lit(1), F.size(blocks)), lambda b, p: F.aggregate(
+                b, F.struct(p.alias("p"), F.array().cast(kind).alias("out")), step)["out"]))
+
+    return let(F.transform(F.sequence(F.lit(0), last), block), folded)
+
+
 def _placed(text: Column, pattern: Column, kind: int, valid=None) -> Column:
     """Matches of a pattern with their places: what lies between them gives the distances."""
     found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),
                      F.transform(F.split(text, pattern, -1), F.length).alias("g"))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(_SPAN).alias("out"))
 
     def add(a: Column, x: Column) -> Column:
         s = a["p"] + x["g"]
@@ -87,9 +109,12 @@ def _placed(text: Column, pattern: Column, kind: int, valid=None) -> Column:
         return F.struct(e.alias("p"), (F.when(valid(x["m"]), kept).otherwise(a["out"])
                                        if valid else kept).alias("out"))
 
-    return let(found, lambda f: F.aggregate(
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda a, x: a + x["g"] + F.length(x["m"]))
+
+    return let(found, lambda f: let(
         F.transform(f["m"], lambda m, i: F.struct(m.alias("m"), F.get(f["g"], i).alias("g"))),
-        start, add)["out"])
+        lambda items: _fold(items, length, lambda p, x: p + x, _SPAN, add)))
 
 
 def base_spans(text: Column) -> Column:

@@ -298,3 +298,14 @@ def test_warc_records(spark, small, tmp_path):
     assert sorted(found) == sorted((r.record_type, r.block) for r in rows)
     empty = warc.derive(warc.responses(pages.limit(0)), "page_id")
     assert empty.count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Places of matches over many blocks of one text, in a time that is not quadratic."""
+    counts = [0, 1, 255, 256, 257, 513, 20_000]
+    docs = spark.createDataFrame(
+        [(n, " ".join(f"ü a{i}@b.org" for i in range(n))) for n in counts],
+        "doc_id long, text string")
+    for r in docs.select("doc_id", "text", sanitise.base_spans(F.col("text")).alias("x")).collect():
+        expected = [m.span() for m in re.finditer(r"a[0-9]+@b\.org", r.text)]
+        assert [(x.s, x.e) for x in r.x] == expected and len(expected) == r.doc_id
