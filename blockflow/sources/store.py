@@ -170,8 +170,12 @@ def migrate_confidence(old: DataFrame) -> DataFrame:
 
 def delete_project(projects: DataFrame, pages: DataFrame, blocks: DataFrame, project_id,
                    user_id) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables without a project of this user; another user's project stays."""
-    gone = projects.where((F.col("id") == project_id) & (F.col("user_id") == user_id)).select("id")
+    """The three tables without a project of this user; another user's project stays.
+
+    What goes is a single project, so its id is broadcast and the tables are not sorted for it.
+    """
+    gone = F.broadcast(projects.where((F.col("id") == project_id) & (F.col("user_id") == user_id))
+                       .select("id").distinct())
     gone_pages = pages.join(gone.select(F.col("id").alias("project_id")), "project_id",
                             "left_semi").select("id")
     return (projects.join(gone, "id", "left_anti"),
