@@ -47,8 +47,8 @@ def variant_memory(fx):
 def cached(fx):
     return fx.pairs.where("tgt <> ''").select(
         F.col("src").alias("text"), F.lit("es").alias("src"), "target_lang",
-        F.col("tgt").alias("result"), (F.lit(NOW) - F.col("doc_id") % 12 * 86400).alias("ts")
-    ).withColumnRenamed("target_lang", "tgt")
+        F.col("tgt").alias("result"), (F.lit(NOW) - F.col("doc_id") % 12 * 86400).alias("ts"),
+        "doc_id", "seq").withColumnRenamed("target_lang", "tgt")
 
 
 def block_requests(fx):
@@ -116,8 +116,8 @@ QUERIES = {
         asked(fx), variant_memory(fx), now).select("event_id", "variant_of", "variant_result"),
     "cache_lookup": lambda fx: m.cache_lookup(fx.pairs.select(
         "doc_id", "seq", F.concat(F.lit(" "), "src").alias("text"), F.lit("ES ").alias(
-            "source_lang"), "target_lang"), cached(fx), now).select("doc_id", "seq",
-                                                                   "cache_result"),
+            "source_lang"), "target_lang"), cached(fx), now, order=("doc_id", "seq"))
+    .select("doc_id", "seq", "cache_result"),
     "evict": lambda fx: m.evict(
         fx.memory_events.select("doc_id", F.col("event_id").alias("source_key"), m.seconds(F.col(
             "ts")).alias("last_seen")), 500, ["doc_id"], now, 20 * m.DAY).select("doc_id",

@@ -168,12 +168,16 @@ def cache_key(text: Column, src: Column, tgt: Column) -> Column:
                              F.lower(tx.strip(tgt))))
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, now: float,
-                 ttl_s: float = 7 * DAY) -> DataFrame:
-    """Cached result (cache: text, src, tgt, result, ts) by key, within the time limit."""
+def cache_lookup(requests: DataFrame, cache: DataFrame, now: float, ttl_s: float = 7 * DAY,
+                 order: tuple[str, ...] = ("result",)) -> DataFrame:
+    """Cached result (cache: text, src, tgt, result, ts) by key, within the time limit.
+
+    The newest entry of a key answers; of equally new ones the first by the columns ``order``.
+    """
+    newest = F.struct((-F.col("ts")).alias("_age"), *order)
     stored = (cache.where(now - F.col("ts") <= ttl_s)
               .withColumn("cache_key", cache_key(F.col("text"), F.col("src"), F.col("tgt")))
-              .groupBy("cache_key").agg(F.max_by("result", "ts").alias("cache_result")))
+              .groupBy("cache_key").agg(F.min_by("result", newest).alias("cache_result")))
     keyed = requests.withColumn("cache_key", cache_key(
         F.col("text"), F.col("source_lang"), F.col("target_lang")))
     answers = keyed.select("cache_key").distinct().join(stored, "cache_key")

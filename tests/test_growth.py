@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from blockflow.catalog import sources
 from blockflow.fixtures import Fixtures
+from blockflow.operators import memory as me
 from blockflow.operators import spelling as sp
 from blockflow.session import checkpointed
 
@@ -26,3 +27,13 @@ def test_strings_left_by_deletions_are_never_broadcast(spark):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert {(r.word, r.candidate, r.dist) for r in found.collect()} == {
         ("hausen", "hause", 1), ("gartem", "garten", 1)}
+
+
+def test_first_of_equally_new_cache_entries_answers(spark):
+    cache = spark.createDataFrame(
+        [("hola", "es", "en", r, 5.0, i) for i, r in ((3, "hey"), (1, "hi"), (2, "hello"))]
+        + [("hola", "es", "en", "old", 4.0, 0)],
+        "text string, src string, tgt string, result string, ts double, id int").repartition(4)
+    asked = spark.createDataFrame([(" hola", "ES ", "en")],
+                                  "text string, source_lang string, target_lang string")
+    assert me.cache_lookup(asked, cache, 5.0, order=("id",)).first().cache_result == "hi"
