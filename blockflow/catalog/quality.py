@@ -91,7 +91,7 @@ QUERIES = {
     "classify_pairs": lambda fx: q.classify_pairs(fx.pairs).select(
         "doc_id", "seq", "category", "accepted", "lang_pair"),
     "quality_report": lambda fx: q.quality_report(fx.pairs),
-    "consistency_conflicts": lambda fx: q.consistency_conflicts(fx.retold).select(
+    "consistency_conflicts": lambda fx: q.consistency_conflicts(fx.told_twice).select(
         "lang_pair", "kind", "source_key", "n_targets", F.array_join("targets", "|")
         .alias("targets")),
     "block_alerts": lambda fx: q.block_alerts(alert_input(fx), lexicon(fx)).select(
@@ -115,17 +115,14 @@ ORACLES = {
       count(*) filter ({ACCEPTED}) * 100.0::double / count(*) as acceptance_rate,
       count(*) filter (coalesce(block_type,'') <> '') / count(*) as metadata_coverage
       from classified group by rollup(lang_pair)""",
-    "consistency_conflicts": FLAGGED.replace("from pairs)", "from retold)").replace(
-        cte("pairs"), cte("retold")) + f""", v as (
+    "consistency_conflicts": FLAGGED.replace("from pairs)", "from told_twice)").replace(
+        cte("pairs"), cte("told_twice")) + f""", v as (
         select lang_pair, lower(coalesce(block_type,'')) as kind,
-          {duck.fold(duck.collapse('s'))} as source_key, t, count(*) as n from classified
-        where src <> '' and tgt <> '' and not is_fx and category not in ('OCR_GARBAGE','EMPTY')
-        group by all),
-      r as (select *, row_number() over (partition by lang_pair, kind, source_key
-                                         order by n desc, t) as place from v)
+          {duck.fold(duck.collapse('s'))} as source_key, t from classified
+        where src <> '' and tgt <> '' and not is_fx and category not in ('OCR_GARBAGE','EMPTY'))
       select lang_pair, kind, source_key, count(distinct {duck.fold('t')}) as n_targets,
-        array_to_string(list_sort(list(t) filter (place <= 20)), '|') as targets
-      from r group by all having count(distinct {duck.fold('t')}) > 1""",
+        array_to_string(list_sort(list(distinct t)), '|') as targets
+      from v group by all having count(distinct {duck.fold('t')}) > 1""",
     "block_alerts": ALERTS + "select doc_id, seq, array_to_string(alerts, ',') as alerts from alerts",
     "block_flags": cte("pairs") + f"""select doc_id, seq, array_to_string(list_filter([
       case when src = tgt then 'IDENTICO' end,

@@ -82,6 +82,8 @@ _BOTH = {
           case when seq % 3 = 0 then concat('contada ', cast(doc_id % 7 as varchar(8)), ' veces')
                else tgt end as tgt, block_type
         from {pairs}""",
+    # All pairs as they are, and once more with few sources, so that some are told differently.
+    "told_twice": "select * from {pairs} union all select * from {retold}",
     "page_runs": """
         select event_id, ts, event_id % 60 as page,
           case when event_type in ('click','purchase') then 'A' else 'B' end as run,
@@ -144,6 +146,7 @@ _DEPENDS = {
     "page_runs": ["events"], "calls": ["events"], "memory_events": ["events"],
     "gold": ["blocks"], "dets": ["blocks"], "regions": ["blocks"], "log_lines": ["events"],
     "batch_results": ["events"], "page_stream": ["events"], "retold": ["pairs"],
+    "told_twice": ["pairs", "retold"],
 }
 
 

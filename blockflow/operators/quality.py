@@ -1,6 +1,6 @@
 """Source/target pairs: categories, reports, consistency, alerts."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockflow.functions import text as tx
@@ -121,22 +121,17 @@ def translation_variants(pairs: DataFrame) -> DataFrame:
                                                        F.count("*").alias("n"))
 
 
-def consistency_conflicts(pairs: DataFrame, shown: int = 20) -> DataFrame:
+def consistency_conflicts(pairs: DataFrame) -> DataFrame:
     """Sources of one pair and type that were translated in more than one way.
 
     Distinct (key, target) first, so that a source repeated a million times reaches the second
-    aggregation as its variants. All of them are counted; ``targets`` shows the ``shown`` most
-    frequent ones, ties by their text, in alphabetical order. ``translation_variants`` has the rest.
+    aggregation as its variants; ``targets`` holds every one of them, in alphabetical order.
     """
-    folded = tx.casefold(F.col("target"))
-    variants = translation_variants(pairs)
-    place = Window.partitionBy(*VARIANT_KEYS).orderBy(F.desc("n"), "target")
-    top = (variants.withColumn("_place", F.row_number().over(place))
-           .where(F.col("_place") <= shown).groupBy(*VARIANT_KEYS)
-           .agg(F.array_sort(F.collect_list("target")).alias("targets")))
-    return (variants.groupBy(*VARIANT_KEYS)
-            .agg(F.min("source").alias("source"), F.count_distinct(folded).alias("n_targets"))
-            .where("n_targets > 1").join(top, VARIANT_KEYS))
+    return (translation_variants(pairs).groupBy(*VARIANT_KEYS)
+            .agg(F.min("source").alias("source"),
+                 F.count_distinct(tx.casefold(F.col("target"))).alias("n_targets"),
+                 F.array_sort(F.collect_set("target")).alias("targets"))
+            .where("n_targets > 1"))
 
 
 # --- alerts ----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from blockflow.catalog import sources
 from blockflow.fixtures import Fixtures
 from blockflow.operators import memory as me
+from blockflow.operators import quality as qu
 from blockflow.operators import spelling as sp
 from blockflow.session import checkpointed
 
@@ -37,3 +38,11 @@ def test_first_of_equally_new_cache_entries_answers(spark):
     asked = spark.createDataFrame([(" hola", "ES ", "en")],
                                   "text string, source_lang string, target_lang string")
     assert me.cache_lookup(asked, cache, 5.0, order=("id",)).first().cache_result == "hi"
+
+
+def test_every_way_of_translating_is_shown(spark):
+    rows = [("田中さん", f"Tanaka {i:02d}", "ja", "es", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "src string, tgt string, source_lang string, "
+                                     "target_lang string, block_type string")
+    got = qu.consistency_conflicts(df).first()
+    assert got.n_targets == 30 and list(got.targets) == [r[1] for r in rows]
