@@ -7,7 +7,7 @@ Everything takes and returns a Column, so a text job stays inside one JVM projec
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockflow.rules import effects as fx
@@ -27,6 +27,19 @@ def literals(words) -> Column:
     return F.array(*[F.lit(w) for w in sorted(set(words))])
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: a generator of one element keeps Spark from
+    repeating their expressions in every filter and column that uses them."""
+    return df.select("*", F.inline_outer(F.array(F.struct(
+        *[c.alias(name) for name, c in columns.items()]))))
+
+
+def exploded(df: DataFrame, keys: list, items: Column, name: str) -> DataFrame:
+    """One row for each item that is not null. The outer form makes the array once; the plain one
+    makes it again in a filter on its size."""
+    return df.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def any_of(tests) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -275,8 +288,18 @@ def is_source_leftover(text: Column, source: Column, target: Column) -> Column:
 
 
 def apply_rules(c: Column, rules) -> Column:
-    """Ordered substitutions, case ignored."""
-    return reduce(lambda t, r: F.regexp_replace(t, "(?iuU)" + r[0], r[1]), rules, c)
+    """Ordered substitutions, case ignored.
+
+    Most texts match no rule: one test for all of them spares these the whole chain. Nearly all
+    rules begin at the border of a word, which the test looks for once and not rule by rule.
+    """
+    if not rules:
+        return c
+    changed = reduce(lambda t, r: F.regexp_replace(t, "(?iuU)" + r[0], r[1]), rules, c)
+    at_border = [f"(?:{r[0][2:]})" for r in rules if r[0].startswith(r"\b")]
+    others = [f"(?:{r[0]})" for r in rules if not r[0].startswith(r"\b")]
+    tests = others + ([rf"\b(?:{'|'.join(at_border)})"] if at_border else [])
+    return F.when(c.rlike("(?iuU)" + "|".join(tests)), changed).otherwise(c)
 
 
 def strip_symbols(c: Column) -> Column:

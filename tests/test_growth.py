@@ -4,10 +4,14 @@ from pyspark.sql import functions as F
 
 from blockflow.catalog import sources
 from blockflow.fixtures import Fixtures
+from blockflow.operators import blocks as bl
 from blockflow.operators import memory as me
 from blockflow.operators import quality as qu
+from blockflow.operators import score as sc
 from blockflow.operators import spelling as sp
+from blockflow.operators import texts as te
 from blockflow.session import checkpointed
+from blockflow.sources import labels as lb
 
 TINY = "/root/testdata/sf0.001"
 
@@ -46,3 +50,29 @@ def test_every_way_of_translating_is_shown(spark):
                                      "target_lang string, block_type string")
     got = qu.consistency_conflicts(df).first()
     assert got.n_targets == 30 and list(got.targets) == [r[1] for r in rows]
+
+
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expensive_columns_are_worked_out_once(spark):
+    lines = checkpointed(spark.createDataFrame([("0 0.5 0.5 0.1 0.1",)], "line string"))
+    boxes, rejects = lb.parse_labels(lines)
+    assert optimised(boxes).count("split(") == optimised(rejects).count("split(") == 1
+    blocks = checkpointed(spark.createDataFrame(
+        [(1, 2, "uno dos", "text", False, 12, 0.5, 10, 10)],
+        "page_id int, source int, text string, type string, from_art_recrop boolean, "
+        "font_size int, confidence double, w int, h int"))
+    assert "Generate inline" in optimised(bl.estimate_confidence(blocks))
+    assert "Generate inline" in optimised(bl.drop_junk_blocks(blocks)[1])
+    assert "size(filter(" not in optimised(sc.word_recall(blocks, blocks))
+    assert "size(filter(" not in optimised(sp.tokens_of(blocks, ["page_id"]))
+
+
+def test_rules_apply_as_one_by_one_and_unchanged_texts_skip_them(spark):
+    rules = [(r"\bR\b", "Y"), (r"@", ""), (r"\bY S(\d+)\b", "ys $1")]
+    texts = ["R", "a@b", "nothing here", "r s12", "RR", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = [r.out for r in te.apply_glossary(df, rules, out="out").collect()]
+    assert got == ["Y", "ab", "nothing here", "ys 12", "RR", "", None]
