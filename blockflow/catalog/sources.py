@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from blockflow.fixtures import cte
+from blockflow.functions import text as tx
 from blockflow.session import shared_dir
 from blockflow.sources import checkpoints as cp
 from blockflow.sources import documents as do
@@ -39,10 +40,10 @@ def label_lines(fx):
     good = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("cls").cast("int"),
                            (F.col("x") + F.col("w") / 2) / F.lit(2000.0), F.lit(0.5),
                            F.col("w") / F.lit(2000.0), F.lit(0.25))
-    return fx.gold.select("page_id", "gold_id", F.when(k == 1, "# note").when(k == 2, "0 0.5 0.5")
-                          .when(k == 3, "0 a 0.5 0.1 0.1").when(k == 4, "7 0.5 0.5 0.1 0.1")
-                          .when(k == 5, "1 1.5 0.5 0.1 0.1").when(k == 6, "").otherwise(good)
-                          .alias("line"))
+    return tx.once(fx.gold, line=F.when(k == 1, "# note").when(k == 2, "0 0.5 0.5")
+                   .when(k == 3, "0 a 0.5 0.1 0.1").when(k == 4, "7 0.5 0.5 0.1 0.1")
+                   .when(k == 5, "1 1.5 0.5 0.1 0.1").when(k == 6, "").otherwise(good)
+                   ).select("page_id", "gold_id", "line")
 
 
 def unit_boxes(fx):

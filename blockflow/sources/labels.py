@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockflow.functions import text as tx
+
 CLASSES = ["text_bubble", "text_free"]
 
 
@@ -26,8 +28,8 @@ def parse_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.get(F.col("_parts"), F.lit(k)).try_cast("double")
 
     names = ["_cls", "cx", "cy", "w", "h"]
-    p = (lines.where((text != "") & ~text.startswith("#")).withColumn("_parts", parts)
-         .withColumns({n: number(k) for k, n in enumerate(names)}))
+    p = tx.once(lines.where((text != "") & ~text.startswith("#")), _parts=parts)
+    p = tx.once(p, **{n: number(k) for k, n in enumerate(names)})
     numeric = F.lit(True)
     inside = F.lit(True)
     for n in names:
@@ -37,7 +39,7 @@ def parse_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = (F.when(F.size("_parts") != 5, "arity").when(~numeric, "not_numeric")
               .when(~F.col("_cls").cast("int").isin(*range(len(CLASSES))), "class")
               .when(~inside, "range"))
-    judged = p.withColumn("reason", reason)
+    judged = tx.once(p, reason=reason)
     boxes = judged.where(F.col("reason").isNull()).select(
         *[c for c in lines.columns if c != "line"], F.col("_cls").cast("int").alias("cls"),
         *names[1:])
