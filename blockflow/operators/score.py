@@ -173,8 +173,8 @@ def word_recall(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     distinct, so a page of any size spreads over its words.
     """
     def tokens(df: DataFrame, *keys: str) -> DataFrame:
-        return (df.select(*keys, F.explode(tx.words(tx.comparable(F.col("text")))).alias("word"))
-                .distinct())
+        return tx.exploded(df, list(keys), tx.words(tx.comparable(F.col("text"))),
+                           "word").distinct()
 
     wanted = tokens(ref, "page_id")
     found = (tokens(hyp, "page_id", "source").join(wanted, ["page_id", "word"], "left_semi")
