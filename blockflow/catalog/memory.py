@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from blockflow.catalog import duck
 from blockflow.catalog.texts import first_words
 from blockflow.fixtures import cte
+from blockflow.functions import text as tx
 from blockflow.operators import memory as m
 from blockflow.operators import spelling as sp
 
@@ -94,8 +95,8 @@ DICT = cte("words") + """, dict as (select * from words where freq >= 3), mis as
 
 def language_words(fx):
     """(lang, word): words that three documents of a language hold."""
-    w = (fx.documents.select("doc_id", "lang", F.explode(F.split(F.regexp_replace(
-        F.lower("text"), r"[^\p{L}]+", " "), " ")).alias("word")).where("word <> ''").distinct())
+    w = tx.exploded(fx.documents, ["doc_id", "lang"], F.array_distinct(F.split(F.regexp_replace(
+        F.lower("text"), r"[^\p{L}]+", " "), " ")), "word").where("word <> ''").distinct()
     return w.groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 3").select(
         "lang", "word")
 
