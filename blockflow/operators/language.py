@@ -90,7 +90,8 @@ def language_profiles(samples: DataFrame, n: int = 3, floor: int = -12000) -> Da
     combined map-side: a task gives at most ``CELLS`` rows for each language.
     """
     counts = (samples.where(F.col("lang").isNotNull())
-              .select("lang", F.explode(cells(F.col("text"), n)).alias("cell"))
+              .select("lang", F.explode_outer(cells(F.col("text"), n)).alias("cell"))
+              .where(F.col("cell").isNotNull())
               .groupBy("lang", "cell").agg(F.count("*").alias("c")))
     total = counts.groupBy("lang").agg(F.sum("c").alias("_t"))
     return counts.join(total, "lang").select("lang", "cell", F.greatest(F.lit(0), F.round(
