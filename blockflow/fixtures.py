@@ -16,11 +16,9 @@ WIDTH = 100  # characters of a document that one text line of a page holds
 _SPARK_ONLY = {
     "lines": f"""
         select doc_id, cast(pos as bigint) as i, line as text from (
-          select doc_id, posexplode(filter(flatten(transform(split(text, '\\n'), l ->
-            transform(sequence(0, greatest(0, cast((length(l) - 1) div {WIDTH} as int))),
-                      k -> substr(l, k * {WIDTH} + 1, {WIDTH})))), x -> length(x) > 0))
-            as (pos, line)
-          from {{documents}})""",
+          select doc_id, posexplode_outer(
+              regexp_extract_all(text, '[^\\n]{{{{1,{WIDTH}}}}}+', 0)) as (pos, line)
+          from {{documents}}) where pos is not null""",
     "grids": """
         select vec_id, label as doc_id, transform(embedding, v -> if(v > 0, 1, 0)) as cells
         from {embeddings}""",
