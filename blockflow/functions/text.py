@@ -45,7 +45,9 @@ def any_of(tests) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without blanks at the ends: one match from the first to the last other character, where a
+    replacement would look for a blank run at every place."""
+    return F.regexp_extract(c, r"(?Us)^\s*+(.*\S|)", 1)
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -56,7 +58,7 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 def collapse(c: Column) -> Column:
     """One blank between words, none at the ends."""
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(c), r"(?U) \s+|[^\S ]\s*", " ")  # single blanks stay untouched
 
 
 def casefold(c: Column) -> Column:
@@ -66,8 +68,9 @@ def casefold(c: Column) -> Column:
 
 def plain_latin(c: Column) -> Column:
     """Lower case without accents; anything that is not ASCII afterwards is dropped."""
-    return F.regexp_replace(
-        strip(F.translate(F.lower(c), LATIN_FROM, LATIN_TO)), r"[^\x{00}-\x{7f}]", "")
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, strip(F.lower(c))).otherwise(F.regexp_replace(
+        strip(F.translate(F.lower(c), LATIN_FROM, LATIN_TO)), r"[^\x{00}-\x{7f}]", ""))
 
 
 def comparable(c: Column) -> Column:

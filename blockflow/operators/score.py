@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockflow.functions import boxes as bx
 from blockflow.functions import text as tx
+from blockflow.functions.edits import edits as edit_distance
 from blockflow.operators import scan
 from blockflow.operators.blocks import TILE, _Near
 from blockflow.operators.folds import fold_groups
@@ -155,9 +156,9 @@ def error_rate(pairs: DataFrame, by: str = "max", normal=tx.comparable) -> DataF
 
     ``by="max"`` divides by the longer text, ``by="ref"`` by the reference.
     """
-    p = pairs.withColumn("_r", normal(F.col("ref"))).withColumn("_h", normal(F.col("hyp")))
+    p = tx.once(pairs, _r=normal(F.col("ref")), _h=normal(F.col("hyp")))
     nr, nh = F.length("_r"), F.length("_h")
-    edits = F.levenshtein("_r", "_h")
+    edits = edit_distance(F.col("_r"), F.col("_h"))
     if by == "max":
         rate = (F.when((nr == 0) & (nh == 0), 0.0).when((nr == 0) | (nh == 0), 1.0)
                 .otherwise(F.col("edits") / F.greatest(nr, nh)))
