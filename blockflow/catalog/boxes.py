@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from blockflow.catalog import duck
 from blockflow.catalog.duck import sql_in
 from blockflow.fixtures import cte
+from blockflow.functions.edits import edits
 from blockflow.operators import blocks as b
 from blockflow.operators import joins as j
 from blockflow.operators import score as sc
@@ -115,7 +116,7 @@ QUERIES = {
     "overlap_join": lambda fx: j.overlap_join(
         engine(fx, 0, "a_"), engine(fx, 1, "b_"), 0.40).select(
         "page_id", "a_block_id", "b_block_id", "ratio",
-        F.levenshtein("a_text", "b_text").alias("edits")),
+        edits(F.col("a_text"), F.col("b_text")).alias("edits")),
     "uncovered": lambda fx: j.uncovered(fx.regions, fx.blocks.where("engine = 0 and i % 4 <> 2"),
                                         0.50).select("page_id", "region_id"),
     "inherit_label": lambda fx: j.inherit_label(fx.blocks, fx.regions).select(
