@@ -25,10 +25,12 @@ def clean_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Readings of one engine to merged blocks: stamps and margins dropped, texts cleaned, lines
     joined across and down, junk dropped.
 
-    The joined lines are checkpointed: what follows reads them twice.
+    The cleaned blocks and the joined lines are checkpointed: what follows reads them twice, so each
+    pattern is looked for once a block. Page sizes are needed twice, too.
     """
+    pages = checkpointed(pages)
     kept = bl.drop_margin_noise(bl.drop_watermarks(blocks), pages)
-    lines = checkpointed(bl.merge_lines_horizontal(clean_text(kept)))
+    lines = checkpointed(bl.merge_lines_horizontal(checkpointed(clean_text(kept))))
     return bl.drop_junk_blocks(bl.merge_lines_vertical(lines, pages))[0]
 
 
