@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from blockflow.functions import boxes as bx
 from blockflow.operators.cells import CELL, corner, meetings, on_cells
+from blockflow.session import checkpointed
 
 
 def overlap_join(a: DataFrame, b: DataFrame, min_ratio: float = 0.40, extra: Column | None = None,
@@ -68,11 +69,12 @@ def inherit_label(blocks: DataFrame, regions: DataFrame, min_ratio: float = 0.30
     """Class of each block: from the region it overlaps most, else from its own type.
 
     0 is text in a bubble, 1 is free text. The best region comes from one ``max_by`` with
-    partial aggregation; ties go to the lower region id.
+    partial aggregation; ties go to the lower region id. The bare boxes are written once, because
+    their levels are looked at before they are joined.
     """
-    pairs = overlap_join(prefixed(blocks.select("page_id", "block_id", "x", "y", "w", "h"), "a_"),
-                         prefixed(regions.select("page_id", "region_id", "label", "x", "y", "w",
-                                                 "h"), "b_"), min_ratio)
+    boxes = checkpointed(blocks.select("page_id", "block_id", "x", "y", "w", "h"))
+    labelled = checkpointed(regions.select("page_id", "region_id", "label", "x", "y", "w", "h"))
+    pairs = overlap_join(prefixed(boxes, "a_"), prefixed(labelled, "b_"), min_ratio)
     best = (pairs.groupBy("page_id", F.col("a_block_id").alias("block_id"))
             .agg(F.max_by("b_label", F.struct("ratio", -F.col("b_region_id"))).alias("_label")))
     own = F.lower(F.coalesce(F.col("type"), F.lit("text"))).isin("title", "header")
