@@ -9,28 +9,30 @@ from blockflow.functions import boxes as bx
 from blockflow.functions import text as tx
 from blockflow.functions.edits import edits as edit_distance
 from blockflow.operators import scan
-from blockflow.operators.blocks import TILE, _Near
+from blockflow.operators.blocks import FEW, TILE, _Near
 from blockflow.operators.folds import fold_groups
 from blockflow.operators.cells import CELL
 from blockflow.operators.joins import covered, prefixed
+from blockflow.session import checkpointed
 
 CLASS_NAMES = {0: "bubble", 1: "free"}
 
 
 def _match(rows: list[dict], min_ratio: float):
     """Gold boxes in turn take the first free detection near them that covers enough."""
-    near = _Near(rows)
     free = {k: r for k, r in enumerate(rows) if not r["_gold"]}
-    for k, r in free.items():
+    near = _Near(rows) if len(rows) > FEW else None
+    for k, r in free.items() if near else ():
         near.add(k, r)
     hits: Counter = Counter()
     for gold in filter(lambda r: r["_gold"], rows):
-        cover = (k for k in near.of(gold) if k in free
+        cover = (k for k in (near.of(gold) if near else free) if k in free
                  and bx.overlap_of(gold, free[k]) > min_ratio)
         if (k := next(cover, None)) is not None:
             del free[k]
             hits[gold["cls"]] += 1
-    yield (rows[0]["page_id"], hits.total(), hits[0], hits[1])
+    if hits:
+        yield (rows[0]["page_id"], hits.total(), hits[0], hits[1])
 
 
 def page_scores(gold: DataFrame, dets: DataFrame, pages: DataFrame, min_ratio: float = 0.30,
@@ -38,25 +40,28 @@ def page_scores(gold: DataFrame, dets: DataFrame, pages: DataFrame, min_ratio: f
     """Hits, misses and extras per page from a greedy one-to-one match.
 
     Gold boxes in id order each take their first free detection. Boxes that can match overlap,
-    so the greedy runs per (page, strip); plain counts come from ordinary aggregation.
+    so the greedy runs per (page, strip); plain counts come from ordinary aggregation. Boxes and
+    page sizes are written once: strips and counts read them several times.
     """
+    pages = checkpointed(pages.select("page_id", "page_w", "page_h"))
     both = (gold.select("page_id", F.col("gold_id").alias("_id"), "cls", "x", "y", "w", "h",
                         F.lit(True).alias("_gold"))
             .unionByName(dets.select("page_id", F.col("det_id").alias("_id"), "cls", "x", "y",
                                      "w", "h", F.lit(False).alias("_gold"))))
+    both = checkpointed(both)
     cut = scan.strips(both, ["page_id"], F.col("y"), F.col("y") + F.col("h"), tile)
     matched = (fold_groups(cut, ["page_id", "strip"], ["_id"],
                            lambda rows: _match(rows, min_ratio),
                            "page_id bigint, hits bigint, hit_bubble bigint, hit_free bigint")
                .groupBy("page_id").agg(*[F.sum(c).alias(c)
                                          for c in ("hits", "hit_bubble", "hit_free")]))
-    sized = gold.join(pages, "page_id")
+    sized = both.where("_gold").join(pages, "page_id")
     g = sized.groupBy("page_id").agg(
         F.count("*").alias("gold"), F.count_if(F.col("cls") == 0).alias("gold_bubble"),
         F.count_if(F.col("cls") == 1).alias("gold_free"),
         F.count_if(F.col("w") * F.col("h") > F.col("page_w") * F.col("page_h") * giant)
         .alias("giant"))
-    d = dets.groupBy("page_id").agg(F.count("*").alias("detections"))
+    d = both.where("not _gold").groupBy("page_id").agg(F.count("*").alias("detections"))
     zero = F.lit(0).cast("bigint")
     out = pages.select("page_id")
     for part in (g, d, matched):
