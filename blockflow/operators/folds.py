@@ -31,15 +31,15 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str],
         group, current = [], None
         for batch in batches:
             names = batch.schema.names
+            columns = [column.to_pylist() for column in batch.columns]
+            marks = zip(*(columns[names.index(k)] for k in keys))
             done = []
-            for values in zip(*(column.to_pylist() for column in batch.columns)):
-                row = dict(zip(names, values))
-                key = tuple(row[k] for k in keys)
+            for key, values in zip(marks, zip(*columns)):
                 if key != current:
                     if group:
                         done.extend(fold(group))
                     group, current = [], key
-                group.append(row)
+                group.append(dict(zip(names, values)))
             if done:
                 yield to_batch(done)
         if group:
