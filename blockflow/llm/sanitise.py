@@ -10,7 +10,7 @@ place of a base span; a revealing term becomes a general tag where it is written
 removed otherwise.
 
 Everything is native: counts are combined before the shuffle, terms meet documents by a join, and
-a table of 2**20 flags spares documents without any revealing term that shuffle.
+a row of 2**20 flags spares documents without any revealing term that shuffle.
 
 Base patterns are the contract's, written so that long runs take linear time: a match can only start
 where a run starts or the last match ended, and repetitions do not give characters back.
@@ -175,18 +175,37 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
+def _place(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FLAGS)).cast("int")
+
+
+def _word(place: Column) -> Column:
+    return F.shiftright(place, 6)
+
+
+def _flags(terms: DataFrame) -> DataFrame:
+    """One row with ``flags``: FLAGS bits in whole numbers of 64, set at the places of the terms.
+
+    They are data and not a constant of the plan, which Spark would write out in full in each
+    description of a plan that the driver keeps.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)))
+    none = terms.sparkSession.range(FLAGS // 64).select(
+        F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = terms.select(_place(F.col("term")).alias("p")).select(
+        _word(F.col("p")).alias("word"), bit.alias("bits")).unionByName(none)
+    return words.groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(
+        F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("flags"))
+
+
 def _term_spans(docs: DataFrame, revealing: DataFrame) -> DataFrame:
     """k1, k2 of a text and the spans of revealing terms in it."""
     terms = revealing.select("term").distinct()
-    place = F.pmod(F.xxhash64("term"), F.lit(FLAGS)).cast("int")
-    flags = bytearray(FLAGS)
-    for row in terms.select(place.alias("p")).distinct().collect():  # at most FLAGS rows
-        flags[row["p"]] = 1
-    table_of = F.lit(bytes(flags))
+    texts = docs.crossJoin(F.broadcast(_flags(terms)))  # one row of FLAGS bits
 
     def flagged(term: Column) -> Column:
-        at = F.pmod(F.xxhash64(term), F.lit(FLAGS)).cast("int") + 1
-        return F.substring(table_of, at, F.lit(1)) == F.lit(b"\x01")
+        return let(_place(term), lambda p: F.getbit(
+            F.get("flags", _word(p)), p.bitwiseAND(F.lit(63))) == 1)
 
     def spans(words: Column) -> Column:
         pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join(words, "|"),
@@ -194,7 +213,7 @@ def _term_spans(docs: DataFrame, revealing: DataFrame) -> DataFrame:
         return F.when(F.size(words) > 0, _placed(F.col("text"), pattern, len(KINDS)))
 
     words = F.flatten(F.transform(F.split("text", "\n"), _terms))
-    placed = docs.select(*_keys(F.col("text")), F.explode(
+    placed = texts.select(*_keys(F.col("text")), F.explode(
         let(F.filter(F.array_distinct(words), flagged), spans)).alias("x"))
     return checkpointed(
         placed.withColumn("term", ascii_lower(F.col("x.m"))).distinct().join(terms, "term")

@@ -309,3 +309,29 @@ def test_many_matches_in_one_text(spark):
     for r in docs.select("doc_id", "text", sanitise.base_spans(F.col("text")).alias("x")).collect():
         expected = [m.span() for m in re.finditer(r"a[0-9]+@b\.org", r.text)]
         assert [(x.s, x.e) for x in r.x] == expected and len(expected) == r.doc_id
+
+
+def test_flags_of_terms_are_no_constant_of_the_plan(spark, monkeypatch):
+    """The driver keeps the text of each plan, so a table of flags must not stand in it."""
+    sizes, write = [], sanitise.checkpointed
+
+    def seen(df):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(sanitise, "checkpointed", seen)
+    rows = [f"{w} Zorblatt zor@blatt.org" for w in ("write", "call", "for", "says")]
+    rows += ["Nobody saw Zorblatt.", "Nobody saw the clerk."] + [f"day {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in sanitise.find_spans(docs, ["doc_id"]).collect()}
+    assert [(x.s, x.e) for x in found[4]] == [(11, 19)] and not found[5]
+    assert len(sizes) == 4 and max(sizes) < 100_000
+
+
+def test_flags_stand_at_the_places_of_all_terms(spark):
+    terms = spark.range(5000).select(F.col("id").cast("string").alias("term"))
+    places = {r[0] for r in terms.select(sanitise._place(F.col("term"))).collect()}
+    flags = sanitise._flags(terms).first().flags
+    assert len(flags) == sanitise.FLAGS // 64
+    assert {64 * i + b for i, x in enumerate(flags) for b in range(64) if x >> b & 1} == places
+    assert not any(sanitise._flags(terms.limit(0)).first().flags)
