@@ -14,7 +14,18 @@ HANZI_SHORT = r"[\x{4e00}-\x{9faf}]"
 def word_set(c: Column) -> Column:
     """Distinct lower-case words without punctuation around them."""
     return F.array_distinct(F.transform(
-        tx.words(F.lower(c)), lambda w: tx.strip_chars(w, ".,¡!¿?()[]{}*\"'")))
+        tx.words(F.lower(c)), lambda w: F.btrim(w, F.lit(".,¡!¿?()[]{}*\"'"))))
+
+
+def _any_in(tokens: Column, words) -> Column:
+    """Whether a word of a list is among the tokens; a list of constants is made into a set once,
+    where an array is made into one for every row."""
+    return F.exists(tokens, lambda w: w.isin(sorted(set(words))))
+
+
+def _count_in(tokens: Column, words) -> Column:
+    """How many of the distinct tokens are in a list of words."""
+    return F.size(F.filter(tokens, lambda w: w.isin(sorted(set(words)))))
 
 
 def simple_language(c: Column, tokens: Column) -> Column:
@@ -23,15 +34,17 @@ def simple_language(c: Column, tokens: Column) -> Column:
     Words are looked at as a set. A word that is nothing but a verb ending speaks for English;
     one that goes beyond it speaks for Spanish and wins.
     """
-    ending = "(" + "|".join(lg.SPANISH_VERB_ENDINGS) + ")$"
+    ends = lg.SPANISH_VERB_ENDINGS
+    starts = "".join(f"[{''.join(sorted({e[i] for e in ends}))}]" for i in range(2))
+    ending = f"(?={starts})(?:{'|'.join(ends)})$"  # most places are ruled out by two letters
 
     def hits(words) -> Column:
-        return F.arrays_overlap(tokens, tx.literals(words))
+        return _any_in(tokens, words)
 
     long_verb = F.exists(tokens, lambda w: (w.rlike(ending) & (F.length(w) > 2))
-                         | (w.rlike("mente$") & (F.length(w) > 6)))
-    bare_ending = F.exists(tokens, lambda w: w.rlike("^(ar|er|ir)$"))
-    pt_n = F.size(F.array_intersect(tokens, tx.literals(lg.PORTUGUESE_WORDS)))
+                         | (w.endswith("mente") & (F.length(w) > 6)))
+    bare_ending = hits(["ar", "er", "ir"])
+    pt_n = _count_in(tokens, lg.PORTUGUESE_WORDS)
     return (F.when(tx.has_hangul(c), "ko").when(tx.has_kana(c), "ja")
             .when(c.rlike(HANZI_SHORT), "zh").when(c.rlike(f"[{lg.SPANISH_MARKS}]"), "es")
             .when(hits(lg.SPANISH_WORDS), "es").when(long_verb, "es").when(bare_ending, "en")
@@ -45,33 +58,48 @@ def tag_language_simple(df: DataFrame, text: str = "text", out: str = "lang_tag"
 
 
 def mixed_languages(c: Column, dominant: Column, tokens: Column) -> Column:
-    """Languages with strong evidence in one text, the dominant one first."""
-    text = tx.strip(F.coalesce(c, F.lit("")))
+    """Languages with strong evidence in one text, the dominant one first.
+
+    ``tokens`` are distinct. Text, dominant language and marker words are worked out once a text,
+    the tests only look at them.
+    """
+    markers = {w for lists in (lg.MIXED_MARKERS, lg.SINGLE_DISTINCTIVE_MARKERS)
+               for ws in lists.values() for w in ws} | set(lg.SINGLE_ENGLISH_MARKERS)
     dom = F.lower(F.trim(dominant))
     dom = (F.when(dom.isin("zh-cn", "zh-tw"), "zh").when(dom.isin(lg.DISABLED), "en")
            .otherwise(dom))
+    marked = F.filter(tokens, lambda w: w.isin(sorted(markers)))
+    counted = F.transform(F.array(marked), lambda m: F.struct(
+        m.alias("words"), *(_count_in(m, ws).alias(k) for k, ws in lg.MIXED_MARKERS.items())))[0]
+    once = F.struct(tx.strip(F.coalesce(c, F.lit(""))).alias("text"), dom.alias("dom"),
+                    counted.alias("n"))
+    return F.transform(F.array(once), lambda x: _ordered(x["text"], x["dom"], x["n"]))[0]
 
-    def count(words) -> Column:
-        return F.size(F.array_intersect(tokens, tx.literals(words)))
 
+def _ordered(text: Column, dom: Column, n: Column) -> Column:
+    """The languages of a text by its dominant one and its marker words, ``n``: words, and how
+    many of them each language has."""
     own = None
-    for code, marks in lg.MIXED_MARKERS.items():
-        own = (F.when(dom == code, count(marks)) if own is None
-               else own.when(dom == code, count(marks)))
+    for code in lg.MIXED_MARKERS:
+        own = F.when(dom == code, n[code]) if own is None else own.when(dom == code, n[code])
     strong = own.otherwise(0) >= 2
     tests = [("ko", tx.has_hangul(text)), ("ja", tx.has_kana(text)),
              ("zh", ~tx.has_kana(text) & tx.has_hanzi(text))]
-    tests += [(code, count(marks) >= 2) for code, marks in lg.MIXED_MARKERS.items()]
-    tests += [("en", (dom != "en") & strong & (count(lg.SINGLE_ENGLISH_MARKERS) > 0))]
-    tests += [(code, (dom != code) & strong & (count(marks) > 0))
+    tests += [(code, n[code] >= 2) for code in lg.MIXED_MARKERS]
+    tests += [("en", (dom != "en") & strong & _any_in(n["words"], lg.SINGLE_ENGLISH_MARKERS))]
+    tests += [(code, (dom != code) & strong & _any_in(n["words"], marks))
               for code, marks in lg.SINGLE_DISTINCTIVE_MARKERS.items()]
     tests += [(code, dom == code) for code in lg.ACTIVE]
     found = F.array_distinct(F.filter(
         F.array(*[F.when(test, F.lit(code)) for code, test in tests]), lambda x: x.isNotNull()))
-    others = F.array_sort(F.array_except(found, F.array(dom)))
-    ordered = F.concat(F.array_intersect(F.array(dom), found), others)
-    return (F.when(text == "", F.array().cast("array<string>"))
-            .when(F.size(found) <= 1, F.array(dom)).otherwise(ordered))
+
+    def ordered(found: Column) -> Column:
+        others = F.array_sort(F.array_except(found, F.array(dom)))
+        return F.when(F.size(found) <= 1, F.array(dom)).otherwise(
+            F.concat(F.array_intersect(F.array(dom), found), others))
+
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.array(found), ordered)[0])
 
 
 def tag_mixed_languages(df: DataFrame, dominant: str, text: str = "text") -> DataFrame:

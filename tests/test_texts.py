@@ -228,3 +228,15 @@ def test_log_line_numbers_across_splits(spark, tmp_path):
         assert got.where(F.concat(F.lit("line "), F.col("line_no")) != F.col("line")).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_marker_words_are_looked_up_once(spark):
+    """No word list is made into a set for each text, and no text is stripped for each test."""
+    df = spark.createDataFrame([("Hola amigo, the world is big", "es"), ("lamente ir.", "en")],
+                               "text string, lang string")
+    plan = la.tag_mixed_languages(la.tag_language_simple(df), "lang_tag").select("mixed")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") <= 3 and "arrays_overlap" not in text
+    assert text.count("adiós,ahora,") <= 2
+    assert [r.mixed for r in plan.collect()] == [True, False]
+    assert [r.lang_tag for r in la.tag_language_simple(df).collect()] == ["es", "es"]
