@@ -164,8 +164,9 @@ def memory_lookup_variant(requests: DataFrame, memory: DataFrame, now: float,
 
 
 def cache_key(text: Column, src: Column, tgt: Column) -> Column:
-    return F.md5(F.concat_ws("||", tx.collapse(text), F.lower(tx.strip(src)),
-                             F.lower(tx.strip(tgt))))
+    """Null, which meets no entry, where the text or a language is null."""
+    return F.md5(F.concat(tx.collapse(text), F.lit("||"), F.lower(tx.strip(src)), F.lit("||"),
+                          F.lower(tx.strip(tgt))))
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: float, ttl_s: float = 7 * DAY,

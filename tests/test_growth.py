@@ -44,6 +44,15 @@ def test_first_of_equally_new_cache_entries_answers(spark):
     assert me.cache_lookup(asked, cache, 5.0, order=("id",)).first().cache_result == "hi"
 
 
+def test_a_request_without_text_meets_no_cache_entry(spark):
+    cache = spark.createDataFrame([(None, "es", "en", "hi", 5.0), ("", "es", "en", "none", 5.0)],
+                                  "text string, src string, tgt string, result string, ts double")
+    asked = spark.createDataFrame([(1, None, "es", "en"), (2, " ", "es", "en")],
+                                  "id int, text string, source_lang string, target_lang string")
+    got = {r.id: r.cache_result for r in me.cache_lookup(asked, cache, 5.0).collect()}
+    assert got == {1: None, 2: "none"}
+
+
 def test_every_way_of_translating_is_shown(spark):
     rows = [("田中さん", f"Tanaka {i:02d}", "ja", "es", None) for i in range(30)]
     df = spark.createDataFrame(rows, "src string, tgt string, source_lang string, "
