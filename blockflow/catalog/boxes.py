@@ -153,9 +153,9 @@ QUERIES = {
         fx.blocks.where("engine = 0").select("page_id", "i", F.col("text").alias("ref")).join(
             fx.blocks.where("engine = 1").select("page_id", "i", F.col("text").alias("hyp")),
             ["page_id", "i"])).select("page_id", "i", "edits", "cer"),
-    "word_recall": lambda fx: sc.word_recall(
-        fx.blocks.where("engine = 0").select("page_id", "text"),
-        fx.blocks.where("engine <> 0").select("page_id", F.col("engine").alias("source"), "text")),
+    "word_recall": lambda fx: sc.word_recall_of(fx.blocks.select(
+        "page_id", F.col("engine").alias("source"), "text", (F.col("engine") == 0).alias("is_ref")),
+        [e for e in WEIGHTS if e != 0]),
 }
 
 ORACLES = {

@@ -175,17 +175,35 @@ def error_rate(pairs: DataFrame, by: str = "max", normal=tx.comparable) -> DataF
 def word_recall(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Distinct reference words of each page that each source found.
 
-    ``ref`` is (page_id, text), ``hyp`` is (page_id, source, text). Words are exploded and made
-    distinct, so a page of any size spreads over its words.
+    ``ref`` is (page_id, text), ``hyp`` is (page_id, source, text).
     """
-    def tokens(df: DataFrame, *keys: str) -> DataFrame:
-        return tx.exploded(df, list(keys), tx.words(tx.comparable(F.col("text"))),
-                           "word").distinct()
-
-    wanted = tokens(ref, "page_id")
-    found = (tokens(hyp, "page_id", "source").join(wanted, ["page_id", "word"], "left_semi")
-             .groupBy("page_id", "source").agg(F.count("*").alias("found")))
-    sources = hyp.select("page_id", "source").distinct()
-    total = wanted.groupBy("page_id").agg(F.count("*").alias("ref_words"))
-    return (total.join(sources, "page_id").join(found, ["page_id", "source"], "left")
-            .na.fill(0, ["found"]).withColumn("recall", F.col("found") / F.col("ref_words")))
+    kind = hyp.schema["source"].dataType
+    both = (hyp.select("page_id", "source", "text", F.lit(False).alias("is_ref"))
+            .unionByName(ref.select("page_id", F.lit(None).cast(kind).alias("source"), "text",
+                                    F.lit(True).alias("is_ref"))))
+    return word_recall_of(both, [r.source for r in hyp.select("source").distinct().collect()])
+
+
+def word_recall_of(readings: DataFrame, sources: list) -> DataFrame:
+    """``word_recall`` of one table (page_id, source, text, is_ref) with all ``sources`` in it.
+
+    A word of a page is one row that says who read it, so what the readings of a page share is
+    shuffled once, and a page of any size spreads over its words. A text without words leaves a
+    row without a word, which only shows that the source is there.
+    """
+    words = readings.where(F.col("page_id").isNotNull()).select(
+        "page_id", "source", "is_ref",
+        F.explode_outer(tx.words(tx.comparable(F.col("text")))).alias("word"))
+    marks = [f"_by{k}" for k in range(len(sources))]
+    met = words.groupBy("page_id", "word").agg(F.max("is_ref").alias("_ref"), *[
+        F.max(~F.col("is_ref") & F.col("source").eqNullSafe(F.lit(s))).alias(m)
+        for s, m in zip(sources, marks)])
+    wanted = F.col("_ref") & F.col("word").isNotNull()
+    pages = met.groupBy("page_id").agg(
+        F.count_if(wanted).alias("ref_words"),
+        *[F.struct(F.lit(s).cast(readings.schema["source"].dataType).alias("source"),
+                   F.count_if(wanted & F.col(m)).alias("found"), F.max(m).alias("seen")).alias(m)
+          for s, m in zip(sources, marks)])
+    return (pages.where("ref_words > 0").select("page_id", "ref_words", F.inline(F.array(*marks)))
+            .where("seen").select("page_id", "source", "ref_words", "found",
+                                  (F.col("found") / F.col("ref_words")).alias("recall")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from blockflow.catalog import sources
+from blockflow.catalog import boxes, sources
 from blockflow.fixtures import Fixtures
 from blockflow.operators import blocks as bl
 from blockflow.operators import memory as me
@@ -85,3 +85,18 @@ def test_rules_apply_as_one_by_one_and_unchanged_texts_skip_them(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     got = [r.out for r in te.apply_glossary(df, rules, out="out").collect()]
     assert got == ["Y", "ab", "nothing here", "ys 12", "RR", "", None]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_of_a_page_are_shuffled_once(spark):
+    assert shuffles(boxes.QUERIES["word_recall"](Fixtures(spark, TINY))) <= 2
+    ref = spark.createDataFrame([(1, "uno dos"), (1, "dos tres"), (2, " "), (3, "solo")],
+                                "page_id int, text string")
+    hyp = spark.createDataFrame([(1, "a", "dos DOS cinco"), (1, "a", "uno"), (1, "b", ""),
+                                 (1, "c", None), (2, "a", "uno"), (4, "a", "solo")],
+                                "page_id int, source string, text string")
+    got = {(r.page_id, r.source, r.ref_words, r.found) for r in sc.word_recall(ref, hyp).collect()}
+    assert got == {(1, "a", 3, 2), (1, "b", 3, 0), (1, "c", 3, 0)}
