@@ -1,4 +1,4 @@
-"""Edit distance of texts, a batch of rows at a time.
+"""Edit distance of texts and what deletions leave of words, a batch of rows at a time.
 
 Spark's own ``levenshtein`` fills a table of length times length for each pair. Here most pairs of two
 readings of a line need none: their distance is at least the difference of their letter counts
@@ -6,6 +6,8 @@ and at most the places in which they differ, and where both are the same number,
 others go through the table column by column, packed into bits, all rows of a batch at once.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -130,3 +132,27 @@ def _batch(a: pa.Array, b: pa.Array) -> pa.Array:
 def edits(a: Column, b: Column) -> Column:
     """Edit distance of two text columns, null where either is."""
     return F.arrow_udf(_batch, "int")(a, b)
+
+
+def _left(word: str, depth: int) -> set[str]:
+    out = {word}
+    out.update(word[:i] + word[i + 1:] for i in range(len(word)))
+    if depth == 2:
+        out.update(word[:i] + word[i + 1:j] + word[j + 1:]
+                   for i, j in combinations(range(len(word)), 2))
+    return out
+
+
+def _left_once(words: pa.Array) -> pa.Array:
+    return pa.array([None if w is None else list(_left(w, 1)) for w in words.to_pylist()],
+                    pa.list_(pa.string()))
+
+
+def _left_twice(words: pa.Array) -> pa.Array:
+    return pa.array([None if w is None else list(_left(w, 2)) for w in words.to_pylist()],
+                    pa.list_(pa.string()))
+
+
+def deletions(c: Column, depth: int) -> Column:
+    """A word and all that is left of it after up to ``depth`` (1 or 2) deletions."""
+    return F.arrow_udf(_left_once if depth == 1 else _left_twice, "array<string>")(c)

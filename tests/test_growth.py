@@ -100,3 +100,13 @@ def test_words_of_a_page_are_shuffled_once(spark):
                                 "page_id int, source string, text string")
     got = {(r.page_id, r.source, r.ref_words, r.found) for r in sc.word_recall(ref, hyp).collect()}
     assert got == {(1, "a", 3, 2), (1, "b", 3, 0), (1, "c", 3, 0)}
+
+
+def test_the_language_of_texts_to_correct_is_told_once(spark):
+    texts = spark.createDataFrame([(1, "la caza, caas Caas"), (2, None), (3, ""), (4, "el gato"),
+                                   (5, "caas")], "id int, text string")
+    known = spark.createDataFrame([("caza", 9), ("casa", 5), ("gato", 5)], "word string, freq bigint")
+    got = sp.correct_spelling(texts, known, ["id"])
+    assert "trim(" not in optimised(got)
+    assert {r.id: r.corrected for r in got.collect()} == {
+        1: "la caza, casa Casa", 2: None, 3: "", 4: "el gato", 5: "caas"}
