@@ -17,8 +17,12 @@ def schema_of(ddl: str) -> StructType:
 
 
 def fold_groups(df: DataFrame, keys: list[str], order: list[str],
-                fold: Callable[[list[dict]], Iterable[tuple]], ddl: str) -> DataFrame:
-    """``fold(rows of one group) → result tuples`` for every group, as a DataFrame of ``ddl``."""
+                fold: Callable[[list[dict]], Iterable[tuple]], ddl: str,
+                together: bool = False) -> DataFrame:
+    """``fold(rows of one group) → result tuples`` for every group, as a DataFrame of ``ddl``.
+
+    ``together``: the rows of a group lie in one task already, as after ``scan.near_strips``.
+    """
     schema = to_arrow_schema(schema_of(ddl))
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -47,8 +51,8 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str],
             if rest:
                 yield to_batch(rest)
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
-            .mapInArrow(run, schema_of(ddl)))
+    placed = df if together else df.repartition(*keys)
+    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, schema_of(ddl))
 
 
 def fold_stream(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object],

@@ -122,3 +122,53 @@ def strips(df: DataFrame, keys: list[str], top: Column, bottom: Column, tile: in
     return (df.join(tiles, [*keys, "_tile"]).withColumn("_own", own)
             .withColumn(name, F.coalesce(F.last("_own", ignorenulls=True).over(here), "_open"))
             .drop("_top", "_bottom", "_tile", "_reach", "_start", "_in", "_open", "_own"))
+
+
+def strip_sums(df: DataFrame, keys: list[str], top: Column, bottom: Column, tile: int,
+               **sums: Column) -> DataFrame:
+    """One row per (keys, _tile, strip) with ``sums`` over its rows, for ``near_strips``.
+
+    Only what ``top``, ``bottom`` and ``sums`` look at is shuffled, so the rows may be wide.
+    """
+    bare = df.select(*keys, top.cast("double").alias("_a"), bottom.cast("double").alias("_b"),
+                     *[c.alias(name) for name, c in sums.items()])
+    cut = strips(bare, keys, F.col("_a"), F.col("_b"), tile).withColumn(
+        "_tile", F.floor(F.col("_a") / tile))
+    return cut.groupBy(*keys, "_tile", "strip").agg(
+        F.count("*").alias("n"), *[f(name).alias(f"{f.__name__}_{name}")
+                                   for name in sums for f in (F.min, F.max)])
+
+
+def crossings(sums: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Tiles into which a strip of an earlier tile reaches: where that began (``_open``), and where
+    the first strip of the tile's own begins (``_own``)."""
+    home = F.floor(F.col("strip") / tile)
+    return (sums.groupBy(*keys, "_tile").agg(
+        F.max(F.when(home < F.col("_tile"), F.col("strip"))).alias("_open"),
+        F.min(F.when(home == F.col("_tile"), F.col("strip"))).alias("_own"))
+        .where(F.col("_open").isNotNull()))
+
+
+def near_strips(df: DataFrame, keys: list[str], top: Column, bottom: Column, tile: int,
+                crossing: DataFrame, name: str = "strip") -> DataFrame:
+    """``strips`` with a single shuffle of the rows, after which each strip lies in one task.
+
+    A strip is at home in the tile that it begins in. ``crossing`` (written; see ``crossings``) tells
+    which rows are at home in an earlier tile; all rows at home in a tile of a key go together.
+    """
+    df = (df.withColumn("_top", top.cast("double")).withColumn("_bottom", bottom.cast("double"))
+          .where(F.col("_top").isNotNull()).withColumn("_tile", F.floor(F.col("_top") / tile)))
+    if not crossing.isEmpty():
+        reached = F.col("_open").isNotNull() & (F.col("_own").isNull()
+                                                | (F.col("_top") < F.col("_own")))
+        df = (df.join(crossing, [*keys, "_tile"], "left").withColumn("_tile", F.when(
+            reached, F.floor(F.col("_open") / tile)).otherwise(F.col("_tile")))
+            .drop("_open", "_own"))
+    part = Window.partitionBy(*keys, "_tile").orderBy("_top", "_bottom")
+    reach = F.max("_bottom").over(part.rowsBetween(Window.unboundedPreceding, -1))
+    here = part.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal rows agree
+    return (df.repartition(*keys, "_tile").withColumn("_reach", reach)
+            .withColumn("_start", F.when(F.col("_reach").isNull()
+                                         | (F.col("_top") > F.col("_reach")), F.col("_top")))
+            .withColumn(name, F.last("_start", ignorenulls=True).over(here))
+            .drop("_top", "_bottom", "_tile", "_reach", "_start"))

@@ -110,3 +110,21 @@ def test_the_language_of_texts_to_correct_is_told_once(spark):
     assert "trim(" not in optimised(got)
     assert {r.id: r.corrected for r in got.collect()} == {
         1: "la caza, casa Casa", 2: None, 3: "", 4: "el gato", 5: "caas"}
+
+
+def test_texts_to_fuse_are_shuffled_once_and_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(bl, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    rows = [(1, k, k % 2, 10 * (k % 3), 7 * k, 40, 4 + 30 * (k % 4), f"uno {k // 2}", 0.5, "text")
+            for k in range(40)]
+    rows += [(2, 1, 0, 0, 0, 5, 5, "solo", None, "TEXT"), (None, 2, 0, 0, 0, 5, 5, "x", 0.5, "text"),
+             (1, 90, 1, 0, 0, 5, 5, "  ", 0.5, "text")]
+    df = spark.createDataFrame(rows, "page_id bigint, block_id bigint, engine int, x bigint, y bigint, "
+                                     "w bigint, h bigint, text string, confidence double, type string")
+    whole = bl.fuse_sources(df, {0: 1.0, 1: 0.9}, tile=10_000)
+    assert shuffles(whole) == 1 and not any("text" in columns for columns in written)
+    want = sorted(whole.collect())
+    assert (2, 1, 0, 0, 0, 5, 5, "solo", 0.5, "text") in want and len(want) < 42
+    for tile in (16, 64):
+        assert sorted(bl.fuse_sources(df, {0: 1.0, 1: 0.9}, tile=tile).collect()) == want
+    assert sorted(bl.fuse_sources(df, {0: 1.0, 1: 0.9}, tile=64, most=3).collect()) == want
