@@ -150,11 +150,11 @@ def crossings(sums: DataFrame, keys: list[str], tile: int) -> DataFrame:
 
 
 def near_strips(df: DataFrame, keys: list[str], top: Column, bottom: Column, tile: int,
-                crossing: DataFrame, name: str = "strip") -> DataFrame:
+                crossing: DataFrame, name: str = "strip", home: str = "_home") -> DataFrame:
     """``strips`` with a single shuffle of the rows, after which each strip lies in one task.
 
     A strip is at home in the tile that it begins in. ``crossing`` (written; see ``crossings``) tells
-    which rows are at home in an earlier tile; all rows at home in a tile of a key go together.
+    which rows are at home in an earlier tile; all rows of a key and a ``home`` go together.
     """
     df = (df.withColumn("_top", top.cast("double")).withColumn("_bottom", bottom.cast("double"))
           .where(F.col("_top").isNotNull()).withColumn("_tile", F.floor(F.col("_top") / tile)))
@@ -164,11 +164,11 @@ def near_strips(df: DataFrame, keys: list[str], top: Column, bottom: Column, til
         df = (df.join(crossing, [*keys, "_tile"], "left").withColumn("_tile", F.when(
             reached, F.floor(F.col("_open") / tile)).otherwise(F.col("_tile")))
             .drop("_open", "_own"))
-    part = Window.partitionBy(*keys, "_tile").orderBy("_top", "_bottom")
+    part = Window.partitionBy(*keys, home).orderBy("_top", "_bottom")
     reach = F.max("_bottom").over(part.rowsBetween(Window.unboundedPreceding, -1))
     here = part.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal rows agree
-    return (df.repartition(*keys, "_tile").withColumn("_reach", reach)
+    return (df.withColumnRenamed("_tile", home).repartition(*keys, home).withColumn("_reach", reach)
             .withColumn("_start", F.when(F.col("_reach").isNull()
                                          | (F.col("_top") > F.col("_reach")), F.col("_top")))
             .withColumn(name, F.last("_start", ignorenulls=True).over(here))
-            .drop("_top", "_bottom", "_tile", "_reach", "_start"))
+            .drop("_top", "_bottom", "_reach", "_start"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from blockflow.catalog import boxes, sources
 from blockflow.fixtures import Fixtures
 from blockflow.operators import blocks as bl
+from blockflow.operators import joins as jo
 from blockflow.operators import memory as me
 from blockflow.operators import quality as qu
 from blockflow.operators import score as sc
@@ -128,3 +129,28 @@ def test_texts_to_fuse_are_shuffled_once_and_not_written(spark, monkeypatch):
     for tile in (16, 64):
         assert sorted(bl.fuse_sources(df, {0: 1.0, 1: 0.9}, tile=tile).collect()) == want
     assert sorted(bl.fuse_sources(df, {0: 1.0, 1: 0.9}, tile=64, most=3).collect()) == want
+
+
+def test_boxes_of_labels_are_written_once(spark, monkeypatch):
+    written = []
+    for module in (bl, jo):
+        monkeypatch.setattr(module, "checkpointed",
+                            lambda df: written.append(df.columns) or checkpointed(df))
+    rows = [(p, k, 13 * k % 80, 17 * k % 210, 15 + 5 * (k % 4), 12 + 9 * (k % 5), kind)
+            for p in (1, 2, 3) for k, kind in enumerate(["text", "title", None, "header"] * 8)]
+    rows += [(1, 50, 0, 0, 40, 40, "title"), (1, 49, 0, 0, 40, 40, "text"), (2, 60, 5, 5, 9, 90, "text"),
+             (4, 1, 0, 0, 20, 20, "text"), (None, 1, 0, 0, 20, 20, "text")]
+    blocks = spark.createDataFrame(rows, "page_id bigint, block_id bigint, x bigint, y bigint, w int, "
+                                         "h bigint, type string")
+    regions = blocks.where("block_id % 3 = 1 and page_id < 3").select(
+        "page_id", F.col("block_id").alias("region_id"), (F.col("x") + 2).alias("x"), "y", "w", "h",
+        F.when(F.col("block_id") % 2 == 0, "text_free").otherwise("text_bubble").alias("label"))
+    pages = spark.createDataFrame([(p, 120, 260) for p in (1, 2, 3)],
+                                  "page_id bigint, page_w bigint, page_h bigint")
+    found = bl.clean_labels(blocks, regions, pages)
+    assert sum("w" in columns for columns in written) == 1
+    want = sorted(found.collect())
+    assert {r.page_id for r in want} == {1, 2, 3} and {r.cls for r in want} == {0, 1}
+    for how in ({"tile": 32}, {"most": 0}, {"most": 20, "tile": 64}):
+        other = bl.clean_labels(blocks, regions, pages, **how)
+        assert other.dtypes == found.dtypes and sorted(other.collect()) == want
