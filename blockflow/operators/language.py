@@ -8,13 +8,14 @@ from blockflow.rules import languages as lg
 
 CELLS = 1 << 15  # numbers that stand for n-grams
 MOST_LANGUAGES = 64  # profiles that a plan may hold
+PUNCTUATION = ".,¡!¿?()[]{}*\"'"
 HANZI_SHORT = r"[\x{4e00}-\x{9faf}]"
 
 
 def word_set(c: Column) -> Column:
     """Distinct lower-case words without punctuation around them."""
     return F.array_distinct(F.transform(
-        tx.words(F.lower(c)), lambda w: F.btrim(w, F.lit(".,¡!¿?()[]{}*\"'"))))
+        tx.words(F.lower(c)), lambda w: F.btrim(w, F.lit(PUNCTUATION))))
 
 
 def _any_in(tokens: Column, words) -> Column:
@@ -28,21 +29,37 @@ def _count_in(tokens: Column, words) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(sorted(set(words)))))
 
 
+def _long_verb(w: Column) -> Column:
+    """Whether a word goes beyond a Spanish verb ending."""
+    ends = lg.SPANISH_VERB_ENDINGS
+    starts = "".join(f"[{''.join(sorted({e[i] for e in ends}))}]" for i in range(2))
+    ending = f"(?={starts})(?:{'|'.join(ends)})$"  # most places are ruled out by two letters
+    return ((w.rlike(ending) & (F.length(w) > 2))
+            | (w.endswith("mente") & (F.length(w) > 6)))
+
+
+def is_simple_language(c: Column, lang: str) -> Column:
+    """Whether ``simple_language`` says ``lang``. Spanish comes right after the scripts, so the tests
+    behind it are left out."""
+    if lang != "es":
+        return simple_language(c, word_set(c)) == lang
+    words = F.transform(tx.words(F.lower(c)), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    spanish = sorted(set(lg.SPANISH_WORDS))
+    return (~(tx.has_hangul(c) | tx.has_kana(c) | c.rlike(HANZI_SHORT))
+            & (c.rlike(f"[{lg.SPANISH_MARKS}]")
+               | F.exists(words, lambda w: w.isin(spanish) | _long_verb(w))))
+
+
 def simple_language(c: Column, tokens: Column) -> Column:
     """Script first, then Spanish marks, words and verb endings, then Portuguese words.
 
     Words are looked at as a set. A word that is nothing but a verb ending speaks for English;
     one that goes beyond it speaks for Spanish and wins.
     """
-    ends = lg.SPANISH_VERB_ENDINGS
-    starts = "".join(f"[{''.join(sorted({e[i] for e in ends}))}]" for i in range(2))
-    ending = f"(?={starts})(?:{'|'.join(ends)})$"  # most places are ruled out by two letters
-
     def hits(words) -> Column:
         return _any_in(tokens, words)
 
-    long_verb = F.exists(tokens, lambda w: (w.rlike(ending) & (F.length(w) > 2))
-                         | (w.endswith("mente") & (F.length(w) > 6)))
+    long_verb = F.exists(tokens, _long_verb)
     bare_ending = hits(["ar", "er", "ir"])
     pt_n = _count_in(tokens, lg.PORTUGUESE_WORDS)
     return (F.when(tx.has_hangul(c), "ko").when(tx.has_kana(c), "ja")

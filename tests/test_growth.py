@@ -1,16 +1,21 @@
 """Work that must not grow beyond its share: sizes of tasks, ties, whole results."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from blockflow.catalog import boxes, sources
 from blockflow.fixtures import Fixtures
+from blockflow.functions import text as tx
 from blockflow.operators import blocks as bl
 from blockflow.operators import joins as jo
+from blockflow.operators import language as la
 from blockflow.operators import memory as me
 from blockflow.operators import quality as qu
 from blockflow.operators import score as sc
 from blockflow.operators import spelling as sp
 from blockflow.operators import texts as te
+from blockflow.rules import languages as lg
 from blockflow.session import checkpointed
 from blockflow.sources import labels as lb
 
@@ -108,7 +113,7 @@ def test_the_language_of_texts_to_correct_is_told_once(spark):
                                    (5, "caas")], "id int, text string")
     known = spark.createDataFrame([("caza", 9), ("casa", 5), ("gato", 5)], "word string, freq bigint")
     got = sp.correct_spelling(texts, known, ["id"])
-    assert "trim(" not in optimised(got)
+    assert lg.SPANISH_MARKS not in optimised(got)
     assert {r.id: r.corrected for r in got.collect()} == {
         1: "la caza, casa Casa", 2: None, 3: "", 4: "el gato", 5: "caas"}
 
@@ -154,3 +159,20 @@ def test_boxes_of_labels_are_written_once(spark, monkeypatch):
     for how in ({"tile": 32}, {"most": 0}, {"most": 20, "tile": 64}):
         other = bl.clean_labels(blocks, regions, pages, **how)
         assert other.dtypes == found.dtypes and sorted(other.collect()) == want
+
+
+def test_shorter_tests_of_words_and_languages_say_the_same(spark):
+    pick, parts = random.Random(4), ["a", "e", "Z", "Ñ", "ǅ", "𝐀", "ß", "7", "٣", "'", "¡", ".", "-", "(", " ",
+                                     "\n", "\u00a0", "\u0085", "dar", "mente", "la", "você", "é", "田", "한", "の", ""]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(9))) for _ in range(3000)] + ["the house", ""]
+    df = checkpointed(spark.createDataFrame([(t,) for t in texts], "text string"))
+    told = la.simple_language(F.col("text"), la.word_set(F.col("text")))
+    for lang in ("es", "en"):
+        assert df.where((told == lang) != la.is_simple_language(F.col("text"), lang)).isEmpty()
+    bare = F.col("bare")
+    words = tx.once(df.select(F.explode(tx.words(F.col("text"))).alias("token")), bare=F.btrim(
+        "token", F.lit(sp.EDGES)))
+    usable = ~bare.rlike(r"\p{Nd}") & ~(bare.rlike(r"\p{Lu}") & ~bare.rlike(r"\p{Ll}"))
+    assert words.where((bare != tx.strip_chars(F.col("token"), sp.EDGES))
+                       | (usable != bare.rlike(sp.USABLE))).isEmpty()
+    assert {r[0] for r in words.select(usable).distinct().collect()} == {True, False}
