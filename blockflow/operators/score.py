@@ -172,6 +172,9 @@ def error_rate(pairs: DataFrame, by: str = "max", normal=tx.comparable) -> DataF
     return p.withColumn("edits", edits).withColumn("cer", rate).drop("_r", "_h")
 
 
+BITS = 60  # sources that one number tells apart
+
+
 def word_recall(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Distinct reference words of each page that each source found.
 
@@ -191,19 +194,31 @@ def word_recall_of(readings: DataFrame, sources: list) -> DataFrame:
     shuffled once, and a page of any size spreads over its words. A text without words leaves a
     row without a word, which only shows that the source is there.
     """
+    kind = readings.schema["source"].dataType
+    sources = sources or [None]
+    groups = [sources[k:k + BITS] for k in range(0, len(sources), BITS)]
+    bits = []  # by groups of sources, who read a word: the reference is the lowest bit
+    for some in groups:
+        bit = F.when(F.col("is_ref"), F.lit(1))
+        for k, s in enumerate(some):
+            bit = bit.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(2 << k))
+        bits.append(bit.otherwise(0).cast("bigint"))
     words = readings.where(F.col("page_id").isNotNull()).select(
-        "page_id", "source", "is_ref",
+        "page_id", *[b.alias(f"_by{g}") for g, b in enumerate(bits)],
         F.explode_outer(tx.words(tx.comparable(F.col("text")))).alias("word"))
-    marks = [f"_by{k}" for k in range(len(sources))]
-    met = words.groupBy("page_id", "word").agg(F.max("is_ref").alias("_ref"), *[
-        F.max(~F.col("is_ref") & F.col("source").eqNullSafe(F.lit(s))).alias(m)
-        for s, m in zip(sources, marks)])
-    wanted = F.col("_ref") & F.col("word").isNotNull()
-    pages = met.groupBy("page_id").agg(
-        F.count_if(wanted).alias("ref_words"),
-        *[F.struct(F.lit(s).cast(readings.schema["source"].dataType).alias("source"),
-                   F.count_if(wanted & F.col(m)).alias("found"), F.max(m).alias("seen")).alias(m)
-          for s, m in zip(sources, marks)])
+    met = words.groupBy("page_id", "word").agg(
+        *[F.bit_or(f"_by{g}").alias(f"_by{g}") for g in range(len(groups))])
+    wanted = F.col("word").isNotNull() & (F.col("_by0") % 2 == 1)
+    found = []
+    for g, some in enumerate(groups):
+        for k, s in enumerate(some):
+            here = F.col(f"_by{g}").bitwiseAND(F.lit(2 << k)) != 0
+            found.append(F.struct(F.lit(s).cast(kind).alias("source"),
+                                  F.count_if(wanted & here).alias("found"),
+                                  F.max(here).alias("seen")))
+    pages = met.groupBy("page_id").agg(F.count_if(wanted).alias("ref_words"), *[
+        f.alias(f"_s{k}") for k, f in enumerate(found)])
+    marks = [f"_s{k}" for k in range(len(sources))]
     return (pages.where("ref_words > 0").select("page_id", "ref_words", F.inline(F.array(*marks)))
             .where("seen").select("page_id", "source", "ref_words", "found",
                                   (F.col("found") / F.col("ref_words")).alias("recall")))

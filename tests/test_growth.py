@@ -106,6 +106,10 @@ def test_words_of_a_page_are_shuffled_once(spark):
                                 "page_id int, source string, text string")
     got = {(r.page_id, r.source, r.ref_words, r.found) for r in sc.word_recall(ref, hyp).collect()}
     assert got == {(1, "a", 3, 2), (1, "b", 3, 0), (1, "c", 3, 0)}
+    assert sc.word_recall(ref, hyp.limit(0)).isEmpty()
+    many = hyp.select("page_id", F.explode(F.sequence(F.lit(1), F.lit(130))).alias("source"), "text")
+    assert {(r.source, r.found) for r in sc.word_recall(ref, many).collect()} == {
+        (k, 2) for k in range(1, 131)}
 
 
 def test_the_language_of_texts_to_correct_is_told_once(spark):
